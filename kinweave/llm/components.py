@@ -1,0 +1,32 @@
+"""Connected components as DataFrame rounds; nothing but a count of changes reaches the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinweave.llm.common import cut
+
+
+def components(links: DataFrame, most: int = 100) -> DataFrame:
+    """(node, label) of each node of ``links`` (a, b), the label being the smallest node of its component.
+
+    Alternating large-star and small-star rounds: every node's neighbours are linked to the smallest node known,
+    until all links are stars. Rounds grow with the logarithm of the nodes; each is checkpointed.
+    """
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    for _ in range(most):
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        after = cut(small)
+        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(after, ["u", "v"], "left_anti").limit(1).count()
+        edges = after
+        if not changed:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, ogg, sharding, token_counts
+from kinweave.llm import bpe, near_dup, ogg, pii, sharding, token_counts, url_filter
 from kinweave.llm.common import Query
 
 
@@ -10,7 +10,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op3_feistel_sharding": sharding.op3_feistel_sharding,
+        "op4_contextual_pii": pii.op4_contextual_pii,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_setsketch_near_dup": near_dup.op8_setsketch_near_dup,
         "op10_ogg_media": ogg.op10_ogg_media,
     }
 

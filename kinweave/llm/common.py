@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.session import cut, ensure_checkpoint_dir, read_table  # noqa: F401
+from kinweave.session import cut, ensure_checkpoint_dir, read_table, release, ship  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 

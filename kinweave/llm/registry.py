@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, near_dup, ogg, pii, sharding, token_counts, url_filter
+from kinweave.llm import bpe, kneser_ney, near_dup, ogg, pii, sharding, token_counts, url_filter
 from kinweave.llm.common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_kneser_ney_quality": kneser_ney.op2_kneser_ney_quality,
         "op3_feistel_sharding": sharding.op3_feistel_sharding,
         "op4_contextual_pii": pii.op4_contextual_pii,
         "op6_url_filter": url_filter.op6_url_filter,

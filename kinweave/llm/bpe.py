@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.common import read_table, texts
 
-CACHED_PIECES = 200_000  # pieces remembered by a worker; over it, the memory is cleared
+CACHED_PIECES = 400_000  # pieces remembered by a worker in each of two generations
 CACHED_PAIRS = 1_000_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -41,6 +41,10 @@ class PrefixBPE:
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.alone: dict[bytes, bool] = {}  # whether a token is the encoding of its own bytes
+        self.reach: dict[bytes, int] = {}  # longest entry by its first two bytes
+        for t in ranks:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Plain merging by lowest rank; used for the short strings of a pair only."""
@@ -66,6 +70,36 @@ class PrefixBPE:
             known = self.pairs[a, b] = self._merge(a + b) == [a, b]
         return known
 
+    def stands(self, token: bytes) -> bool:
+        """Whether token can come first: its bytes encode to just itself."""
+        known = self.alone.get(token)
+        if known is None:
+            known = self.alone[token] = len(token) == 1 or self._merge(token) == [token]
+        return known
+
+    def longest_matches(self, piece: bytes) -> list[bytes] | None:
+        """The piece by longest matches, if these tokens are its encoding: the first stands and each follows the one
+        before. Where they aren't, None; the prefix states decide then."""
+        ranks, reach, pairs, out, at, n, before = self.ranks, self.reach, self.pairs, [], 0, len(piece), None
+        while at < n:
+            end = at + reach.get(piece[at : at + 2], 1)
+            if end > n:
+                end = n
+            while (token := piece[at:end]) not in ranks:
+                end -= 1
+            if before is None:
+                if not self.stands(token):
+                    return None
+            else:
+                ok = pairs.get((before, token))
+                if ok is None:
+                    ok = self.follows(before, token)
+                if not ok:
+                    return None
+            out.append(token)
+            before, at = token, end
+        return out
+
     def extend(self, data: bytes, last: list[bytes], upto: int | None = None) -> list[bytes]:
         """``last`` (for the prefixes of data[:len(last)]) continued to the prefixes up to ``upto``."""
         ranks, longest, pairs = self.ranks, self.longest, self.pairs
@@ -79,7 +113,7 @@ class PrefixBPE:
                         if ok is None:
                             ok = self.follows(before, token)
                     else:
-                        ok = len(token) == 1 or self._merge(token) == [token]
+                        ok = self.stands(token)
                     if ok:
                         last.append(token)
                         break
@@ -97,7 +131,10 @@ class PrefixBPE:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)  # a piece that is an entry is that entry, even where merging can't reach it
-        return [whole] if whole is not None else self.tokens_of(self.extend(piece, []))
+        if whole is not None:
+            return [whole]
+        tokens = self.longest_matches(piece)
+        return self.tokens_of(self.extend(piece, [])) if tokens is None else list(map(self.ranks.__getitem__, tokens))
 
     def edit(self, data: bytes, last: list[bytes], start: int, stop: int, new: bytes) -> tuple[bytes, list[bytes]]:
         """data[start:stop] replaced by ``new``, and the states: those before ``start`` are kept; behind the edit,
@@ -122,12 +159,16 @@ class TextEncoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED_PIECES) -> None:
         super().__init__()
         self.bpe, self.find, self.cached = PrefixBPE(ranks), regex.compile(pattern).findall, cached
+        self.old: dict[str, str] = {}
         self.bytes_of = {str(v): k for k, v in ranks.items()}
 
     def __missing__(self, piece: str) -> str:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = ",".join(map(str, self.bpe.encode_piece(piece.encode())))
         if len(self) >= self.cached:
+            self.old = dict(self)
             self.clear()
-        ids = ",".join(map(str, self.bpe.encode_piece(piece.encode())))
         if len(piece) <= 64:
             self[piece] = ids
         return ids

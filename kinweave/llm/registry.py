@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, kneser_ney, near_dup, ogg, pii, sharding, token_counts, url_filter
+from kinweave.llm import bpe, decontaminate, kneser_ney, near_dup, ogg, pii, sharding, token_counts, url_filter
 from kinweave.llm.common import Query
 
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Query]:
         "op2_kneser_ney_quality": kneser_ney.op2_kneser_ney_quality,
         "op3_feistel_sharding": sharding.op3_feistel_sharding,
         "op4_contextual_pii": pii.op4_contextual_pii,
+        "op5_pigeonhole_decontamination": decontaminate.op5_pigeonhole_decontamination,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_setsketch_near_dup": near_dup.op8_setsketch_near_dup,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontaminate, kneser_ney, near_dup, ogg, pii, sharding, token_counts, url_filter
+from kinweave.llm import bpe, decontaminate, kneser_ney, near_dup, ogg, pii, repeats, sharding, token_counts, url_filter
 from kinweave.llm.common import Query
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_setsketch_near_dup": near_dup.op8_setsketch_near_dup,
+        "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_ogg_media": ogg.op10_ogg_media,
     }
 

@@ -170,5 +170,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, of which one of each group stays: the one with the smallest doc_id.
+
+    Rows without a doc_id stay. Rows equal in doc_id and text are one; other rows that share the smallest doc_id
+    of their group all stay.
+    """
+    found = near_duplicates(docs, width, percent)
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
+    return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
+
+
 def op8_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)

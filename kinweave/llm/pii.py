@@ -124,7 +124,7 @@ _FOUND = "struct<start:int,end:int,seed:boolean,instance:bigint,wide:string,near
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base (array of start, kind, end) and found (seeds and candidates with their patterns)."""
+    """row, doc_id, text_hash, base (array of start, kind, end) and found (seeds and candidates with their patterns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,10 +141,10 @@ def extract(docs: DataFrame) -> DataFrame:
                 found_out.append(found)
             base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
             found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("wide", pa.string()), ("near", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base_out, base_type), pa.array(found_out, found_type)], names=["doc_id", "base", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(base_out, base_type), pa.array(found_out, found_type)], names=["doc_id", "text_hash", "base", "found"])
 
     src = texts(docs)
-    out = src.select(src.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, base array<struct<start:int,kind:string,end:int>>, found array<{_FOUND}>")
+    out = src.select(src.doc_id.cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id long, text_hash long, base array<struct<start:int,kind:string,end:int>>, found array<{_FOUND}>")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -180,6 +180,46 @@ def find(docs: DataFrame) -> DataFrame:
     return extracted.select("row", "doc_id", "base").join(learned, "row", "left").select("doc_id", "base", F.coalesce("learned", none).alias("learned"))
 
 
+def _redacted(text: str, spans: list[tuple[int, str, int]]) -> str:
+    """Each span, or run of spans that overlap, as the name of its first kind in brackets."""
+    out, at = [], 0
+    for start, kind, end in sorted(spans, key=lambda s: (s[0], (*KINDS, LEARNED).index(s[1]))):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without personal data in ``text``; ``n_chars``, if there, is that of the new text.
+
+    Base spans are found again where the text is; texts are joined only if there are learned spans at all.
+    """
+    names = docs.columns
+    extracted = cut(extract(docs))
+    learned = cut(learned_spans(extracted, confident_patterns(extracted)))
+    source = docs.withColumn("__learned", F.lit(None).cast("array<struct<start:int,kind:string,end:int>>"))
+    if learned.limit(1).count():
+        places = extracted.join(learned, "row").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("learned").alias("__learned")).dropDuplicates(["__id", "__hash"])
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+        source = docs.join(places, same, "left").select(*docs.columns, "__learned")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for value, more in zip(b.column("text"), b.column("__learned")):
+                text = value.as_py()
+                spans = [(s, KINDS[k], e) for s, k, e in base_spans(text)] if text else []
+                spans += [(x["start"], x["kind"], x["end"]) for x in more.as_py() or ()]
+                out.append(_redacted(text, spans) if spans else text)
+            cols = {n: b.column(n) for n in names} | {"text": pa.array(out, pa.string())}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return source.mapInArrow(run, docs.schema)
+
+
 def _order(x):
     return F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, [*KINDS, LEARNED])), x["kind"]).alias("at"), x["kind"].alias("kind"), x["end"].alias("end"))
 

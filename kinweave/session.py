@@ -71,7 +71,8 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):  # what the first pass frees makes the rest unreachable
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # events in the queue hold plans
+    for _ in range(3):  # what the first pass frees makes the rest unreachable
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinweave.session import cut, ensure_checkpoint_dir, read_table, release, ship  # noqa: F401
+from kinweave.session import Scratch, cut, ensure_checkpoint_dir, read_table, release, ship  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,3 +23,23 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
 def scan_partitions(df: DataFrame) -> int:
     """Partitions of the input as planned, in proportion to its bytes; no job runs."""
     return df.rdd.getNumPartitions()
+
+
+def packed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the text, a non-null string, as zstd-compressed UTF-8 in its place: for texts that are shuffled."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in df.schema])
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3).compress
+        for b in batches:
+            cols = list(b.columns)
+            cols[at] = pa.array([pack(x.as_py().encode()) for x in cols[at]], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def unpacked(column: pa.ChunkedArray) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x.as_py()) for x in column]

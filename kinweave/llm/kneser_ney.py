@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, read_table, release, scan_partitions
+from kinweave.llm.common import Scratch, cut, packed, read_table, release, scan_partitions, unpacked
 
 ORDER = 4
 FENCE, LEAST, SHORT = 3.0, 0.12, 2.0
@@ -81,13 +81,13 @@ def _chunks(rows: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
 def _count_block(docs: pa.Table, labels: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.table({"block": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    block, text, trusted, out = docs.column("block")[0].as_py(), docs.column("text"), _trusted_rows(docs, labels), []
-    lengths = np.array([len(t.as_py()) for t in text])
+    block, text, trusted, out = docs.column("block")[0].as_py(), unpacked(docs.column("text")), _trusted_rows(docs, labels), []
+    lengths = np.array([len(t) for t in text])
     for lang, rows in _by_language(docs):
         found: dict[bool, list] = {False: [], True: []}
         for good in (False, True):
             for part in _chunks(rows[trusted[rows] == good], lengths):
-                g, n = np.unique(grams_of([text[int(i)].as_py() for i in part])[0], return_counts=True)
+                g, n = np.unique(grams_of([text[int(i)].decode() for i in part])[0], return_counts=True)
                 found[good].append((g, n if good else np.zeros_like(n)))
         g = np.concatenate([x[0] for x in found[False] + found[True]])
         n = np.concatenate([x[1] for x in found[False] + found[True]])
@@ -101,8 +101,8 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     n = docs.num_rows
     total, sizes, known = np.zeros(n), np.ones(n, np.int64), np.zeros(n, bool)
     if n:
-        text = docs.column("text")
-        lengths = np.array([len(t.as_py()) for t in text])
+        text = unpacked(docs.column("text"))
+        lengths = np.array([len(t) for t in text])
         tables = {}
         for lang, rows in _by_language(answers):
             g = answers.column("gram").to_numpy()[rows].view(np.uint64)
@@ -113,7 +113,7 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 continue
             keys, logp = tables[lang]
             for part in _chunks(rows, lengths):
-                g, size = grams_of([text[int(i)].as_py() for i in part])
+                g, size = grams_of([text[int(i)].decode() for i in part])
                 total[part] = np.add.reduceat(logp[np.searchsorted(keys, g)], np.concatenate([[0], np.cumsum(size)[:-1]]))
                 sizes[part], known[part] = size, True
     per = np.where(known & ~np.isnan(total), -total / sizes, np.nan)
@@ -160,19 +160,21 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     return out.select("lang", "gram", F.ln("q").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lang, n_grams and log_perplexity of every row; ``trusted`` has the column doc_id."""
+def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_hash, lang, n_grams and log_perplexity of every row; ``trusted`` has the column doc_id.
+
+    The result reads tables in ``scratch``."""
     blocks = max(1, scan_partitions(docs))
     spread = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
     utf8 = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    parted = docs.select(spread(F.coalesce(doc_id, F.xxhash64(utf8))), doc_id.alias("doc_id"), F.xxhash64(utf8).alias("text_hash"), F.coalesce("lang", F.lit("")).alias("lang"), utf8.alias("text"))
+    parted = packed(docs.select(spread(F.coalesce(doc_id, F.xxhash64(utf8))), doc_id.alias("doc_id"), F.xxhash64(utf8).alias("text_hash"), F.coalesce("lang", F.lit("")).alias("lang"), utf8.alias("text")))
     ids = trusted.where("doc_id is not null").select(spread(doc_id), doc_id.alias("trusted_id")).distinct()
     asked = parted.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda a, b: _count_block(a, b), "block int, lang string, gram long, n long")
-    asked = cut(asked)
+    asked = scratch.keep(asked)
     release(docs.sparkSession)  # the texts are shuffled once more; not both copies need to be on disk
     counts = asked.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
-    answers = asked.select("block", "lang", "gram").join(log_probabilities(cut(counts)), ["lang", "gram"]).select("block", "lang", "gram", "logp")
+    answers = asked.select("block", "lang", "gram").join(log_probabilities(scratch.keep(counts)), ["lang", "gram"]).select("block", "lang", "gram", "logp")
     return parted.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score_block(a, b), "doc_id long, text_hash long, lang string, n_grams long, log_perplexity double")
 
 
@@ -183,7 +185,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, fence: float = FENCE, least: float = LEAST) -> DataFrame:
     """doc_id, text_hash, lang, n_grams, perplexity, its low and high bounds, and kept."""
     trusted = trusted_ids(labels)
-    scores = cut(perplexities(docs, trusted))
+    with Scratch(docs.sparkSession) as scratch:
+        scores = cut(perplexities(docs, trusted, scratch))
+    release(docs.sparkSession)
     good = scores.join(trusted.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").where("log_perplexity is not null")
     q = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     bounds = good.groupBy("lang").agg(q.alias("q")).select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))

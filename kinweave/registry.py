@@ -10,14 +10,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinweave.session import read_table
+    """Documents as records: normalized, blocked, linked by exact names and closed into clusters, by size."""
+    from pyspark.sql import functions as F
 
-    return read_table(spark, sf_dir, "documents").groupBy("source").count()
+    from kinweave.plans import queries as q
+
+    clusters = q.QUERIES["g3_components"](spark, sf_dir)
+    return clusters.groupBy("cluster_id").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cluster_id")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    from kinweave.plans import queries as q
+
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kinweave.plans import queries as q
+
+    return dict(q.SQL)

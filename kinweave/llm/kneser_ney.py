@@ -120,6 +120,14 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "text_hash": docs.column("text_hash"), "lang": docs.column("lang"), "n_grams": pa.array(sizes), "log_perplexity": pa.array(per, mask=np.isnan(per))})
 
 
+LANGUAGES = 4096  # a table of a row a language is broadcast up to as many, and joined by a shuffle beyond
+
+
+def _by_lang(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    facts = cut(facts)
+    return df.join(F.broadcast(facts) if facts.limit(LANGUAGES + 1).count() <= LANGUAGES else facts, "lang", how)
+
+
 def _shift(c: Column | str) -> Column:
     return F.shiftrightunsigned(c, 16)
 
@@ -134,7 +142,7 @@ def _order(table: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
     plain = {1: 0.5, 2: 1.0, 3: 1.5}  # where a language has too few counts of counts
     d = [F.least(F.greatest(F.coalesce(ratio(i), F.lit(plain[i])), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}") for i in (1, 2, 3)]
     discounts = table.groupBy("lang").agg(*k).select("lang", *d)
-    with_d = table.join(discounts, "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", _shift("gram"))
+    with_d = _by_lang(table, discounts).withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", _shift("gram"))
     context = with_d.groupBy("lang", "context").agg(F.sum(c).alias("total"), F.sum("d").alias("held"))
     own = with_d.join(context, ["lang", "context"]).select("lang", "gram", ((c - F.col("d")) / F.col("total")).alias("own"))
     return own, context.select("lang", "context", (F.col("held") / F.col("total")).alias("backoff"))
@@ -148,7 +156,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     sizes = seen[1].groupBy("lang").agg((F.count("*") + 1).alias("v"))  # one more for what was never seen
     out = counts.select("lang", "gram")
     p = 1 / F.col("v")
-    out = out.join(sizes, "lang")
+    out = _by_lang(out, sizes)
     for n, mask in ((1, _M16), (2, _M32), (3, _M48), (4, None)):
         own, context = _order(seen[n], "c")
         key = F.col("gram") if mask is None else F.col("gram").bitwiseAND(F.lit(mask))
@@ -193,7 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, fence: float = FENCE, least: fl
     bounds = good.groupBy("lang").agg(q.alias("q")).select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     reach = F.greatest(fence * (F.col("q3") - F.col("q1")), F.lit(least))
     bounds = bounds.select("lang", (F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))
-    out = scores.join(bounds, "lang", "left").withColumn("perplexity", F.exp("log_perplexity"))
+    out = _by_lang(scores, bounds, "left").withColumn("perplexity", F.exp("log_perplexity"))
     slack = SHORT / F.sqrt("n_grams")
     out = out.withColumn("low", F.exp(F.col("lo") - slack)).withColumn("high", F.exp(F.col("hi") + slack))
     kept = F.coalesce((F.col("perplexity") >= F.col("low")) & (F.col("perplexity") <= F.col("high")), F.lit(True))

@@ -72,8 +72,12 @@ class Scratch:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # events in the queue hold plans
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
     for _ in range(3):  # what the first pass frees makes the rest unreachable
         gc.collect()
+        until = time.time() + 20
+        while len(queue) and time.time() < until:  # Python's references go one by one
+            time.sleep(0.05)
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
 

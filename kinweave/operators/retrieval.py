@@ -13,8 +13,12 @@ def word_grams(name: Column, low: int = 3, high: int = 5) -> Column:
     def of_word(w: Column) -> Column:
         padded = F.concat(F.lit(" "), w, F.lit(" "))
         size = F.length(padded)
-        grams = [F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array(padded) if n == low else F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*grams)
+
+        def of_size(n: int) -> Column:
+            slices = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+            return F.when(size >= n, slices).otherwise(F.array(padded) if n == low else F.array().cast("array<string>"))
+
+        return F.concat(*map(of_size, range(low, high + 1)))
 
     words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
     return F.flatten(F.transform(words, of_word))

@@ -466,3 +466,166 @@ def w1_running_totals(spark, d):
     w = W.partitionBy("user_id").orderBy("event_id")
     run = F.round(F.sum("value").over(w.rowsBetween(W.unboundedPreceding, 0)), 3)
     return read_table(spark, d, "events").select("user_id", "event_id", run.alias("running"), (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+
+
+# Models and review
+
+
+def _features(spark, d):
+    from kinweave.operators import scoring
+
+    r = records(spark, d)
+    both = blocking.with_records(scored(spark, d).select("left", "right", "label"), r, ["name", "address", "city", "postcode", "country"])
+    return scoring.basic_features(both)
+
+
+@query()
+def x6_basic_features(spark, d):
+    from kinweave.operators import scoring
+
+    return _features(spark, d).select("left", "right", *[F.round(f, 6).alias(f) for f in scoring.BASIC])
+
+
+@query()
+def x7_company_features(spark, d):
+    from kinweave.operators import scoring
+
+    r = records(spark, d)
+    base = r.select("record_id", scoring.legal_base("name").alias("base")).where("base is not null")
+    n = base.agg(F.count("*").alias("n"))
+    idf = base.select("record_id", F.explode(F.split("base", " ")).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+    both = blocking.with_records(pairs(spark, d).select("left", "right"), r, ["name"])
+    return scoring.company_features(both, idf, 8.0).select("left", "right", *[F.round(f, 6).alias(f) for f in scoring.COMPANY])
+
+
+@query()
+def x8_product_features(spark, d):
+    from kinweave.operators import scoring
+
+    p = read_table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("record_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("description"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"), "p_size")
+    side = lambda s: p.select("p_size", "brand", F.col("record_id").alias(s))
+    met = side("left").join(side("right"), ["p_size", "brand"]).where("left < right").select("left", "right")
+    both = blocking.with_records(met, p, ["title", "brand", "description", "price", "currency"])
+    return scoring.product_features(both).select("left", "right", *[F.round(f, 6).alias(f) for f in scoring.PRODUCT])
+
+
+@query()
+def x9_logistic_scores(spark, d):
+    """The regression fitted on the labelled candidates, applied to all of them."""
+    from kinweave.operators import scoring
+    from kinweave.session import cut
+
+    f = cut(_features(spark, d))
+    model = scoring.fit_linear(f.where("label is not null"), ["name_ratio", "name_token_set", "name_exact", "address_ratio", "country_conflict"])
+    return f.select("left", "right", F.round(model.probability(), 4).alias("score"))
+
+
+@query()
+def x5_fellegi_sunter(spark, d):
+    """u from pairs of the address rule, m by expectation-maximization on pairs of the name rules."""
+    from kinweave.operators import scoring
+    from kinweave.session import cut
+
+    r = records(spark, d)
+    c = pairs(spark, d)
+    levels = cut(scoring.agreement_levels(blocking.with_records(c, r, ["name", "postcode", "address"])))
+    noise = r.select("record_id", "source", "name", "postcode", "address", F.xxhash64("record_id").alias("h"))
+    slot = noise.withColumn("slot", F.pmod("h", F.lit(997)))
+    side = lambda s, k: slot.select(F.pmod(F.col("slot") + k, F.lit(997)).alias("slot"), *[F.col(x).alias(x + s) for x in ("source", "name", "postcode", "address")])
+    drawn = side("_l", 0).join(side("_r", 1), "slot").where("source_l <> source_r")
+    model = scoring.fit_fellegi_sunter(levels, scoring.estimate_u(scoring.agreement_levels(drawn)), 0.05)
+    out = model.match_weight(levels)
+    return out.select("left", "right", F.round("match_weight", 4).alias("match_weight"), F.round("score", 4).alias("score"))
+
+
+@query()
+def w6_review_queue(spark, d):
+    from kinweave.operators import review
+
+    return review.review_queue(scored(spark, d).select("left", "right", "score"), 100)
+
+
+@query()
+def u7_endpoint_split(spark, d):
+    from kinweave.operators import splits
+
+    labelled = scored(spark, d).where("label is not null").select("left", "right", "label")
+    positive = labelled.where("label = 1")
+    apart = labelled.where("label = 0")
+    return splits.endpoint_split(positive.union(apart)).select("left", "right", "label", "group_id", "split")
+
+
+@query()
+def u8_positive_split(spark, d):
+    from kinweave.operators import splits
+
+    labelled = scored(spark, d).where("label is not null").select("left", "right", "label")
+    return splits.positive_split(labelled)[0].select("left", "right", "label", "group_id", "split")
+
+
+@query()
+def g1_constrained_resolution(spark, d):
+    """Scores decide; pairs of one address are must-links, some pairs of close ids are cannot-links."""
+    s = scored(spark, d)
+    edges = s.select("left", "right", "score", F.lit(True).alias("auto_merge"))
+    must = pairs(spark, d).where(F.array_contains("rules", "address_exact") & F.array_contains("rules", "name_exact")).select("left", "right")
+    closure = graph.components(must)
+    side = lambda k: closure.select(F.col("node").alias(k), F.col("label").alias("c" + k))
+    cannot = s.where("score between 0.6 and 0.9").select("left", "right").join(side("left"), "left", "left").join(side("right"), "right", "left").where("not (cleft <=> cright) or cleft is null").select("left", "right")
+    parts, _ = graph.resolve(records(spark, d).select("record_id"), edges, must, cannot, must.where("false"), 0.5, 0.2)
+    return parts
+
+
+@query("""with v as (select o_custkey source_key, arg_max(o_orderstatus, o_orderkey) s from orders where o_orderkey <= 30000 group by 1), w as (select o_custkey source_key, arg_max(o_orderstatus, o_orderkey) s from orders where o_orderkey > 30000 group by 1)
+ select coalesce(v.source_key, w.source_key) source_key, case when w.s is null or w.s is not distinct from v.s then 0 else 1 end snapshot, coalesce(w.s is not null and w.s is distinct from v.s, false) changed from v full join w on v.source_key = w.source_key""")
+def i1_versioned_import(spark, d):
+    from kinweave.operators.incremental import import_versions
+
+    o = read_table(spark, d, "orders")
+    snap = lambda x: x.groupBy(F.lit("orders").alias("source"), F.col("o_custkey").cast("string").alias("source_key")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status")).withColumn("tombstone", F.lit(False))
+    empty = spark.createDataFrame([], "source string, source_key string, version string, content string, tombstone boolean")
+    first = import_versions(empty, snap(o.where("o_orderkey <= 30000")), 0, ["status"]).drop("changed")
+    second = import_versions(first, snap(o.where("o_orderkey > 30000")), 1, ["status"])
+    return second.select(F.col("source_key").cast("long").alias("source_key"), F.element_at(F.split("version", ":"), -1).cast("int").alias("snapshot"), "changed")
+
+
+@query("""select user_id, event_type, min(ts) session_start, max(ts) + interval 30 minute session_end, count(*) n from (select *, sum(fresh) over (partition by user_id, event_type order by ts, event_id) s from (select *, case when ts - lag(ts) over (partition by user_id, event_type order by ts, event_id) < interval 30 minute then 0 else 1 end fresh from events)) group by user_id, event_type, s""")
+def st2_sessions(spark, d):
+    from kinweave.streaming.imports import sessions
+
+    return sessions(read_table(spark, d, "events"), ["user_id", "event_type"])
+
+
+@query("""select o_orderkey, o_custkey from orders where o_totalprice > 100000 order by o_orderkey desc limit 25 offset 50""")
+def o2_paged_list(spark, d):
+    return read_table(spark, d, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey")).offset(50).limit(25)
+
+
+@query(BASE + f""", {SCORED} select track, "label", count(*) n, round(avg(score), 6) mean_score from sc group by cube (track, "label")""")
+def a18_summary_cube(spark, d):
+    return scored(spark, d).cube("track", "label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query(BASE + f""", {SCORED} select case when score >= 0.9 then 'accept' when score >= 0.5 then 'review' else 'below' end band, count(*) n from sc group by 1""")
+def f5_threshold_bands(spark, d):
+    band = F.when(F.col("score") >= 0.9, "accept").when(F.col("score") >= 0.5, "review").otherwise("below")
+    return scored(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("""select a.record_id "left", b.record_id "right" from (select 'c' || c_custkey record_id, c_nationkey k from customer where c_custkey % 50 = 0) a join (select 's' || s_suppkey record_id, s_nationkey k from supplier) b using (k)""")
+def j5_pair_lookup(spark, d):
+    c = read_table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("left"), F.col("c_nationkey").alias("k"))
+    s = read_table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("right"), F.col("s_nationkey").alias("k"))
+    return c.join(s, "k").select("left", "right")
+
+
+@query(f"with {TRUTH} select a.record_id \"left\", b.record_id \"right\" from truth a join truth b on a.entity_id = b.entity_id and a.record_id < b.record_id")
+def j13_known_pairs(spark, d):
+    return metrics.known_pairs(truth(spark, d))
+
+
+@query("""select o_orderkey, o_custkey, o_custkey is not null and c_custkey is null missing from (select o_orderkey, o_custkey + o_orderkey % 2 * 1000000 o_custkey from orders) left join customer on c_custkey = o_custkey""")
+def j14_missing_endpoints(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 2 * 1000000).alias("o_custkey"))
+    c = read_table(spark, d, "customer").select("c_custkey")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", (F.col("o_custkey").isNotNull() & F.col("c_custkey").isNull()).alias("missing"))

@@ -629,3 +629,87 @@ def j14_missing_endpoints(spark, d):
     o = read_table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 2 * 1000000).alias("o_custkey"))
     c = read_table(spark, d, "customer").select("c_custkey")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", (F.col("o_custkey").isNotNull() & F.col("c_custkey").isNull()).alias("missing"))
+
+
+@query("""with st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events where event_id <= 9000 group by 1),
+ k as (select 'r' || user_id a, 'r' || (user_id * 7 % 150) b, case when et = 'click' then null when et = 'purchase' then 'suppressed' when user_id % 3 = 0 then 'cannot' else 'must' end kind from st where user_id <> user_id * 7 % 150)
+ select distinct least(a, b) "left", greatest(a, b) "right", kind from k where kind is not null""")
+def g9_constraints(spark, d):
+    """Users as decisions, event types as actions: clicks expire, purchases revoke."""
+    e = read_table(spark, d, "events")
+    action = F.when(F.col("event_type") == "click", "EXPIRE").when(F.col("event_type") == "purchase", "REVOKE").otherwise("CREATE")
+    events = e.select(F.col("user_id").alias("decision_id"), F.col("event_id").alias("seq"), action.alias("action"), F.lit("p").alias("policy"))
+    name = lambda c: F.concat(F.lit("r"), c)
+    u = e.select("user_id").distinct().where("user_id <> user_id * 7 % 150")
+    verdict = F.when(F.col("user_id") % 3 == 0, "reject").otherwise("accept")
+    decisions = u.select(F.col("user_id").alias("decision_id"), name("user_id").alias("left"), name(F.col("user_id") * 7 % 150).alias("right"), F.lit("v").alias("left_version"), F.lit("v").alias("right_version"), verdict.alias("verdict"))
+    live = decisions.select(F.explode(F.array("left", "right")).alias("record_id")).distinct().withColumn("version", F.lit("v"))
+    return identity.constraints(decisions, events, live, "p", 9000)
+
+
+@query()
+def a10_group_bootstrap(spark, d):
+    """Percentile intervals over whole groups of labelled pairs (components of their endpoints)."""
+    from kinweave.operators import splits
+
+    s = scored(spark, d).where("label is not null").select("left", "right", "score", "label")
+    grouped = splits._labels(s).withColumnRenamed("component_left", "group_id")
+    found = metrics.bootstrap(grouped, "group_id", 0.5, 200, largest_share=1.0)
+    return spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items()) if v], "metric string, low double, high double")
+
+
+@query()
+def u9_protected_split(spark, d):
+    from kinweave.operators import splits
+
+    s = scored(spark, d).where("label is not null").select("left", "right", "label", F.when(F.xxhash64("left") % 5 == 0, "test").when(F.xxhash64("left") % 5 == 1, "validation").otherwise("train").alias("original_split"))
+    return splits.protected_split(s)[0]
+
+
+@query()
+def u10_adjudicated(spark, d):
+    from kinweave.operators import splits
+
+    kind = F.when(F.col("label") == 1, "TP").when(F.col("score") > 0.5, "Ambiguous").otherwise("TN")
+    return splits.adjudicated(scored(spark, d).where("label is not null").select("left", "right", kind.alias("type")))[0]
+
+
+@query("""select o_orderkey, case when ('0x' || substr(sha256(cast(o_custkey as varchar)), 16, 1))::int % 2 = 0 then 'calibration' else 'policy' end half from orders""")
+def u11_halves(spark, d):
+    from kinweave.operators import splits
+
+    return read_table(spark, d, "orders").select("o_orderkey", splits.halves(F.col("o_custkey").cast("string")).alias("half"))
+
+
+@query("""select lang, source, count(*) n, sum((quality = 1)::int)::bigint good from documents left join labels using (doc_id) group by grouping sets ((lang, source), (lang), ())""")
+def a14_dataset_statistics(spark, d):
+    both = read_table(spark, d, "documents").join(read_table(spark, d, "labels"), "doc_id", "left")
+    both.createOrReplaceTempView("kinweave_labelled_documents")
+    return spark.sql("select lang, source, count(*) n, sum(cast(quality = 1 as int)) good from kinweave_labelled_documents group by grouping sets ((lang, source), (lang), ())")
+
+
+@query("""select p_partkey, p_name from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49 and l_returnflag = 'R')""")
+def j7_semi_join(spark, d):
+    li = read_table(spark, d, "lineitem").where("l_quantity > 49 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return read_table(spark, d, "part").join(li, "p_partkey", "left_semi").select("p_partkey", "p_name")
+
+
+@query("""select s_name, n_name, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def j6_detail_join(spark, d):
+    s, n, r = (read_table(spark, d, t) for t in ("supplier", "nation", "region"))
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("s_name", "n_name", "r_name")
+
+
+@query("""with a as (select c_custkey, c_nationkey, c_mktsegment, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) k from customer) select c_custkey, c_nationkey, k rank from a where k <= 3""")
+def w4_top_k_per_group(spark, d):
+    w = W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return read_table(spark, d, "customer").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("c_custkey", "c_nationkey", "rank")
+
+
+@query("""with recursive r(rev, par) as (select o_orderkey, case when o_orderkey % 7 = 0 then null else o_orderkey - o_orderkey % 7 end from orders where o_orderkey < 2000) select rev from r where par is not null and par not in (select rev from r)""")
+def sk10_missing_parents(spark, d):
+    from kinweave.operators import integrity
+
+    o = read_table(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("rev"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") - F.col("o_orderkey") % 7).alias("par"))
+    lost = integrity.missing_references(o, "par", o, "rev")
+    return o.join(lost, "par", "left_semi").select("rev")

@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import cut, read_table, release, scan_partitions
-from kinweave.llm.suffix_repeats import common_prefixes, maximal_intervals, suffix_order
+from kinweave.llm.suffix_repeats import bucket_order, common_prefixes, maximal_intervals
 
 LENGTH, GRAM = 50, 25
 SPAN = LENGTH - GRAM + 1  # strings around a gram; also bytes on either side, and one more
 SEGMENT = 2 * LENGTH - GRAM
 HOT = 20_000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -94,11 +94,11 @@ def _choose(texts: list[bytes]) -> Chosen:
         return Chosen(data, starts, ends, empty, empty.astype(np.uint64), empty)
     h = _gram_hashes(data)
     low = _sliding(h, SPAN, np.minimum)  # of the string that starts here
-    owner = np.repeat(np.arange(len(texts)), ends - starts)
-    low[owner[: len(low)] != owner[LENGTH - 1 :]] = 0  # no string crosses documents
+    across = (ends[:-1, None] - np.arange(1, LENGTH)[None, :]).ravel()  # no string crosses documents
+    low[across[(across >= 0) & (across < len(low))]] = 0
     around = np.concatenate([np.zeros(SPAN - 1, np.uint64), low, np.zeros(SPAN - 1, np.uint64)])
     at = np.flatnonzero(_sliding(around, SPAN, np.maximum) == h)
-    return Chosen(data, starts, ends, at, h[at], owner[at])
+    return Chosen(data, starts, ends, at, h[at], np.searchsorted(ends, at, "right"))
 
 
 def _runs(lengths: list[int]) -> Iterator[slice]:
@@ -325,7 +325,7 @@ def _settle(segment: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray
     owner = np.repeat(np.arange(n), size)
     remaining = ends[owner] - np.arange(len(data))
     starts = np.flatnonzero(remaining >= LENGTH)
-    sa = starts[suffix_order(data, remaining, starts, SEGMENT)]
+    sa = bucket_order(data, remaining, starts, LENGTH)
     lcp = common_prefixes(data, sa, remaining[sa])
     who = owner[sa]
     begin = ends[who] - size[who]
@@ -412,18 +412,14 @@ def _cover(docs: pa.Table, answers: pa.Table, shards: int, with_spans: bool) ->
     known = pa.array(docs.column("known")).to_numpy(zero_copy_only=False) if docs.num_rows else np.empty(0, bool)
     repeated, hot = _repeated_of(answers) if answers.num_rows else (np.empty(0, np.uint64), np.empty(0, bool))
     runs = list(_runs([len(t) for t in texts]))
-    # the block's segments in the order in which they were sent
     settled = {r["shard"]: r for r in answers.to_pylist() if r["kind"] == 1} if answers.num_rows else {}
-    table = None
-    if settled:
-        seen, keys = [], []
+    table, held = None, []
+    if settled:  # the block's segments in the order in which they were sent
         for run in runs:
             e = _entries(_choose(texts[run]), repeated, hot)
-            ident, first = np.unique(e.identity(), return_index=True)
-            seen.append(ident)
-            keys.append(e.key[first])
-        ident, first = np.unique(np.concatenate(seen), return_index=True)
-        shard = (np.concatenate(keys)[first] % np.uint64(shards)).astype(np.int64)
+            held.append((e.identity(), e.key, e.at, e.owner))
+        ident, first = np.unique(np.concatenate([x[0] for x in held]), return_index=True)
+        shard = (np.concatenate([x[1] for x in held])[first] % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         bounds = _split(shard[order], shards)
         which, f, l, d = [], [], [], []
@@ -436,32 +432,30 @@ def _cover(docs: pa.Table, answers: pa.Table, shards: int, with_spans: bool) ->
         o = np.argsort(which, kind="stable")
         table = ident, np.searchsorted(which[o], np.arange(len(ident) + 1)), f[o].astype(np.int64), l[o].astype(np.int64), d[o]
     rows = []
-    for run in runs:
-        c = None
+    for k, run in enumerate(runs):
         marks = None
         if table is not None:
-            c = _choose(texts[run])
-            e = _entries(c, repeated, hot)
             ident, bounds, f, l, d = table
-            u = np.searchsorted(ident, e.identity())
+            mine, _, at, owner = held[k]
+            u = np.searchsorted(ident, mine)
             n = bounds[u + 1] - bounds[u]
             row = np.repeat(np.arange(len(u)), n)
             run_at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + bounds[u[row]]
-            earlier = (d[run_at] < ids[run][e.owner[row]]) & known[run][e.owner[row]]
+            earlier = (d[run_at] < ids[run][owner[row]]) & known[run][owner[row]]
             row, run_at = row[earlier], run_at[earlier]
-            base = e.at[row] - (SPAN - 1)
-            marks = np.zeros(len(c.data) + 1, np.int64)
+            base, data = at[row] - (SPAN - 1), np.frombuffer(b"".join(texts[run]), np.uint8)
+            marks = np.zeros(len(data) + 1, np.int64)
             np.add.at(marks, base + f[run_at], 1)
             np.add.at(marks, base + l[run_at] + LENGTH, -1)
             marks = np.cumsum(marks)[:-1] > 0
         at = 0
-        for i, text in zip(range(run.start, run.stop), texts[run]):
+        for text in texts[run]:
             if marks is None:
                 rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), b""))
             else:
                 m = marks[at : at + len(text)]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]).astype(np.int8))).astype(np.int64)
-                kept = c.data[at : at + len(text)][~m].tobytes()
+                kept = data[at : at + len(text)][~m].tobytes()
                 rows.append((len(text), int(m.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tobytes() if with_spans else b""))
             at += len(text)
     cols = list(zip(*rows))
@@ -472,7 +466,7 @@ def _cover(docs: pa.Table, answers: pa.Table, shards: int, with_spans: bool) ->
 def remove_repeats(docs: DataFrame, hot: int = HOT, with_spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (with_spans: 64-bit starts and ends of the runs) of every row."""
     spark = docs.sparkSession
-    blocks = shards = max(2, 2 * scan_partitions(docs))
+    blocks = shards = max(2, 4 * scan_partitions(docs))
     doc_id, utf8 = F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary")
     # a row without an id is last of all: it takes nothing from others, and is never marked
     parted = docs.select(F.pmod(F.xxhash64(F.coalesce(doc_id, F.xxhash64("text"))), F.lit(blocks)).cast("int").alias("block"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc_id"), doc_id.isNotNull().alias("known"), utf8.alias("utf8"))

@@ -33,6 +33,42 @@ def suffix_order(data: np.ndarray, remaining: np.ndarray, starts: np.ndarray, de
     return np.argsort(rank[starts], kind="stable")
 
 
+def bucket_order(data: np.ndarray, remaining: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """The suffixes that share their first ``least`` bytes with another, each bucket of such suffixes sorted by the
+    bytes behind. Where only repeats of ``least`` bytes or more are wanted, the order of the buckets is free, so
+    they are in the order of a hash; if two strings ever share one, the full order is taken instead."""
+    words, mult = _words(data), np.uint64(0x9E3779B97F4A7C15)
+    h = np.zeros(len(starts), np.uint64)
+    for k in range(0, least, 8):
+        w = words[starts + k]
+        if least - k < 8:
+            w = w >> np.uint64(8 * (8 - least + k))
+        h = (h ^ w) * mult
+        h ^= h >> np.uint64(29)
+    ordered = np.sort(h)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    at = np.searchsorted(again, h)
+    at[at == len(again)] = 0
+    chosen = np.flatnonzero(again[at] == h) if len(again) else np.empty(0, np.int64)
+    s, h = starts[chosen], h[chosen]
+    if not len(s):
+        return s
+    keys, most = [], int(remaining[s].max())
+    for k in range(least, most, 8):
+        left = np.clip(remaining[s] - k, 0, 8).astype(np.uint64)
+        w = words[np.minimum(s + k, len(data) - 1)]
+        w = np.where(left == 8, w, np.where(left == 0, np.uint64(0), (w >> (np.uint64(64) - np.uint64(8) * np.maximum(left, np.uint64(1)))) << (np.uint64(64) - np.uint64(8) * np.maximum(left, np.uint64(1)))))
+        keys.append(w)
+    order = np.lexsort((remaining[s], *keys[::-1], h))
+    s, h = s[order], h[order]
+    same = np.flatnonzero(h[1:] == h[:-1])
+    for k in range(0, least, 8):
+        x = words[s[same] + k] ^ words[s[same + 1] + k]
+        if (x >> np.uint64(8 * max(0, 8 - least + k))).any():
+            return starts[suffix_order(data, remaining, starts, int(remaining[starts].max()))]
+    return s
+
+
 def common_prefixes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Of each suffix in order, the length of the prefix it shares with the one before; 0 for the first."""
     n = len(starts)
@@ -106,10 +142,9 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     starts = np.flatnonzero(ends[owner] - np.arange(len(data)) >= least)
     if not len(starts):
         return []
-    lengths = ends[owner[starts]] - starts
-    order = suffix_order(data, ends[owner] - np.arange(len(data)), starts, int(lengths.max()))
-    sa, lengths = starts[order], lengths[order]
-    lcp = common_prefixes(data, sa, lengths)
+    remaining = ends[owner] - np.arange(len(data))
+    sa = bucket_order(data, remaining, starts, least)
+    lcp = common_prefixes(data, sa, remaining[sa])
     begin = (ends - sizes)[owner[sa]]
     left = np.where(sa > begin, data[sa - 1].astype(np.int64), -1)
     return [(length, sorted((int(owner[p]), int(p - (ends - sizes)[owner[p]])) for p in sa[a:b])) for a, b, length in maximal_intervals(lcp, left, least)]

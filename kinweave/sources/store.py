@@ -103,3 +103,42 @@ def active_records(versions: DataFrame, records: DataFrame) -> DataFrame:
     """Records (record_id, current_version) with their current version, tombstones left out."""
     live = records.join(versions.withColumnRenamed("record_version_id", "current_version"), ["record_id", "current_version"]).where(~F.coalesce("tombstone", F.lit(False)))
     return live.withColumnRenamed("current_version", "record_version_id")
+
+
+def backup(workspace: Workspace, target: str) -> dict:
+    """Every published revision copied to another root, its manifests with it; the pointer goes last."""
+    other, names, at = Workspace(workspace.spark, target), [], workspace.current()
+    if other.exists("current.json"):
+        raise FileExistsError(target)
+    while at is not None:
+        names.append(at)
+        at = json.loads(workspace._read_text(f"revisions/{at}/manifest.json"))["parent"]
+    for revision in reversed(names):
+        manifest = json.loads(workspace._read_text(f"revisions/{revision}/manifest.json"))
+        workspace.verify(revision)
+        for table in manifest["tables"]:
+            workspace.load(f"revisions/{revision}/{table}").write.mode("errorifexists").parquet(f"{other.root}/revisions/{revision}/{table}")
+        other._write_text(f"revisions/{revision}/manifest.json", json.dumps(manifest, sort_keys=True))
+    summary = {"revisions": names[::-1]}
+    other._write_text("backup.json", json.dumps(summary))
+    if names:
+        other._write_text("current.json", json.dumps({"revision": names[0]}))
+    return summary
+
+
+def verify_backup(spark: SparkSession, path: str) -> None:
+    """Every revision has its tables with their digests and a parent in the backup."""
+    w = Workspace(spark, path)
+    names = json.loads(w._read_text("backup.json"))["revisions"]
+    for k, revision in enumerate(names):
+        w.verify(revision)
+        parent = json.loads(w._read_text(f"revisions/{revision}/manifest.json"))["parent"]
+        if parent != (names[k - 1] if k else None):
+            raise ValueError(f"{revision} does not follow its parent")
+
+
+def restore(spark: SparkSession, path: str, target: str) -> Workspace:
+    """A new workspace from a verified backup."""
+    verify_backup(spark, path)
+    backup(Workspace(spark, path), target)
+    return Workspace(spark, target)

@@ -302,3 +302,40 @@ def test_refreshed_scores_equal_full_scores(spark):
     score = lambda recs, pairs: scoring.fuzzy_scores(blocking.with_records(pairs, recs, ["name"]))
     full = lambda recs: score(recs, blocking.candidates(recs)).select("left", "right", "score")
     assert incremental.equal_sets(incremental.refresh_scores(old, new, full(old), score), full(new))
+
+
+def test_backup_and_restore(spark, tmp_path):
+    from kinweave.sources.store import backup, restore, verify_backup
+
+    w = Workspace(spark, f"file://{tmp_path}/w")
+    r = records(spark, [("1", "a", "ACME"), ("2", "b", "ACME")])
+    match.run(w, "r1", r, match.Policy(), publish=True)
+    match.run(w, "r2", r.where("record_id = '1'"), match.Policy(), publish=True)
+    assert backup(w, f"file://{tmp_path}/b")["revisions"] == ["r1", "r2"]
+    again = restore(spark, f"file://{tmp_path}/b", f"file://{tmp_path}/c")
+    assert again.current() == "r2" and again.table("membership", "r1").count() == 2
+    spark.range(1).write.mode("overwrite").parquet(f"file://{tmp_path}/b/revisions/r1/membership")
+    with pytest.raises(Exception):
+        verify_backup(spark, f"file://{tmp_path}/b")
+
+
+def test_learning_loop(spark):
+    from kinweave.operators import learning
+
+    rng = random.Random(7)
+    rows = [(f"l{i}", f"r{i}", x := rng.random(), int(x + 0.1 * rng.random() > 0.5), ("train", "calibration", "validation", "test")[i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "left string, right string, x double, label int, split string")
+    model, threshold, test = learning.train_candidate(df, ["x"])
+    assert threshold is not None and test.first().precision > 0.9 and model.platt
+    grid = spark.createDataFrame([("a", 100, 0.9), ("b", 50, 0.89), ("c", 10, 0.5)], "setting string, candidates int, recall double")
+    assert learning.smallest_candidate_grid(grid).first().setting == "b"
+    models = spark.createDataFrame([("m1", 1, 90, 5.0, 0.8), ("m2", 2, 90, 4.0, 0.7)], "model string, declared int, positives_at_100 int, cost double, average_precision double")
+    assert learning.choose_model(models).first().model == "m2"
+    scored = df.select("left", "right", F.col("x").alias("score"))
+    both = {r.model: r.positives for r in learning.compare_at_budget(df, scored, scored.withColumn("score", 1 - F.col("score")), 50).collect()}
+    assert both["first"] == 50 and both["second"] == 0
+    with pytest.raises(ValueError):
+        learning.compare_at_budget(df, scored, scored.limit(3), 5)
+    wide = df.select(F.col("left").alias("g"), "label", F.lit(True).alias("hit_first"), (F.col("x") > 0.5).alias("hit_second"), F.lit(999).alias("rank_first"), F.lit(1).alias("rank_second"))
+    found = learning.paired_bootstrap(wide, "g", 100, 50)
+    assert found["positives"][0] > 0 and found["cost"][1] < 0

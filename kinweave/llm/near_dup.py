@@ -4,14 +4,17 @@ Every text becomes its set of distinct word shingles; equal sets are one class f
 pairs). Classes that share a band of registers are candidates. Candidates become pairs in two steps, neither of
 which emits the pairs of a bucket:
 
-1. each class is paired with the leader of one of its buckets (the smallest hash), estimated and verified, and
-   the verified links are closed into components;
-2. buckets whose members already are of one component have nothing left to say. In the others, only pairs across
-   components are looked at: the estimate discards nearly all, the rest is verified.
+1. each bucket has LEADERS leaders (smallest by as many hashes). A class is compared with LOOK of its leaders by
+   estimate and verified with the BEST nearest of them; the verified links are closed into components;
+2. buckets whose members already are of one component have nothing left to say. Of the others, the members are
+   packed (PACK to a row; those of the bucket's largest component apart from the rest), and packs meet packs, except
+   those of the largest component among themselves. A task looks at the pairs of two packs across components
+   by their registers and lists, for each class, the plausible ones, a pair in the first band it shares only. The
+   lists are verified where the sets of the listed classes are; links alone come out.
 
 A pair within one component changes no component, so no link that matters is lost to step 2's restriction. The
 only loss is that of banding itself: a pair at exactly 0.8 shares none of 40 bands of 6 registers with a
-probability under 6e-6. Estimates discard below ESTIMATE, more than five standard deviations under 0.8.
+probability under 6e-6. Estimates discard below the threshold less SLACK, more than four standard deviations.
 
 Defined results: no words: an empty set (0 shingles), linked with nothing; fewer words than the width: the whole
 sequence is the one shingle; a row with a null doc_id is linked with nothing but its exact copies and has a null kept; repeated rows are exact copies.
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import setsketch
-from kinweave.llm.common import cut, read_table, texts
-from kinweave.llm.components import components
+from kinweave.llm.common import cut, read_table, release, texts
 from kinweave.llm.shingles import WordHashes, shingle_set
+from kinweave.operators.graph import components
 
-ESTIMATE = 0.15  # below the threshold by which an estimate discards a pair
+SLACK = 0.12  # by which an estimate may fall short of the threshold
+LEADERS, LOOK, BEST, PACK, HOME = 3, 16, 2, 256, 1024
 _HASHES = WordHashes()
 
 
@@ -58,7 +62,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """(bucket, sid, n, regs) for each band of each class."""
+    """(bucket, band, sid) for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -66,14 +70,15 @@ def _banded(classes: DataFrame) -> DataFrame:
         for b in batches:
             keys = [xxhash.xxh3_64_intdigest(r.as_py()[k * size : (k + 1) * size], seed=k) for r in b.column("regs") for k in range(setsketch.BANDS)]
             at = pa.array(np.repeat(np.arange(b.num_rows), setsketch.BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), b.column("sid").take(at)], names=["bucket", "sid"])
+            band = np.tile(np.arange(setsketch.BANDS, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(band), b.column("sid").take(at)], names=["bucket", "band", "sid"])
 
     size = 2 * setsketch.ROWS
-    return classes.select("sid", "regs").mapInArrow(run, "bucket long, sid binary")
+    return classes.select("sid", "regs").mapInArrow(run, "bucket long, band int, sid binary")
 
 
-def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the pairs (a, na, ra, b, nb, rb) whose likeliest similarity is near the threshold or above."""
+def _estimated(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, estimate) of the pairs (a, na, ra, b, nb, rb) whose likeliest similarity is ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,11 +86,72 @@ def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
                 part = b.slice(at, 2048)
                 ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, setsketch.M) for c in ("ra", "rb"))
                 na, nb = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-                keep = pa.array(setsketch.similarity(ra, rb, na, nb) >= threshold - ESTIMATE)
-                yield part.select(["a", "b"]).filter(keep)
+                e = setsketch.similarity(ra, rb, na, nb)
+                out = part.select(["a", "b"]).filter(pa.array(e >= least))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(e[e >= least])], names=["a", "b", "estimate"])
+
+    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary, estimate double")
+
+
+def _across(packs: DataFrame, threshold: float) -> DataFrame:
+    """(a, home, bs): for a class, the plausible classes of other components by home, from pairs of packs (band, p, q,
+    same; p and q: lists of sid, label, n, regs, home; p is the pack of rarer components)."""
+    width = 2 * setsketch.ROWS
+
+    def lists(band: int, p: list[dict], q: list[dict], same: bool) -> Iterator[tuple[bytes, int, list[bytes]]]:
+        rp, rq = (np.frombuffer(b"".join(x["regs"] for x in m), np.uint16).reshape(-1, setsketch.M) for m in (p, q))
+        size_p, size_q = (np.array([x["n"] for x in m], float) for m in (p, q))
+        names = {x["label"]: i for i, x in enumerate([*p, *q])}
+        lp, lq = (np.array([names[x["label"]] for x in m]) for m in (p, q))
+        for i in range(len(p)):
+            ok = (lq != lp[i]) & (np.minimum(size_p[i], size_q) >= threshold * np.maximum(size_p[i], size_q) - 1e-9)
+            if same:
+                ok[: i + 1] = False
+            j = np.flatnonzero(ok)
+            j = j[(rq[j] == rp[i]).sum(1) >= (threshold - 2 * SLACK) * setsketch.M]  # registers agree at least as often as the similarity
+            if not len(j):
+                continue
+            e = setsketch.similarity(np.repeat(rp[i : i + 1], len(j), 0), rq[j], np.full(len(j), size_p[i]), size_q[j])
+            by_home: dict[int, list[bytes]] = {}
+            for k in j[e >= threshold - SLACK]:
+                x, y = p[i]["regs"], q[k]["regs"]
+                if not any(x[t * width : (t + 1) * width] == y[t * width : (t + 1) * width] for t in range(band)):
+                    by_home.setdefault(q[k]["home"], []).append(q[k]["sid"])
+            for home, bs in by_home.items():
+                yield p[i]["sid"], home, bs
 
-    sized = pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [x for r in range(b.num_rows) for x in lists(*(b.column(c)[r].as_py() for c in ("band", "p", "q", "same")))]
+            cols = list(zip(*found)) or [(), (), ()]
+            kinds = [pa.binary(), pa.int64(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "home", "bs"])
+
+    return packs.mapInArrow(run, "a binary, home long, bs array<binary>")
+
+
+def _verified_at_home(wanted: DataFrame, homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the lists (a, home, bs): each list meets the sets of its home, HOME to a group, and only what
+    passes leaves the task. Homes with many lists are salted, their sets repeated for each salt."""
+    salts = wanted.groupBy("home").agg(F.ceil(F.count("*") / (4 * HOME)).alias("salts"))
+    mine = wanted.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("ea")), "a").join(salts, "home")
+    mine = mine.select("home", F.pmod(F.xxhash64("a"), "salts").cast("long").alias("salt"), "a", "ea", "bs")
+    there = homes.join(salts, "home").join(sets, "sid").select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "sid", "elements")
+
+    def verify(lists: pa.Table, own: pa.Table) -> pa.Table:
+        elements = dict(zip(own.column("sid").to_pylist(), own.column("elements")))
+        out = []
+        for a, ea, bs in zip(lists.column("a").to_pylist(), lists.column("ea"), lists.column("bs").to_pylist()):
+            p = np.frombuffer(ea.as_py(), np.uint64)
+            for b in bs:
+                q = np.frombuffer(elements[b].as_py(), np.uint64)
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    out.append((a, b))
+        cols = list(zip(*out)) or [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.binary()), "b": pa.array(cols[1], pa.binary())})
+
+    return mine.groupBy("home", "salt").cogroup(there.groupBy("home", "salt")).applyInArrow(lambda x, y: verify(x, y), "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,39 +194,52 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
 
     Links suffice for the components; they are not all pairs of a group.
     """
-    threshold = percent / 100
+    threshold, spark = percent / 100, docs.sparkSession
     rows = cut(sketch(docs, width))
     classes = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = cut(classes)
     entries = _banded(classes)
-    order = F.struct(F.xxhash64("sid").alias("h"), F.col("sid"))
-    leaders = entries.groupBy("bucket").agg(F.min(order).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(entries.join(leaders, "bucket").select("bucket", "sid", F.col("leader.sid").alias("leader")))
-    # step 1: one leader each
-    first = shared.groupBy("sid").agg(F.min(F.struct(F.xxhash64("leader").alias("h"), F.col("leader").alias("sid"))).alias("l")).select(F.col("sid").alias("a"), F.col("l.sid").alias("b")).where("a <> b")
+    leaders = entries.groupBy("bucket").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("sid", F.lit(k)), F.col("sid"))).alias(f"l{k}") for k in range(LEADERS)]).where("size > 1")
+    shared = cut(entries.join(leaders, "bucket").select("bucket", "band", "sid", *[F.col(f"l{k}.sid").alias(f"l{k}") for k in range(LEADERS)]))
+    release(spark)
+    # step 1: the nearest leaders
+    chosen = shared.groupBy("sid").agg(*[F.collect_set(f"l{k}").alias(f"l{k}") for k in range(LEADERS)])
+    chosen = chosen.select(F.col("sid").alias("a"), F.explode(F.slice(F.array_sort(F.transform(F.array_remove(F.array_distinct(F.concat(*[f"l{k}" for k in range(LEADERS)])), F.col("sid")), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("sid")))), 1, LOOK)).alias("l")).select("a", F.col("l.sid").alias("b"))
     facts = lambda side: classes.select(F.col("sid").alias(side), F.col("n").alias("n" + side), F.col("regs").alias("r" + side))
-    stars = cut(_plausible(first.join(facts("a"), "a").join(facts("b"), "b"), threshold))
+    sized = chosen.join(facts("a"), "a").join(facts("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    nearest = _estimated(sized, threshold - SLACK).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False), 1, BEST).alias("best"))
+    stars = cut(nearest.select("a", F.explode("best.b").alias("b")), narrow=True)
+    release(spark)
     involved = shared.select("sid").distinct()
     sets = cut(_sets(docs, classes.join(involved, "sid", "left_semi").select("sid", "doc_id"), width))
-    links = cut(_verified(stars, sets, percent))
+    release(spark)
+    links = cut(_verified(stars, sets, percent), narrow=True)
+    release(spark)
     # step 2: across the components found so far
-    label = components(links)
-    placed = shared.select("bucket", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    live = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    across = cut(placed.join(live, "bucket", "left_semi"))
-    known = across.select("sid").distinct().join(classes.select("sid", "n", "regs"), "sid")
-    detailed = across.join(known, "sid")
-    side = lambda s: detailed.select("bucket", F.col("sid").alias(s), F.col("label").alias("l" + s), F.col("n").alias("n" + s), F.col("regs").alias("r" + s))
-    pairs = side("a").join(side("b"), "bucket").where("la < lb")
-    more = _plausible(pairs, threshold).distinct()
-    links = links.union(cut(_verified(more, sets, percent)))
+    label = components(links, "a", "b")
+    placed = shared.select("bucket", "band", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    live = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("largest")).where("labels > 1").drop("labels")
+    members = cut(placed.join(live, "bucket").withColumn("rest", (F.col("label") != F.col("largest")).cast("int")))
+    involved = members.select("sid", "label").distinct()
+    groups = max(1, sets.count() // HOME)  # classes of a component live together, in parts
+    crowds = involved.groupBy("label").agg(F.ceil(F.count("*") / PACK).alias("parts"))
+    homes = cut(involved.join(crowds, "label").select("sid", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("sid"), "parts")), F.lit(groups)).cast("long").alias("home")), narrow=True)
+    packed = members.withColumn("pack", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / PACK)).cast("int") * 2 + F.col("rest")).join(homes.join(classes.select("sid", "n", "regs"), "sid"), "sid")
+    packs = packed.groupBy("bucket", "band", "pack").agg(F.collect_list(F.struct("sid", "label", "n", "regs", "home")).alias("m"))
+    side = lambda s, p: packs.select("bucket", "band", F.col("pack").alias("pack" + s), F.col("m").alias(p))
+    met = side("a", "p").join(side("b", "q"), ["bucket", "band"]).where("packa % 2 = 1 and (packb % 2 = 0 or packa <= packb)")
+    wanted = cut(_across(met.select("band", "p", "q", (F.col("packa") == F.col("packb")).alias("same")), threshold), narrow=True)
+    release(spark)
+    links = links.union(cut(_verified_at_home(wanted, homes, sets, percent), narrow=True))
+    release(spark)
     return rows, classes, links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows, classes, links = link(docs, width, percent)
-    label = components(links)
+    label = components(links, "a", "b")
     least = label.join(classes.select(F.col("sid").alias("node"), "doc_id"), "node")
     lowest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     grouped = label.join(lowest, "label").select(F.col("node").alias("sid"), "component_id")
@@ -177,7 +256,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     of their group all stay.
     """
     found = near_duplicates(docs, width, percent)
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), narrow=True)
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept

@@ -243,12 +243,21 @@ def m5_token_idf(spark, d):
     return t.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 9).alias("idf"))  # one row
 
 
-@query()
+GRAMS = """words as (select record_id, ' ' || unnest(string_split("name", ' ')) || ' ' p from rec where "name" is not null),
+ grams as (select record_id, substr(p, i, n) ngram from words, (values (3), (4), (5)) t(n), generate_series(1, 200) g(i) where i <= length(p) - n + 1),
+ total as (select count(*) n from rec where "name" is not null), idf as (select ngram, ln((1.0 + n) / (1 + count(distinct record_id))) + 1 idf from grams, total group by ngram, n)"""
+
+
+@query(f"with {REC}, {GRAMS} select ngram, round(idf, 9) idf from idf")
 def m1_name_vocabulary(spark, d):
     return retrieval.fit_vocabulary(records(spark, d)).select("ngram", F.round("idf", 9).alias("idf"))
 
 
-@query()
+@query(f"""with {REC}, {GRAMS}, tf as (select record_id, ngram, count(*) * idf w from grams join idf using (ngram) group by record_id, ngram, idf), norm as (select record_id, sqrt(sum(w * w)) z from tf group by 1),
+ vec as (select record_id, source, country, ngram, w / z w from tf join norm using (record_id) join rec using (record_id)),
+ sim as (select a.record_id a, a.source sa, b.record_id b, b.source sb, round(sum(a.w * b.w), 12) s from vec a join vec b on a.ngram = b.ngram and a.source < b.source and (a.country is null or b.country is null or a.country = b.country) group by all),
+ way as (select a q, b t, sb ts, s from sim where s >= 0.5 union all select b, a, sa, s from sim where s >= 0.5), best as (select *, row_number() over (partition by q, ts order by s desc, t) k from way)
+ select least(q, t) "left", greatest(q, t) "right", round(max(s), 6) similarity from best where k <= 5 group by 1, 2""")
 def j2_name_retrieval(spark, d):
     r = records(spark, d)
     return retrieval.name_retrieval(r, retrieval.fit_vocabulary(r), 5, 0.5).select("left", "right", F.round("similarity", 6).alias("similarity"))

@@ -6,10 +6,10 @@ import random
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.operators import metrics, scoring
+from kinweave.operators.ordering import numbered
 from kinweave.session import cut
 
 
@@ -72,5 +72,5 @@ def paired_bootstrap(labelled: DataFrame, group: str, budget: int = 100, resampl
 
 
 def ranked(scored: DataFrame, score: str, name: str) -> DataFrame:
-    """A rank by score, ties by pair; a total order over all pairs is the point, and the window holds narrow rows."""
-    return scored.withColumn(name, F.row_number().over(W.orderBy(F.desc(score), "left", "right")))
+    """A rank from 1 by score, ties by pair, over all rows."""
+    return numbered(scored, [F.desc(score), "left", "right"], "__place")[0].withColumn(name, F.col("__place") + 1).drop("__place")

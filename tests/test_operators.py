@@ -336,6 +336,8 @@ def test_learning_loop(spark):
     assert both["first"] == 50 and both["second"] == 0
     with pytest.raises(ValueError):
         learning.compare_at_budget(df, scored, scored.limit(3), 5)
+    places = {(r.left, r.right): r.place for r in learning.ranked(scored, "score", "place").collect()}
+    assert [places[r[:2]] for r in sorted(rows, key=lambda r: (-r[2], r[0], r[1]))] == list(range(1, 401))
     wide = df.select(F.col("left").alias("g"), "label", F.lit(True).alias("hit_first"), (F.col("x") > 0.5).alias("hit_second"), F.lit(999).alias("rank_first"), F.lit(1).alias("rank_second"))
     found = learning.paired_bootstrap(wide, "g", 100, 50)
     assert found["positives"][0] > 0 and found["cost"][1] < 0

@@ -4,7 +4,7 @@ The trees are trained here from labelled URLs: a bounded sample of at most TRAIN
 with the smallest hash of the URL, so that partitions and order do not matter), Newton boosting of the
 logistic loss on quantile-binned features. Features: lengths, depth, labels of the host, digit ratio, entropy,
 hyphens, parameter counts, and statistics of the host's suffix (its smoothed rate of blocks and its
-frequency in the sample). A model has a fixed size and goes to the tasks in the closure.
+frequency in the sample; each row is seen with and without them). A model has a fixed size and goes to the tasks in the closure.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; without labelled
 rows of both classes the model is their constant rate (allow if there are none). Repeated rows repeat.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import read_table
+from kinweave.llm.common import cut, read_table
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.9  # where no rule decides, only what the trees are sure of is blocked
@@ -121,6 +121,9 @@ def fit(urls: list[str], blocked: list[int], trees: int = 60, depth: int = 3, ra
         s[1] += w * b
     suffixes = {k: ((b + 5 * prior) / (n + 5), math.log1p(n)) for k, (n, b) in seen.items()}
     x = lexical(urls, suffixes, prior)
+    unknown = x.copy()  # each row once more as if its suffix had never been seen, so that new suffixes are judged by the rest
+    unknown[:, -2:] = prior, 0.0
+    x, y, weight = np.concatenate([x, unknown]), np.concatenate([y, y]), np.concatenate([weight, weight]) / 2
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)  # bin b: x <= edges[b]
     base = math.log(prior / (1 - prior))
@@ -158,8 +161,13 @@ def fit(urls: list[str], blocked: list[int], trees: int = 60, depth: int = 3, ra
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """A model from (url, blocked) rows: at most ``rows`` of them, by the smallest hash of the URL."""
-    sample = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked")).orderBy(F.xxhash64("url"), "url", "blocked").limit(rows).collect()
+    """A model from (url, blocked) rows: at most ``rows`` distinct ones, by the smallest hash of the URL.
+
+    Rows whose hash is far from small enough, given their number, do not leave their tasks."""
+    known = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked")).distinct()
+    known = cut(known.withColumn("h", F.pmod(F.xxhash64("url"), F.lit(1 << 40))))
+    near = int(min(1.0, 1.5 * rows / max(1, known.count())) * (1 << 40))
+    sample = known.where(F.col("h") <= near).orderBy("h", "url", "blocked").limit(rows).collect()
     return fit([r["url"] for r in sample], [r["blocked"] for r in sample])
 
 

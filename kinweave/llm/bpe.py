@@ -20,10 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm.common import read_table, texts
+from kinweave.llm.common import holding, read_table, texts
 
 CACHED_PIECES = 400_000  # pieces remembered by a worker in each of two generations
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 500_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -200,6 +200,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("bpe", _ENCODERS.clear)
         enc = encoder(content.value, pattern)
         for b in batches:
             counts, id_hash, text_hash, every = [], [], [], []

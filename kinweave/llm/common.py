@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,20 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), *map(F.col, more))
 
 
+_CLEAR: dict[str, Callable[[], object]] = {}
+
+
+def holding(name: str, clear: Callable[[], object] = dict) -> None:
+    """Called in a Python worker where an operator starts: it remembers things from now on (``clear`` forgets them), and
+    what other operators remembered in this worker goes. Spark reuses workers, so it would stay."""
+    others = [k for k in _CLEAR if k != name]
+    for k in others:
+        _CLEAR.pop(k)()
+    if others:
+        gc.collect()
+    _CLEAR[name] = clear
+
+
 def scan_partitions(df: DataFrame) -> int:
     """Partitions of the input as planned, in proportion to its bytes; no job runs."""
     return df.rdd.getNumPartitions()

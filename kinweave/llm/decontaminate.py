@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import read_table
+from kinweave.llm.common import holding, read_table
 
 RATE = 0.06
 GROUP = 8 << 20
@@ -154,6 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            holding("decontaminate", _MATCHERS.clear)
             matcher = _matcher(shared.value, rate)
             for b in batches:
                 rows = [(d.as_py(), *hit) for d, t in zip(b.column("doc_id"), b.column("text")) for hit in matcher.find(t.as_py())]
@@ -172,6 +173,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            holding("decontaminate", _MATCHERS.clear)
             matcher = _matcher(shared.value, rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(t.as_py()) for t in b.column("text")], pa.bool_()))

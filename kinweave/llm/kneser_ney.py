@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Scratch, cut, packed, read_table, release, scan_partitions, unpacked
+from kinweave.llm.common import Scratch, cut, holding, packed, read_table, release, scan_partitions, unpacked
 
 ORDER = 4
 FENCE, LEAST, SHORT = 3.0, 0.12, 2.0
@@ -79,6 +79,7 @@ def _chunks(rows: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _count_block(docs: pa.Table, labels: pa.Table) -> pa.Table:
+    holding("kneser_ney")
     if not docs.num_rows:
         return pa.table({"block": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     block, text, trusted, out = docs.column("block")[0].as_py(), unpacked(docs.column("text")), _trusted_rows(docs, labels), []
@@ -98,6 +99,7 @@ def _count_block(docs: pa.Table, labels: pa.Table) -> pa.Table:
 
 
 def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    holding("kneser_ney")
     n = docs.num_rows
     total, sizes, known = np.zeros(n), np.ones(n, np.int64), np.zeros(n, bool)
     if n:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import setsketch
-from kinweave.llm.common import cut, read_table, release, texts
+from kinweave.llm.common import cut, holding, read_table, release, texts
 from kinweave.llm.shingles import WordHashes, shingle_set
 from kinweave.operators.graph import components
 
@@ -48,6 +48,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, sid (digest of the set; null if empty) and regs of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("near_dup", _HASHES.clear)
         for b in batches:
             n, sid, regs = [], [], []
             for value in b.column("text"):

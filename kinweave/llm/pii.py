@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, read_table, texts
+from kinweave.llm.common import cut, holding, read_table, texts
 
 KINDS = ("email", "ip", "card", "phone")  # fixed order of the digest
 LEARNED = "ident"
@@ -128,6 +128,7 @@ def extract(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            holding("pii")
             base_out, found_out = [], []
             for value in b.column("text"):
                 text = value.as_py()

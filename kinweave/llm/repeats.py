@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, read_table, release, scan_partitions
+from kinweave.llm.common import cut, holding, read_table, release, scan_partitions
 from kinweave.llm.suffix_repeats import bucket_order, common_prefixes, maximal_intervals
 
 LENGTH, GRAM = 50, 25
@@ -114,6 +114,7 @@ def _runs(lengths: list[int]) -> Iterator[slice]:
 
 
 def _block(docs: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    holding("repeats")
     return docs.column("doc_id").to_numpy().astype(np.int64), [x.as_py() for x in docs.column("utf8")]
 
 

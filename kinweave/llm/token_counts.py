@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm.common import read_table, texts
+from kinweave.llm.common import holding, read_table, texts
 
 PART, BATCH, LIMIT = 16_384, 1 << 20, 2048
 _SAFE = " \n\t\r"
@@ -77,6 +77,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = LIMIT) -> DataFr
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("token_counts", _TOKENIZERS.clear)
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             size = np.zeros(b.num_rows, np.int64)

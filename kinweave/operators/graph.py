@@ -18,14 +18,14 @@ def components(links: DataFrame, a: str = "left", b: str = "right", most: int =
     kind = links.schema[a].dataType
     named = links.select(F.col(a).alias("a"), F.col(b).cast(kind).alias("b"))
     loops = named.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
-    edges = cut(named.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True)
+    edges = cut(named.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=2)
     for _ in range(most):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
-        after = cut(large.join(low, "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), narrow=True)
+        after = cut(large.join(low, "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), narrow=2)
         moved = after.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(after, ["u", "v"], "left_anti").limit(1).count()
         edges = after
         if not moved:

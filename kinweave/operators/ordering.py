@@ -19,7 +19,7 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "row_no") -
     """
     spread = rows.withColumn("__scan", F.monotonically_increasing_id())
     ranged = spread.repartitionByRange(*order, "__scan").sortWithinPartitions(*order, "__scan")
-    kept = cut(ranged.drop("__scan").withColumn("__at", F.monotonically_increasing_id()), narrow=True)
+    kept = cut(ranged.drop("__scan").withColumn("__at", F.monotonically_increasing_id()), narrow=2)
     part = F.shiftright("__at", 33)
     counts = kept.groupBy(part.alias("part")).agg((F.max(F.col("__at").bitwiseAND(_IN_PARTITION)) + 1).alias("n")).collect()
     offsets, total = [], 0

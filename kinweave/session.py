@@ -42,16 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """At most two partitions a core, for tables of narrow rows: a file for each of many near-empty partitions costs
-    more than its rows."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+def few_files(df: DataFrame, a_core: int) -> DataFrame:
+    """At most so many partitions a core, for tables of narrow rows: a file for each of many near-empty partitions costs
+    more than its rows. 2 suits small tables; 16 leaves tasks of a bounded size where the stage before is heavy."""
+    return df.coalesce(a_core * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+def cut(df: DataFrame, narrow: int = 0) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: lost executors do not lose it. ``narrow``: see ``few_files``."""
     ensure_checkpoint_dir(df.sparkSession)
-    return (few_files(df) if narrow else df).checkpoint(eager=True)
+    return (few_files(df, narrow) if narrow else df).checkpoint(eager=True)
 
 
 class Scratch:
@@ -60,11 +60,11 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root, self.n = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame, narrow: bool = False) -> DataFrame:
+    def keep(self, df: DataFrame, narrow: int = 0) -> DataFrame:
         """``df`` written and read again. ``narrow``: see ``few_files``."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        (few_files(df) if narrow else df).write.option("compression", "zstd").parquet(path)
+        (few_files(df, narrow) if narrow else df).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:

@@ -126,7 +126,7 @@ LANGUAGES = 4096  # a table of a row a language is broadcast up to as many, and
 
 
 def _by_lang(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    facts = cut(facts, narrow=True)
+    facts = cut(facts, narrow=2)
     return df.join(F.broadcast(facts) if facts.limit(LANGUAGES + 1).count() <= LANGUAGES else facts, "lang", how)
 
 
@@ -154,7 +154,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     """(lang, gram, logp) of all rows of ``counts`` (lang, gram, c); rows with c = 0 are asked for only."""
     seen = {4: counts.where("c > 0")}
     for n, mask in ((3, _M48), (2, _M32), (1, _M16)):
-        seen[n] = cut(seen[n + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("c")), narrow=True)
+        seen[n] = cut(seen[n + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("c")), narrow=16)
     sizes = seen[1].groupBy("lang").agg((F.count("*") + 1).alias("v"))  # one more for what was never seen
     out = counts.select("lang", "gram")
     p = 1 / F.col("v")
@@ -184,7 +184,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
     asked = scratch.keep(asked)
     release(docs.sparkSession)  # the texts are shuffled once more; not both copies need to be on disk
     counts = asked.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
-    answers = asked.select("block", "lang", "gram").join(log_probabilities(scratch.keep(counts, narrow=True)), ["lang", "gram"]).select("block", "lang", "gram", "logp")
+    answers = asked.select("block", "lang", "gram").join(log_probabilities(scratch.keep(counts, narrow=16)), ["lang", "gram"]).select("block", "lang", "gram", "logp")
     return parted.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score_block(a, b), "doc_id long, text_hash long, lang string, n_grams long, log_perplexity double")
 
 
@@ -196,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, fence: float = FENCE, least: fl
     """doc_id, text_hash, lang, n_grams, perplexity, its low and high bounds, and kept."""
     trusted = trusted_ids(labels)
     with Scratch(docs.sparkSession) as scratch:
-        scores = cut(perplexities(docs, trusted, scratch), narrow=True)
+        scores = cut(perplexities(docs, trusted, scratch), narrow=16)
     release(docs.sparkSession)
     good = scores.join(trusted.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").where("log_perplexity is not null")
     q = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)

@@ -209,12 +209,12 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     facts = lambda side: classes.select(F.col("sid").alias(side), F.col("n").alias("n" + side), F.col("regs").alias("r" + side))
     sized = chosen.join(facts("a"), "a").join(facts("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     nearest = _estimated(sized, threshold - SLACK).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False), 1, BEST).alias("best"))
-    stars = cut(nearest.select("a", F.explode("best.b").alias("b")), narrow=True)
+    stars = cut(nearest.select("a", F.explode("best.b").alias("b")), narrow=2)
     release(spark)
     involved = shared.select("sid").distinct()
     sets = cut(_sets(docs, classes.join(involved, "sid", "left_semi").select("sid", "doc_id"), width))
     release(spark)
-    links = cut(_verified(stars, sets, percent), narrow=True)
+    links = cut(_verified(stars, sets, percent), narrow=16)
     release(spark)
     # step 2: across the components found so far
     label = components(links, "a", "b")
@@ -225,14 +225,14 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     involved = members.select("sid", "label").distinct()
     groups = max(1, sets.count() // HOME)  # classes of a component live together, in parts
     crowds = involved.groupBy("label").agg(F.ceil(F.count("*") / PACK).alias("parts"))
-    homes = cut(involved.join(crowds, "label").select("sid", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("sid"), "parts")), F.lit(groups)).cast("long").alias("home")), narrow=True)
+    homes = cut(involved.join(crowds, "label").select("sid", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("sid"), "parts")), F.lit(groups)).cast("long").alias("home")), narrow=2)
     packed = members.withColumn("pack", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / PACK)).cast("int") * 2 + F.col("rest")).join(homes.join(classes.select("sid", "n", "regs"), "sid"), "sid")
     packs = packed.groupBy("bucket", "band", "pack").agg(F.collect_list(F.struct("sid", "label", "n", "regs", "home")).alias("m"))
     side = lambda s, p: packs.select("bucket", "band", F.col("pack").alias("pack" + s), F.col("m").alias(p))
     met = side("a", "p").join(side("b", "q"), ["bucket", "band"]).where("packa % 2 = 1 and (packb % 2 = 0 or packa <= packb)")
-    wanted = cut(_across(met.select("band", "p", "q", (F.col("packa") == F.col("packb")).alias("same")), threshold), narrow=True)
+    wanted = cut(_across(met.select("band", "p", "q", (F.col("packa") == F.col("packb")).alias("same")), threshold), narrow=16)
     release(spark)
-    links = links.union(cut(_verified_at_home(wanted, homes, sets, percent), narrow=True))
+    links = links.union(cut(_verified_at_home(wanted, homes, sets, percent), narrow=16))
     release(spark)
     return rows, classes, links
 
@@ -257,7 +257,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     of their group all stay.
     """
     found = near_duplicates(docs, width, percent)
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), narrow=True)
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), narrow=2)
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept

@@ -154,16 +154,16 @@ def confident_patterns(extracted: DataFrame, rounds: int = ROUNDS, confident: fl
     found = extracted.select(F.explode("found").alias("f")).select("f.seed", "f.instance", F.explode(F.array("f.wide", "f.near")).alias("pattern"))
     edges = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     seeded = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= support)
-    edges = cut(edges.join(seeded.select("pattern"), "pattern", "left_semi"), narrow=True)
+    edges = cut(edges.join(seeded.select("pattern"), "pattern", "left_semi"), narrow=2)
     known = None
     patterns = None
     for k in range(rounds):
         scored = edges.withColumn("known", F.col("seed").cast("double")) if known is None else edges.join(known, "instance", "left").withColumn("known", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
         patterns = scored.groupBy("pattern").agg((F.sum(F.col("known") * F.log1p("n")) / (F.sum(F.log1p("n")) + PRIOR * F.log1p(F.lit(1)))).alias("confidence"))
         if k + 1 < rounds:
-            patterns = cut(patterns, narrow=True)
+            patterns = cut(patterns, narrow=2)
             known = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("belief"))
-    return cut(patterns.where(F.col("confidence") >= confident), narrow=True)
+    return cut(patterns.where(F.col("confidence") >= confident), narrow=2)
 
 
 def learned_spans(extracted: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     extracted = cut(extract(docs))
-    learned = cut(learned_spans(extracted, confident_patterns(extracted)), narrow=True)
+    learned = cut(learned_spans(extracted, confident_patterns(extracted)), narrow=2)
     source = docs.withColumn("__learned", F.lit(None).cast("array<struct<start:int,kind:string,end:int>>"))
     if learned.limit(1).count():
         places = extracted.join(learned, "row").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("learned").alias("__learned")).dropDuplicates(["__id", "__hash"])

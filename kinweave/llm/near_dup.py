@@ -265,3 +265,14 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
 
 def op8_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
+
+
+OP8_SQL = """with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') words from documents),
+ s as (select distinct doc_id, hash(case when len(words) < 4 then words else words[i : i + 3] end) h from w, lateral (select unnest(generate_series(1, greatest(len(words) - 3, 1))) i) where len(words) > 0),
+ n as (select doc_id, count(*) n from s group by 1),
+ met as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+ link as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+ edge as (select a u, b v from link union select b, a from link),
+ reach(node, seen) as (select doc_id, doc_id from documents union select reach.node, edge.v from reach join edge on edge.u = reach.seen),
+ comp as (select node doc_id, min(seen) component_id from reach group by 1)
+ select doc_id, coalesce(n.n, 0) n_shingles, component_id, doc_id = component_id kept from documents left join n using (doc_id) join comp using (doc_id)"""

@@ -486,3 +486,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_spans: bool = False) ->
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("removed")
+
+
+OP9_SQL = """with b as (select doc_id, hex(encode(coalesce(text, ''))) x, strlen(coalesce(text, '')) n from documents),
+ win as (select doc_id, i, substr(x, 2 * i - 1, 100) s from b, lateral (select unnest(generate_series(1, n - 49)) i) where n >= 50),
+ least_doc as (select s, min(doc_id) f from win group by 1),
+ hit as (select doc_id, i from win join least_doc using (s) where f < doc_id),
+ cov as (select distinct doc_id, i + j p from hit, (select unnest(generate_series(0, 49)) j)),
+ run as (select doc_id, count(*) n_removed, sum(fresh) n_spans from (select doc_id, case when p - lag(p) over (partition by doc_id order by p) = 1 then 0 else 1 end fresh from cov) group by 1),
+ part as (select doc_id, string_agg(substr(x, 2 * i - 1, 2), '' order by i) k from b, lateral (select unnest(generate_series(1, n)) i) where n > 0 and doc_id in (select doc_id from cov) and not exists (select 1 from cov where cov.doc_id = b.doc_id and cov.p = i) group by 1)
+ select doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(case when n_removed is null then x else coalesce(k, '') end)) kept_sha256 from b left join run using (doc_id) left join part using (doc_id)"""

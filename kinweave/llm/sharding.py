@@ -98,5 +98,3 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-
-ORACLE_OP3 = None  # the permutation is not SQL; tests check the law and the round trip

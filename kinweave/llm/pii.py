@@ -215,7 +215,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 out.append(_redacted(text, spans) if spans else text)
             cols = {n: b.column(n) for n in names} | {"text": pa.array(out, pa.string())}
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return source.mapInArrow(run, docs.schema)

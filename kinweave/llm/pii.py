@@ -1,14 +1,16 @@
 """Personal data: exact base patterns as seeds, and bootstrapped contextual extraction on top.
 
 1. One pass over the texts finds the base spans (the seeds) and, outside them, identifier-like tokens (with a
-   digit or an @), each with the lexical patterns around it: the two words before, and the word before with
-   the word behind.
+   digit or an @), each with the lexical patterns around it: the two words before, the word before with the
+   word behind, the word before, and each of the CUES words before as a cue. It counts the words of the texts, too.
 2. Patterns and instances form a graph of edges (pattern, instance) with counts. Its scores are iterated in
    Spark: a pattern's confidence is the smoothed share of what it surrounds that is known, an instance's is
-   the best confidence of its patterns; seeds stay at 1. Sums are combined before each shuffle, so a pattern
-   that stands in a third of all texts is a few partial rows.
-3. Tokens in a pattern of high confidence that surrounds several distinct seeds are new spans of kind
-   ``ident``; base spans stay as they are.
+   the best confidence of its patterns with support; seeds stay at 1. A pattern has support by SUPPORT distinct
+   instances that are seeds or were believed (CONFIDENT) in the round before. For patterns of one word, all other
+   places of the word count as unknown surroundings, or every common word would be one. Sums are combined before
+   each shuffle, so a pattern that stands in a third of all texts is a few partial rows.
+3. Tokens in a pattern of high confidence and with support are new spans of kind ``ident``; base spans stay as
+   they are.
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive; rows with one
 doc_id are separate texts; tokens over LONGEST characters are no identifiers.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")  # fixed order of the digest
 LEARNED = "ident"
 LONGEST, SHORTEST = 64, 6
 ROUNDS, CONFIDENT, SUPPORT, PRIOR = 3, 0.6, 3, 2.0
+CUES = 4
+_HELD = 50_000  # distinct words that a task counts before it hands them on
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -113,62 +118,84 @@ def _tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             yield start, end
 
 
-def _patterns(text: str, start: int, end: int) -> tuple[str, str]:
+def _patterns(text: str, start: int, end: int) -> list[str]:
     before = [w.lower() for w in _WORD.findall(text, max(0, start - 40), start)][-2:]
     after = _WORD.search(text, end, min(len(text), end + 24))
     left = before[-1] if before else "^"
-    return f"2:{' '.join(['^'] * (2 - len(before)) + before)}", f"1:{left}|{after[0].lower() if after else '$'}"
+    low = max(0, start - 96)
+    cues = [m[0].lower() for m in _WORD.finditer(text, low, start) if m.start() > low or not low or not _WORD.match(text[low - 1])][-CUES:]
+    out = [f"2:{' '.join(['^'] * (2 - len(before)) + before)}", f"1:{left}|{after[0].lower() if after else '$'}"]
+    return out + [f"L:{w}" for w in cues[-1:]] + [f"C:{w}" for w in dict.fromkeys(cues)]
 
 
-_FOUND = "struct<start:int,end:int,seed:boolean,instance:bigint,wide:string,near:string>"
+_FOUND = "struct<start:int,end:int,seed:boolean,instance:bigint,patterns:array<string>>"
+
+
+def _word_key(word: str) -> int:
+    """60 bits that ``_word_key_of`` gives in Spark: the checkpoint then has numbers only."""
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:15], 16)
+
+
+def _word_key_of(word):
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, base (array of start, kind, end) and found (seeds and candidates with their patterns)."""
+    """row, doc_id, text_hash, base (array of start, kind, end), found (seeds and candidates with their patterns) and
+    words and uses (the keys and counts of a run of rows' words, in its last row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             holding("pii")
-            base_out, found_out = [], []
-            for value in b.column("text"):
+            base_out, found_out, keys_out, uses_out, words = [], [], [], [], Counter()
+            for i, value in enumerate(b.column("text"), 1):
                 text = value.as_py()
+                words.update(map(str.lower, _WORD.findall(text)))
+                full = len(words) >= _HELD or i == b.num_rows
+                keys_out.append([*map(_word_key, words)] if full else [])
+                uses_out.append([*words.values()] if full else [])
+                if full:
+                    words = Counter()
                 spans = base_spans(text)
                 base_out.append([{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans])
                 found = []
                 for s, e, seed in [(s, e, True) for s, _, e in spans] + [(s, e, False) for s, e in _tokens(text, spans)]:
-                    wide, near = _patterns(text, s, e)
                     key = int.from_bytes(hashlib.blake2b(text[s:e].lower().encode(), digest_size=8).digest(), "big", signed=True)
-                    found.append({"start": s, "end": e, "seed": seed, "instance": key, "wide": wide, "near": near})
+                    found.append({"start": s, "end": e, "seed": seed, "instance": key, "patterns": _patterns(text, s, e)})
                 found_out.append(found)
             base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
-            found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("wide", pa.string()), ("near", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(base_out, base_type), pa.array(found_out, found_type)], names=["doc_id", "text_hash", "base", "found"])
+            found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(base_out, base_type), pa.array(found_out, found_type), pa.array(keys_out, pa.list_(pa.int64())), pa.array(uses_out, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "base", "found", "words", "uses"])
 
     src = texts(docs)
-    out = src.select(src.doc_id.cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id long, text_hash long, base array<struct<start:int,kind:string,end:int>>, found array<{_FOUND}>")
+    out = src.select(src.doc_id.cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id long, text_hash long, base array<struct<start:int,kind:string,end:int>>, found array<{_FOUND}>, words array<long>, uses array<int>")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
 def confident_patterns(extracted: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """Patterns (pattern, confidence) of high confidence after the iterated scoring of the pattern-instance graph."""
-    found = extracted.select(F.explode("found").alias("f")).select("f.seed", "f.instance", F.explode(F.array("f.wide", "f.near")).alias("pattern"))
+    found = extracted.select(F.explode("found").alias("f")).select("f.seed", "f.instance", F.explode("f.patterns").alias("pattern"))
     edges = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    seeded = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= support)
-    edges = cut(edges.join(seeded.select("pattern"), "pattern", "left_semi"), narrow=2)
+    # with fewer instances of any kind a pattern never gets support
+    able = cut(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("uses")).where(F.col("instances") >= support), narrow=2)
+    edges = cut(edges.join(able.select("pattern"), "pattern", "left_semi"), narrow=2)
+    words = extracted.select(F.explode(F.arrays_zip("words", "uses")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.uses").alias("all"))
+    alone = able.where(F.substring("pattern", 1, 2).isin("L:", "C:")).withColumn("word", _word_key_of(F.expr("substring(pattern, 3)")))
+    blank = cut(alone.join(words, "word").select("pattern", F.greatest(F.col("all") - F.col("uses"), F.lit(0)).alias("blank")), narrow=2)
     known = None
-    patterns = None
     for k in range(rounds):
         scored = edges.withColumn("known", F.col("seed").cast("double")) if known is None else edges.join(known, "instance", "left").withColumn("known", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
-        patterns = scored.groupBy("pattern").agg((F.sum(F.col("known") * F.log1p("n")) / (F.sum(F.log1p("n")) + PRIOR * F.log1p(F.lit(1)))).alias("confidence"))
+        sums = scored.groupBy("pattern").agg(F.sum(F.col("known") * F.log1p("n")).alias("held"), F.sum(F.log1p("n")).alias("seen"), F.sum((F.col("known") >= confident).cast("int")).alias("support")).where(F.col("support") >= support)
+        rest = (PRIOR + F.coalesce("blank", F.lit(0))) * F.log1p(F.lit(1))
+        patterns = cut(sums.join(blank, "pattern", "left").select("pattern", (F.col("held") / (F.col("seen") + rest)).alias("confidence")), narrow=2)
         if k + 1 < rounds:
-            patterns = cut(patterns, narrow=2)
             known = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("belief"))
     return cut(patterns.where(F.col("confidence") >= confident), narrow=2)
 
 
 def learned_spans(extracted: DataFrame, patterns: DataFrame) -> DataFrame:
     """(row, learned): new spans in confident patterns, by row."""
-    candidates = extracted.select("row", F.explode("found").alias("f")).where(~F.col("f.seed")).select("row", "f.start", "f.end", F.explode(F.array("f.wide", "f.near")).alias("pattern"))
+    candidates = extracted.select("row", F.explode("found").alias("f")).where(~F.col("f.seed")).select("row", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
     hits = candidates.join(patterns.select("pattern"), "pattern", "left_semi").select("row", "start", "end").distinct()
     return hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(LEARNED).alias("kind"), "end"))).alias("learned"))
 

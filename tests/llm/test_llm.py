@@ -178,6 +178,21 @@ def test_context_finds_unseen_identifiers(spark):
     assert pii.find(docs_of(spark, texts).where("false")).collect() == []
 
 
+def test_context_spreads_from_learned_identifiers(spark):
+    """Names learned in one round make a context confident that has no base seed; a single cue word is a pattern,
+    a common word is not."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    handles = [f"handle_{i:04d}x" for i in range(8)]
+    texts = [f"contact me at user{i}@mail.example.org {word()}" for i in range(30)]
+    texts += [f"contact me at {h} {word()}" for h in handles]
+    texts += [f"his account name {h} {word()}" for h in handles] + [f"his account name only_{i:04d}y {word()}" for i in range(3)]
+    texts += [f"mailbox {word()} {word()} box{i}@mail.example.org {word()}" for i in range(20)] + [f"mailbox {word()} {word()} drop_{i:04d}z {word()}" for i in range(3)]
+    texts += [f"then {word()} {word()} 10.0.7.{i} {word()}" for i in range(20)] + [f"then {word()} {word()} serial{i:04d} {word()}" for i in range(3)] + [f"then {word()} {word()} then {word()}" for _ in range(100)]
+    learned = {texts[r.doc_id][s.start : s.end] for r in pii.find(docs_of(spark, texts)).collect() for s in r.learned}
+    assert learned == {*handles, *(f"only_{i:04d}y" for i in range(3)), *(f"drop_{i:04d}z" for i in range(3))}
+
+
 # 5
 
 

@@ -45,7 +45,7 @@ def _set_id(elements: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, sid (digest of the set; null if empty) and regs of every row."""
+    """doc_id, text_hash, n_shingles, sid (digest of the set; null if empty) and regs of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding("near_dup", _HASHES.clear)
@@ -56,10 +56,10 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 sid.append(_set_id(s) if len(s) else None)
                 regs.append(setsketch.registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "sid", "regs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "sid", "regs"])
 
     src = texts(docs)
-    return src.select(src.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid binary, regs binary")
+    return src.select(src.doc_id.cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sid binary, regs binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -239,27 +239,33 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    return _grouped(docs, width, percent).drop("text_hash")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """What ``near_duplicates`` gives, and text_hash."""
     rows, classes, links = link(docs, width, percent)
     label = components(links, "a", "b")
     least = label.join(classes.select(F.col("sid").alias("node"), "doc_id"), "node")
     lowest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     grouped = label.join(lowest, "label").select(F.col("node").alias("sid"), "component_id")
     known = classes.select("sid", F.col("doc_id").alias("own")).join(grouped, "sid", "left").select("sid", F.coalesce("component_id", "own").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "sid").join(known, "sid", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "sid").join(known, "sid", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, of which one of each group stays: the one with the smallest doc_id.
 
-    Rows without a doc_id stay. Rows equal in doc_id and text are one; other rows that share the smallest doc_id
-    of their group all stay.
+    Rows equal in doc_id and text are one, those without a doc_id as well, which otherwise stay. Rows are dropped by
+    doc_id and text: another text of the same doc_id is judged on its own, and other rows that share the smallest
+    doc_id of their group all stay.
     """
-    found = near_duplicates(docs, width, percent)
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), narrow=2)
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
+    gone = cut(_grouped(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), narrow=2)
+    same = (F.col("doc_id").cast("long") == F.col("__gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    kept = docs.join(gone, same, "left_anti")
+    again = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
 
 

@@ -317,6 +317,15 @@ def test_near_duplicates_of_nothing(spark):
     assert len(none) == 2
 
 
+def test_near_duplicates_are_dropped_by_id_and_text(spark):
+    copy, clean = "a b c d e f g h", "quite another text that is nobody's copy"
+    got = near_dup.drop_near_duplicates(docs_of(spark, [copy, copy, clean], [1, 2, 2]), 4).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, copy), (2, clean)]
+    for more in ([], [5, 5]):  # rows without an id are told apart by the same rule whatever else repeats
+        got = near_dup.drop_near_duplicates(docs_of(spark, [copy, copy, clean, *["one more text here"] * len(more)], [None, None, 3, *more]), 4).collect()
+        assert sorted(r.text for r in got if r.doc_id is None) == [copy]
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     for shared in (900, 500):

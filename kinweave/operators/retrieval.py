@@ -24,12 +24,12 @@ def word_grams(name: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, of_word))
 
 
-def fit_vocabulary(train: DataFrame, max_features: int = 200_000) -> DataFrame:
-    """(ngram, idf) of the most frequent n-grams; idf = ln((1 + n) / (1 + df)) + 1."""
+def fit_vocabulary(train: DataFrame, max_features: int | None = 200_000) -> DataFrame:
+    """(ngram, idf) of the most frequent n-grams, or of all (None); idf = ln((1 + n) / (1 + df)) + 1."""
     grams = train.where("name is not null").select("record_id", F.explode(word_grams(F.col("name"))).alias("ngram"))
     per = grams.groupBy("record_id", "ngram").agg(F.count("*").alias("tf"))
     totals = per.groupBy("ngram").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    kept = totals.orderBy(F.desc("tf"), "ngram").limit(max_features)  # a vocabulary bound of the model
+    kept = totals if max_features is None else totals.orderBy(F.desc("tf"), "ngram").limit(max_features)  # a vocabulary bound of the model
     n = train.where("name is not null").agg(F.count("*").alias("n"))
     return kept.crossJoin(F.broadcast(n)).select("ngram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 

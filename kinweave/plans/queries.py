@@ -257,7 +257,7 @@ GRAMS = """words as (select record_id, ' ' || unnest(string_split("name", ' '))
 
 @query(f"with {REC}, {GRAMS} select ngram, round(idf, 9) idf from idf")
 def m1_name_vocabulary(spark, d):
-    return retrieval.fit_vocabulary(records(spark, d)).select("ngram", F.round("idf", 9).alias("idf"))
+    return retrieval.fit_vocabulary(records(spark, d), None).select("ngram", F.round("idf", 9).alias("idf"))
 
 
 @query(f"""with {REC}, {GRAMS}, tf as (select record_id, ngram, count(*) * idf w from grams join idf using (ngram) group by record_id, ngram, idf), norm as (select record_id, sqrt(sum(w * w)) z from tf group by 1),
@@ -267,7 +267,7 @@ def m1_name_vocabulary(spark, d):
  select least(q, t) "left", greatest(q, t) "right", round(max(s), 6) similarity from best where k <= 5 group by 1, 2""")
 def j2_name_retrieval(spark, d):
     r = records(spark, d)
-    return retrieval.name_retrieval(r, retrieval.fit_vocabulary(r), 5, 0.5).select("left", "right", F.round("similarity", 6).alias("similarity"))
+    return retrieval.name_retrieval(r, retrieval.fit_vocabulary(r, None), 5, 0.5).select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
 # Graphs and identities

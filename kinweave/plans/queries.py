@@ -685,12 +685,16 @@ def _constraints(spark, d, cutoff):
 
 @query()
 def a10_group_bootstrap(spark, d):
-    """Percentile intervals over whole groups of labelled pairs (components of their endpoints)."""
+    """Percentile intervals over whole groups of labelled pairs (components of their endpoints); empty where the
+    operator refuses."""
     from kinweave.operators import splits
 
     s = scored(spark, d).where("label is not null").select("left", "right", "score", "label")
     grouped = splits._labels(s).withColumnRenamed("component_left", "group_id")
-    found = metrics.bootstrap(grouped, "group_id", 0.5, 200, largest_share=1.0)
+    try:
+        found = metrics.bootstrap(grouped, "group_id", 0.5)
+    except ValueError:  # under two groups, or one with more than half
+        found = {}
     return spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items()) if v], "metric string, low double, high double")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), *map(F.col, more))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 _CLEAR: dict[str, Callable[[], object]] = {}
 
 
@@ -32,9 +34,18 @@ def holding(name: str, clear: Callable[[], object] = dict) -> None:
         _CLEAR.pop(k)()
     if others:
         gc.collect()
+        hand_back()
     _CLEAR[name] = clear
 
 
+def hand_back() -> None:
+    """Called in a Python worker where an operator has ended: Spark keeps the worker, so what Arrow and the C library hold
+    of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def scan_partitions(df: DataFrame) -> int:
     """Partitions of the input as planned, in proportion to its bytes; no job runs."""
     return df.rdd.getNumPartitions()

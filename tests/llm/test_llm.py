@@ -193,6 +193,83 @@ def test_context_spreads_from_learned_identifiers(spark):
     assert learned == {*handles, *(f"only_{i:04d}y" for i in range(3)), *(f"drop_{i:04d}z" for i in range(3))}
 
 
+def brute_learned(texts):
+    """The whole scoring by dictionaries: (text, start, end) of each learned span."""
+    found, words = [], collections.Counter()
+    for i, t in enumerate(texts):
+        assigned = pii._assigned(t or "")
+        words.update(pii.words_in(t or "", assigned))
+        found += [(i, f) for f in pii.found_in(t or "", pii.base_spans(t or ""), assigned)]
+    known, plain, edges = set(), collections.defaultdict(lambda: True), collections.Counter()
+    for _, f in found:
+        if f["seed"]:
+            known.add(f["instance"])
+        for p in f["patterns"]:
+            edges[p, f["instance"]] += 1
+            plain[p, f["instance"]] &= f["plain"]
+    of, uses = collections.defaultdict(list), collections.Counter()
+    for (p, x), n in edges.items():
+        of[p].append((x, n))
+        uses[p] += n
+
+    def blank(p):
+        name = p[2:]
+        if p[0] in "21":
+            a, b = name.split(" ")
+            return max(0, words[a] * words[b] / sum(words.values()) - uses[p])
+        return max(0, words[name] - uses[p]) if p[0] in "LCAW" else 0
+
+    def belief(patterns, confidence):
+        miss = 1.0
+        for kinds in ("21LCAW", "SGE", "X"):
+            miss *= 1 - max([confidence.get(p, 0.0) for p in patterns if p[0] in kinds], default=0.0)
+        return 1 - miss
+
+    while True:
+        confidence = {}
+        for p, held in of.items():
+            if sum(x in known for x, _ in held) >= pii.SUPPORT:
+                good = sum(math.log1p(n) for x, n in held if x in known)
+                bad = sum(math.log1p(n) * (1 if plain[p, x] else pii.UNKNOWN) for x, n in held if x not in known)
+                confidence[p] = good / (good + bad + (pii.PRIOR + blank(p)) * math.log(2))
+        patterns_of = collections.defaultdict(list)
+        for p, x in edges:
+            patterns_of[x].append(p)
+        fresh = {x for x, ps in patterns_of.items() if x not in known and belief(ps, confidence) >= pii.CONFIDENT}
+        if not fresh:
+            break
+        known |= fresh
+    return {(i, f["start"], f["end"]) for i, f in found if not f["base"] and belief(f["patterns"], confidence) >= pii.CONFIDENT}
+
+
+def secret_texts():
+    rng = random.Random(31)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    prose = lambda: " ".join(pick("abdeginorst", rng.randint(2, 8)) for _ in range(rng.randint(5, 20)))
+    texts = [f'{prose()} token = "{pick("0123456789abcdef", 40)}" {prose()}' for _ in range(12)]
+    texts += [f"{prose()} password={pick('0123456789abcdef', 18)} {prose()}" for _ in range(8)]
+    texts += [f"{prose()} KEYS{pick('ABCDEFGHIJKLMNOP234567', 16)} {prose()}" for _ in range(8)]
+    texts += [f"{prose()} write to {pick('abc', 4)}{i}@mail.example.org or +1 (743) 555-38{i:02d} {prose()}" for i in range(10)]
+    texts += [f"{prose()} on 2024-01-{i:02d} it was {i * 7919} {prose()} item{i:04d}" for i in range(30)] + [prose() for _ in range(60)]
+    return texts
+
+
+def test_contextual_extraction_against_brute_force(spark):
+    """Seeds lead to the keys' names and forms, these to passwords and other keys; numbers and dates stay."""
+    texts = secret_texts() + ["", None, "4" * 70_000, "a" * 200_000 + "=" * 1000, 'token = "', "token = 5", *["same password=00aa11bb22cc33dd44 twice"] * 2]
+    got = {(r.doc_id, s.start, s.end) for r in pii.find(docs_of(spark, texts)).collect() for s in r.learned}
+    assert got == brute_learned(texts)
+    assert {i for i, _, _ in got} == {*range(28), len(texts) - 2, len(texts) - 1}
+
+
+def test_contextual_extraction_of_a_hot_pattern(spark):
+    """One pattern around a third of all rows; rows that share a doc_id or have none are texts of their own."""
+    texts = [f"reference id: {i:05d}qx" for i in range(400)] + [f"reference id: u{i}@mail.example.org" for i in range(400)] + [f"page {i:06d} of it" for i in range(400)]
+    ids = [None if i % 5 == 0 else i // 2 for i in range(len(texts))]
+    rows = pii.find(docs_of(spark, texts, ids)).collect()
+    assert len(rows) == len(texts) and sum(bool(r.learned) for r in rows) == len({i for i, _, _ in brute_learned(texts)}) == 400
+
+
 # 5
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm.common import holding, read_table, texts
+from kinweave.llm.common import hand_back, holding, read_table, texts
 
 CACHED_PIECES = 400_000  # pieces remembered by a worker in each of two generations
 CACHED_PAIRS = 500_000
@@ -183,6 +183,10 @@ class TextEncoder(dict):
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}  # of this worker: its remembered pieces serve later tasks
 
 
+def _forget() -> None:
+    _ENCODERS.clear()
+
+
 def encoder(content: bytes, pattern: str) -> TextEncoder:
     key = (hashlib.sha256(content).hexdigest(), pattern)
     if key not in _ENCODERS:
@@ -200,7 +204,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holding("bpe", _ENCODERS.clear)
+        holding("bpe", _forget)
         enc = encoder(content.value, pattern)
         for b in batches:
             counts, id_hash, text_hash, every = [], [], [], []
@@ -214,6 +218,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
             more = [pa.array(every, pa.list_(pa.int32()))] if with_ids else []
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string()), *more], names=names)
+        hand_back()
 
     src = texts(docs)
     return src.select(src.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT + (", ids array<int>" if with_ids else ""))

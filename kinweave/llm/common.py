@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.session import Scratch, cut, ensure_checkpoint_dir, read_table, release, ship  # noqa: F401
+from kinweave.session import Scratch, cut, ensure_checkpoint_dir, read_table, ship  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,8 @@ _CLEAR: dict[str, Callable[[], object]] = {}
 
 def holding(name: str, clear: Callable[[], object] = dict) -> None:
     """Called in a Python worker where an operator starts: it remembers things from now on (``clear`` forgets them), and
-    what other operators remembered in this worker goes. Spark reuses workers, so it would stay."""
+    what other operators remembered in this worker goes. Spark reuses workers, so it would stay. ``clear`` is a function of
+    a module: an object of one that a task's function names would be sent along as a copy."""
     others = [k for k in _CLEAR if k != name]
     for k in others:
         _CLEAR.pop(k)()

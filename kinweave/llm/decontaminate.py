@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import holding, read_table
+from kinweave.llm.common import hand_back, holding, read_table
 
 RATE = 0.06
 GROUP = 8 << 20
@@ -124,6 +124,10 @@ class Matcher:
 _MATCHERS: dict[str, Matcher] = {}
 
 
+def _forget() -> None:
+    _MATCHERS.clear()
+
+
 def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
     key = hashlib.sha256(repr((items, rate)).encode()).hexdigest()
     if key not in _MATCHERS:
@@ -154,13 +158,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            holding("decontaminate", _MATCHERS.clear)
+            holding("decontaminate", _forget)
             matcher = _matcher(shared.value, rate)
             for b in batches:
                 rows = [(d.as_py(), *hit) for d, t in zip(b.column("doc_id"), b.column("text")) for hit in matcher.find(t.as_py())]
                 cols = list(zip(*rows)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "distance", "start", "end"])
+            hand_back()
 
         part = src.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -173,10 +178,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            holding("decontaminate", _MATCHERS.clear)
+            holding("decontaminate", _forget)
             matcher = _matcher(shared.value, rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(t.as_py()) for t in b.column("text")], pa.bool_()))
+            hand_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

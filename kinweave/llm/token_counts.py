@@ -39,6 +39,11 @@ def safe_parts(text: str, most: int = PART) -> Iterator[str]:
 _TOKENIZERS: dict[str, object] = {}
 
 
+def _forget() -> None:
+    _TOKENIZERS.clear()
+
+
+
 def _tokenizer(kind: str, content: bytes):
     import hashlib
 
@@ -77,7 +82,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = LIMIT) -> DataFr
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holding("token_counts", _TOKENIZERS.clear)
+        holding("token_counts", _forget)
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             size = np.zeros(b.num_rows, np.int64)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Scratch, cut, holding, packed, read_table, release, scan_partitions, unpacked
+from kinweave.llm.common import Scratch, cut, hand_back, holding, packed, read_table, scan_partitions, unpacked
 
 ORDER = 4
 FENCE, LEAST, SHORT = 3.0, 0.12, 2.0
@@ -95,6 +95,7 @@ def _count_block(docs: pa.Table, labels: pa.Table) -> pa.Table:
         keys, inverse = np.unique(g, return_inverse=True)
         total = np.bincount(inverse, n, len(keys)).astype(np.int64)
         out.append(pa.table({"block": pa.array(np.full(len(keys), block, np.int32)), "lang": pa.array([lang] * len(keys), pa.string()), "gram": pa.array(keys.view(np.int64)), "n": pa.array(total)}))
+    hand_back()
     return pa.concat_tables(out)
 
 
@@ -118,23 +119,35 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 g, size = grams_of([text[int(i)].decode() for i in part])
                 total[part] = np.add.reduceat(logp[np.searchsorted(keys, g)], np.concatenate([[0], np.cumsum(size)[:-1]]))
                 sizes[part], known[part] = size, True
+    hand_back()
     per = np.where(known & ~np.isnan(total), -total / sizes, np.nan)
     return pa.table({"doc_id": docs.column("doc_id"), "text_hash": docs.column("text_hash"), "lang": docs.column("lang"), "n_grams": pa.array(sizes), "log_perplexity": pa.array(per, mask=np.isnan(per))})
 
 
 LANGUAGES = 4096  # a table of a row a language is broadcast up to as many, and joined by a shuffle beyond
+CONTEXTS = 1 << 17  # the same for contexts of no or one character, each of which a large share of all n-grams has
 
 
-def _by_lang(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+def _few(df: DataFrame, facts: DataFrame, on: str | list[str], how: str = "inner", most: int = LANGUAGES) -> DataFrame:
     facts = cut(facts, narrow=2)
-    return df.join(F.broadcast(facts) if facts.limit(LANGUAGES + 1).count() <= LANGUAGES else facts, "lang", how)
+    return df.join(F.broadcast(facts) if facts.limit(most + 1).count() <= most else facts, on, how)
+
+
+def _by_lang(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    return _few(df, facts, "lang", how)
 
 
 def _shift(c: Column | str) -> Column:
     return F.shiftrightunsigned(c, 16)
 
 
-def _order(table: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
+def _by_context(df: DataFrame, facts: DataFrame, order: int, how: str = "inner") -> DataFrame:
+    """Joined by (lang, context). A context of the lowest orders stands for so many n-grams that one task would have them."""
+    on = ["lang", "context"]
+    return _few(df, facts, on, how, CONTEXTS) if order <= 2 else df.join(facts, on, how)
+
+
+def _order(table: DataFrame, count: str, order: int) -> tuple[DataFrame, DataFrame]:
     """Of an order's n-grams (lang, gram, count): (lang, gram, own) with the discounted share, and the contexts
     (lang, context, backoff). Discounts come from the counts of counts of the language."""
     c = F.col(count)
@@ -146,7 +159,7 @@ def _order(table: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
     discounts = table.groupBy("lang").agg(*k).select("lang", *d)
     with_d = _by_lang(table, discounts).withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", _shift("gram"))
     context = with_d.groupBy("lang", "context").agg(F.sum(c).alias("total"), F.sum("d").alias("held"))
-    own = with_d.join(context, ["lang", "context"]).select("lang", "gram", ((c - F.col("d")) / F.col("total")).alias("own"))
+    own = _by_context(with_d, context, order).select("lang", "gram", ((c - F.col("d")) / F.col("total")).alias("own"))
     return own, context.select("lang", "context", (F.col("held") / F.col("total")).alias("backoff"))
 
 
@@ -160,10 +173,10 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     p = 1 / F.col("v")
     out = _by_lang(out, sizes)
     for n, mask in ((1, _M16), (2, _M32), (3, _M48), (4, None)):
-        own, context = _order(seen[n], "c")
+        own, context = _order(seen[n], "c", n)
         key = F.col("gram") if mask is None else F.col("gram").bitwiseAND(F.lit(mask))
         out = out.withColumn("p", p).withColumn("key", key).withColumn("context", _shift("key"))
-        out = out.join(own.withColumnRenamed("gram", "key"), ["lang", "key"], "left").join(context, ["lang", "context"], "left")
+        out = _by_context(out.join(own.withColumnRenamed("gram", "key"), ["lang", "key"], "left"), context, n, "left")
         p = F.coalesce("own", F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("p")
         out = out.select("lang", "gram", p.alias("q"))
         p = F.col("q")
@@ -182,7 +195,6 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
     ids = trusted.where("doc_id is not null").select(spread(doc_id), doc_id.alias("trusted_id")).distinct()
     asked = parted.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda a, b: _count_block(a, b), "block int, lang string, gram long, n long")
     asked = scratch.keep(asked)
-    release(docs.sparkSession)  # the texts are shuffled once more; not both copies need to be on disk
     counts = asked.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
     answers = asked.select("block", "lang", "gram").join(log_probabilities(scratch.keep(counts, narrow=16)), ["lang", "gram"]).select("block", "lang", "gram", "logp")
     return parted.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score_block(a, b), "doc_id long, text_hash long, lang string, n_grams long, log_perplexity double")
@@ -197,7 +209,6 @@ def classify(docs: DataFrame, labels: DataFrame, fence: float = FENCE, least: fl
     trusted = trusted_ids(labels)
     with Scratch(docs.sparkSession) as scratch:
         scores = cut(perplexities(docs, trusted, scratch), narrow=16)
-    release(docs.sparkSession)
     good = scores.join(trusted.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").where("log_perplexity is not null")
     q = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     bounds = good.groupBy("lang").agg(q.alias("q")).select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))

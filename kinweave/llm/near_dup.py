@@ -31,15 +31,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import setsketch
-from kinweave.llm.common import cut, holding, read_table, release, texts
+from kinweave.llm.common import cut, hand_back, holding, read_table, texts
 from kinweave.llm.shingles import WordHashes, shingle_set
 from kinweave.operators.graph import components
 
 SLACK = 0.12  # by which an estimate may fall short of the threshold
 LEADERS, LOOK, BEST, PACK, HOME = 3, 16, 2, 256, 1024
+MANY = 1000  # a class with this share of the rows is joined by broadcast
 _HASHES = WordHashes()
 
 
+def _forget() -> None:
+    _HASHES.clear()
+
+
+def _shingles(text: str, width: int) -> np.ndarray:
+    return shingle_set(text, width, _HASHES)
+
+
 def _set_id(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
@@ -48,15 +57,16 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, sid (digest of the set; null if empty) and regs of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holding("near_dup", _HASHES.clear)
+        holding("near_dup", _forget)
         for b in batches:
             n, sid, regs = [], [], []
             for value in b.column("text"):
-                s = shingle_set(value.as_py(), width, _HASHES)
+                s = _shingles(value.as_py(), width)
                 n.append(len(s))
                 sid.append(_set_id(s) if len(s) else None)
                 regs.append(setsketch.registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "sid", "regs"])
+        hand_back()
 
     src = texts(docs)
     return src.select(src.doc_id.cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sid binary, regs binary")
@@ -179,11 +189,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             sid, elements = [], []
             for text, want in zip(b.column("text"), b.column("sid")):
-                s = shingle_set(text.as_py(), width, _HASHES)
+                s = _shingles(text.as_py(), width)
                 if _set_id(s) == want.as_py():  # a doc_id may stand for several texts
                     sid.append(want.as_py())
                     elements.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(elements, pa.binary())], names=["sid", "elements"])
+        hand_back()
 
     src = texts(docs)
     joined = src.select(src.doc_id.cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "sid"), "doc_id")
@@ -191,18 +202,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with sid, classes with n and the smallest doc_id, verified links between classes as (a, b)).
+    """(rows with sid, classes with n, copies and the smallest doc_id, verified links between classes as (a, b)).
 
     Links suffice for the components; they are not all pairs of a group.
     """
     threshold, spark = percent / 100, docs.sparkSession
     rows = cut(sketch(docs, width))
-    classes = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    classes = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
     classes = cut(classes)
     entries = _banded(classes)
     leaders = entries.groupBy("bucket").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("sid", F.lit(k)), F.col("sid"))).alias(f"l{k}") for k in range(LEADERS)]).where("size > 1")
     shared = cut(entries.join(leaders, "bucket").select("bucket", "band", "sid", *[F.col(f"l{k}.sid").alias(f"l{k}") for k in range(LEADERS)]))
-    release(spark)
     # step 1: the nearest leaders
     chosen = shared.groupBy("sid").agg(*[F.collect_set(f"l{k}").alias(f"l{k}") for k in range(LEADERS)])
     chosen = chosen.select(F.col("sid").alias("a"), F.explode(F.slice(F.array_sort(F.transform(F.array_remove(F.array_distinct(F.concat(*[f"l{k}" for k in range(LEADERS)])), F.col("sid")), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("sid")))), 1, LOOK)).alias("l")).select("a", F.col("l.sid").alias("b"))
@@ -210,12 +220,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     sized = chosen.join(facts("a"), "a").join(facts("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     nearest = _estimated(sized, threshold - SLACK).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False), 1, BEST).alias("best"))
     stars = cut(nearest.select("a", F.explode("best.b").alias("b")), narrow=2)
-    release(spark)
     involved = shared.select("sid").distinct()
     sets = cut(_sets(docs, classes.join(involved, "sid", "left_semi").select("sid", "doc_id"), width))
-    release(spark)
     links = cut(_verified(stars, sets, percent), narrow=16)
-    release(spark)
     # step 2: across the components found so far
     label = components(links, "a", "b")
     placed = shared.select("bucket", "band", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -231,42 +238,61 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     side = lambda s, p: packs.select("bucket", "band", F.col("pack").alias("pack" + s), F.col("m").alias(p))
     met = side("a", "p").join(side("b", "q"), ["bucket", "band"]).where("packa % 2 = 1 and (packb % 2 = 0 or packa <= packb)")
     wanted = cut(_across(met.select("band", "p", "q", (F.col("packa") == F.col("packb")).alias("same")), threshold), narrow=16)
-    release(spark)
     links = links.union(cut(_verified_at_home(wanted, homes, sets, percent), narrow=16))
-    release(spark)
     return rows, classes, links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    return _grouped(docs, width, percent).drop("text_hash")
+    return _grouped(docs, width, percent).drop("text_hash", "sid")
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """What ``near_duplicates`` gives, and text_hash."""
+    """What ``near_duplicates`` gives, and text_hash and sid.
+
+    Rows without words need no class. Classes that hold a MANYth of all rows or more (so at most MANY of them) are
+    broadcast; the rows of the others are dealt by class, and none of these is large against a task's share."""
     rows, classes, links = link(docs, width, percent)
     label = components(links, "a", "b")
     least = label.join(classes.select(F.col("sid").alias("node"), "doc_id"), "node")
     lowest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     grouped = label.join(lowest, "label").select(F.col("node").alias("sid"), "component_id")
-    known = classes.select("sid", F.col("doc_id").alias("own")).join(grouped, "sid", "left").select("sid", F.coalesce("component_id", "own").alias("component_id"))
-    out = rows.select("doc_id", "text_hash", "n_shingles", "sid").join(known, "sid", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    total = classes.agg(F.sum("copies").alias("total"))  # one row
+    known = classes.select("sid", F.col("doc_id").alias("own"), "copies").join(grouped, "sid", "left").crossJoin(F.broadcast(total))
+    known = cut(known.select("sid", F.coalesce("component_id", "own").alias("component_id"), (F.col("copies") * MANY >= F.col("total")).alias("large")), narrow=2)
+    large = F.broadcast(known.where("large").drop("large"))
+    every = rows.select("doc_id", "text_hash", "n_shingles", "sid")
+    alone = every.where("sid is null").withColumn("component_id", F.col("doc_id"))
+    of_large = every.where("sid is not null").join(large, "sid").select(*alone.columns)
+    of_small = every.where("sid is not null").join(F.broadcast(known.where("large").select("sid")), "sid", "left_anti").join(known.where("not large").drop("large"), "sid", "left").select(*every.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = alone.unionByName(of_large).unionByName(of_small)
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "sid")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, of which one of each group stays: the one with the smallest doc_id.
+    """The documents, all columns, of which one of each group stays.
 
-    Rows equal in doc_id and text are one, those without a doc_id as well, which otherwise stay. Rows are dropped by
-    doc_id and text: another text of the same doc_id is judged on its own, and other rows that share the smallest
-    doc_id of their group all stay.
+    A group is a component or, where no row of equal sets has a doc_id, these rows. The one that stays has the smallest
+    doc_id and, among texts that share it, the smallest hash. Another text of the same doc_id is judged on its own. Rows
+    equal in doc_id (null as well) and text are one. Rows without words are in no group.
     """
-    gone = cut(_grouped(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), narrow=2)
-    same = (F.col("doc_id").cast("long") == F.col("__gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    grouped = cut(_grouped(docs, width, percent).select("doc_id", "text_hash", "component_id", "sid", "kept"), narrow=16)
+    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    later = grouped.where("component_id is not null and not (kept <=> true)").select(*key)
+    # several texts of one set under the smallest doc_id, or of one set without a doc_id: few, and all but one go
+    firsts = grouped.where("sid is not null and kept").groupBy("component_id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first < last")
+    tied = grouped.where("kept").join(firsts, "component_id").where("text_hash <> first").select(*key)
+    nameless = grouped.where("sid is not null and component_id is null")
+    firsts = nameless.groupBy("sid").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first < last")
+    unnamed = nameless.join(firsts, "sid").where("text_hash <> first").select(*key)
+    gone = cut(later.union(tied).union(unnamed).distinct(), narrow=2)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
     kept = docs.join(gone, same, "left_anti")
-    again = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
-    return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
+    again = cut(grouped.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").join(gone.select(F.col("__id").alias("i"), F.col("__hash").alias("h")), F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h")), "left_anti").drop("n"), narrow=2)
+    if not again.limit(1).count():
+        return kept
+    one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").union(one)
 
 
 def op8_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

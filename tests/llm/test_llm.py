@@ -403,6 +403,18 @@ def test_near_duplicates_are_dropped_by_id_and_text(spark):
         assert sorted(r.text for r in got if r.doc_id is None) == [copy]
 
 
+def test_one_row_of_each_group_stays(spark):
+    copy, other, clean = "a b c d e f g h", "A b c d e f g h", "quite another text that is nobody's copy"
+    texts = lambda rows, ids: sorted((r.text or "" for r in near_dup.drop_near_duplicates(docs_of(spark, rows, ids), 4).collect()))
+    assert len(texts([copy, other, copy], [1, 1, 2])) == 1  # one set, two texts under the smallest id
+    assert texts([copy, other, clean], [None, None, None])[1:] == [clean]
+    assert texts([copy, clean, copy], [None, 3, 4]) == [copy, clean]  # a copy of a document that has an id
+    assert texts(["", "", None, "", "x"], [1, 2, 2, 2, 5]) == ["", "", "", "x"]  # (2, "") once; null is another text
+    many = near_dup.near_duplicates(docs_of(spark, [copy] * 900 + ["", None] * 200 + [f"{i} {clean}" for i in range(200)]), 4)
+    got = {r.doc_id: r for r in many.collect()}
+    assert len(got) == 1500 and all(got[i].component_id == 0 for i in range(900)) and all(got[i].kept and not got[i].n_shingles for i in range(900, 1300))
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     for shared in (900, 500):

@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, holding, read_table, release, scan_partitions
+from kinweave.llm.common import cut, holding, read_table, scan_partitions
 from kinweave.llm.suffix_repeats import bucket_order, common_prefixes, maximal_intervals
 
 LENGTH, GRAM = 50, 25
@@ -474,12 +474,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_spans: bool = False) ->
     by_block = parted.groupBy("block")
     asked = by_block.applyInArrow(lambda t: _ask(t, shards), ASK)
     repeated = cut(asked.groupBy("shard").applyInArrow(lambda t: _repeated(t, hot), ANSWER))
-    del asked
-    release(spark)
     sent = by_block.cogroup(repeated.groupBy("block")).applyInArrow(lambda t, a: _send(t, a, shards), SEND)
     settled = cut(sent.groupBy("shard").applyInArrow(_settle_shard, ANSWER))
-    del sent
-    release(spark)
     answers = repeated.union(settled)
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _cover(t, a, shards, with_spans), RESULT)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import bpe, decontaminate, kneser_ney, near_dup, pii
-from kinweave.llm.common import read_table, ship
+from kinweave.llm.common import cut, read_table, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENS = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -67,7 +67,8 @@ ORACLE_SQL = None  # perplexities and edit distances are no SQL; tests compare w
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what each stage before it keeps is written once, as later ones read it several times."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +32,17 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a local master; on a
+    cluster executors would write to their own disks, so that fails."""
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
     if here:
         return here
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-checkpoints-")
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        wanted = tempfile.mkdtemp(prefix="kinweave-checkpoints-")
     sc.setCheckpointDir(wanted)
     return wanted
 
@@ -48,10 +53,25 @@ def few_files(df: DataFrame, a_core: int) -> DataFrame:
     return df.coalesce(a_core * df.sparkSession.sparkContext.defaultParallelism)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans made in this block drop their shuffle files as soon as their action has ended; what they write stays."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def cut(df: DataFrame, narrow: int = 0) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: lost executors do not lose it. ``narrow``: see ``few_files``."""
     ensure_checkpoint_dir(df.sparkSession)
-    return (few_files(df, narrow) if narrow else df).checkpoint(eager=True)
+    with _own_shuffles(df.sparkSession):
+        return (few_files(df, narrow) if narrow else df.select("*")).checkpoint(eager=True)
 
 
 class Scratch:
@@ -64,7 +84,8 @@ class Scratch:
         """``df`` written and read again. ``narrow``: see ``few_files``."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        (few_files(df, narrow) if narrow else df).write.option("compression", "zstd").parquet(path)
+        with _own_shuffles(self.spark):
+            (few_files(df, narrow) if narrow else df.select("*")).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:
@@ -75,25 +96,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # events in the queue hold plans
-    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
-    for _ in range(3):  # what the first pass frees makes the rest unreachable
-        gc.collect()
-        until = time.time() + 20
-        while len(queue) and time.time() < until:  # Python's references go one by one
-            time.sleep(0.05)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+_SHIPPED: set[str] = set()
 
 
-_SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that they need no installation of it."""
+    """Send this package to the executors once a session, so that they need no installation of it; and bound what a Python
+    worker holds of its input: texts are long, so Arrow batches are limited by their bytes (a lower limit stays)."""
     sc = spark.sparkContext
+    held = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH, "64m"))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent

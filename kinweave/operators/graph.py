@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from kinweave.session import cut
 
 
-def components(links: DataFrame, a: str = "left", b: str = "right", most: int = 100) -> DataFrame:
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Of a set of edges: their number and two sums of hashes, equal for equal sets."""
+    h = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count("*"), h(0), h(1)).first())
+
+
+def components(links: DataFrame, a: str = "left", b: str = "right") -> DataFrame:
     """(node, label) of each node of ``links``, the label being the smallest node of its component.
 
     Alternating large-star and small-star rounds until all links are stars; rounds grow with the logarithm of the
@@ -19,19 +25,17 @@ def components(links: DataFrame, a: str = "left", b: str = "right", most: int =
     named = links.select(F.col(a).alias("a"), F.col(b).cast(kind).alias("b"))
     loops = named.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     edges = cut(named.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=2)
-    for _ in range(most):
+    state = _fingerprint(edges)
+    while True:  # labels only ever fall
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
-        after = cut(large.join(low, "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), narrow=2)
-        moved = after.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-        edges = after
-        if not moved:
+        edges = cut(large.join(low, "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), narrow=2)
+        before, state = state, _fingerprint(edges)
+        if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     alone = loops.distinct().join(stars, "node", "left_anti").join(roots, "node", "left_anti")
@@ -45,62 +49,97 @@ def clusters(records: DataFrame, links: DataFrame, id_col: str = "record_id") ->
 
 
 DECISION = "left string, right string, score double, status string, reason string, conflicts array<struct<left:string,right:string>>"
-
-
-def _greedy(nodes: set[str], edges: list[dict], must: list[tuple[str, str]], cannot: set[tuple[str, str]], suppressed: set[tuple[str, str]], threshold: float, review: float):
-    """The rules on one small graph: labels by node, and a decision a row."""
-    parent = {n: n for n in nodes}
-
-    def root(x: str) -> str:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+# The published reasons of decisions and the status of each.
+STATUS = {
+    "explicit_must_link": "accepted",
+    "explicit_cannot_link": "conflict",
+    "transitive_must_link": "accepted",
+    "revoked_basis_requires_review": "suppressed",
+    "cluster_cannot_link": "conflict",
+    "candidate_requires_review": "review",
+    "score_at_or_above_threshold": "accepted",
+    "score_in_review_band": "review",
+    "insufficient_score_not_a_cannot_link": "below_threshold",
+}
+MERGES, READS, CLASH = "score_at_or_above_threshold", "candidate_requires_review", "cluster_cannot_link"
+
+
+def _reason(threshold: float, review: float):
+    """What a pair's own facts say: the one table of rules. Only MERGES and READS depend on clusters: where these hold a
+    cannot-link, they become CLASH."""
+    rules = [
+        ("explicit_must_link", F.col("is_must")),
+        ("explicit_cannot_link", F.col("is_cannot")),
+        ("transitive_must_link", F.col("closed")),
+        ("revoked_basis_requires_review", F.col("is_suppressed")),
+        (READS, ~F.col("auto_merge")),
+        (MERGES, F.col("score") >= threshold),
+        ("score_in_review_band", F.col("score") >= review),
+    ]
+    out = F.lit("insufficient_score_not_a_cannot_link")
+    for name, test in reversed(rules):
+        out = F.when(test, name).otherwise(out)
+    return out
+
+
+class _Clusters:
+    """Clusters that grow, with the cannot-links between them kept by cluster, so that a look-up doesn't scan them all."""
+
+    def __init__(self, cannot: list[tuple[str, str]]) -> None:
+        self.parent: dict[str, str] = {}
+        self.least: dict[str, str] = {}
+        self.apart: dict[str, dict[str, list[tuple[str, str]]]] = {}
+        for x, y in cannot:
+            both = self.apart.setdefault(x, {}).setdefault(y, [])
+            both.append((x, y))
+            self.apart.setdefault(y, {})[x] = both
+
+    def root(self, x: str) -> str:
+        path = []
+        while (up := self.parent.get(x, x)) != x:
+            path.append(x)
+            x = up
+        self.parent.update(dict.fromkeys(path, x))
         return x
 
-    def merge(x: str, y: str) -> None:
-        lo, hi = sorted((root(x), root(y)))
-        parent[hi] = lo
-
-    out = []
-    for x, y in sorted(must):
-        merge(x, y)
-        out.append((x, y, None, "accepted", "explicit_must_link", []))
-    for x, y in cannot:
-        if root(x) == root(y):
+    def label(self, x: str) -> str:
+        r = self.root(x)
+        return self.least.get(r, r)
+
+    def between(self, x: str, y: str) -> list[tuple[str, str]]:
+        return sorted(self.apart.get(self.root(x), {}).get(self.root(y), ()))
+
+    def merge(self, x: str, y: str) -> None:
+        into, gone = sorted((self.root(x), self.root(y)), key=lambda r: -len(self.apart.get(r, ())))
+        if into == gone:
+            return
+        self.parent[gone] = into
+        self.least[into] = min(self.least.get(into, into), self.least.pop(gone, gone))
+        for other, links in self.apart.pop(gone, {}).items():
+            there = self.apart[other]
+            del there[gone]
+            whole = self.apart.setdefault(into, {}).setdefault(other, [])
+            whole += links
+            there[into] = whole
+
+
+def _visit(edges: list[dict], must: list[tuple[str, str]], cannot: list[tuple[str, str]]) -> tuple[dict[str, str], list[tuple]]:
+    """One component edge by edge, best first: labels by node, and (left, right, score, reason, conflicts) of each edge."""
+    state, out = _Clusters(cannot), []
+    for x, y in must:
+        if state.between(x, y):
             raise ValueError(f"cannot-link inside the must-link closure: {x}, {y}")
-    closed = {n: root(n) for n in nodes}
-    musts = set(must)
-
-    def clash(x: str, y: str) -> list[tuple[str, str]]:
-        a, b = root(x), root(y)
-        return sorted(p for p in cannot if {root(p[0]), root(p[1])} == {a, b}) if a != b else []
-
+        state.merge(x, y)
     for e in sorted(edges, key=lambda e: (-e["score"], e["left"], e["right"])):
-        pair, found = (e["left"], e["right"]), []
-        if pair in musts:
-            status, reason = "accepted", "explicit_must_link"
-        elif pair in cannot:
-            status, reason, found = "conflict", "explicit_cannot_link", [pair]
-        elif closed[pair[0]] == closed[pair[1]]:
-            status, reason = "accepted", "must_link_closure"
-        elif pair in suppressed:
-            status, reason = "suppressed", "suppressed"
-        elif not e["auto_merge"]:
-            found = clash(*pair)
-            status, reason = ("conflict", "cluster_cannot_link") if found else ("review", "review_only")
-        elif e["score"] >= threshold:
-            found = clash(*pair)
-            if found:
-                status, reason = "conflict", "cluster_cannot_link"
-            else:
-                merge(*pair)
-                status, reason = "accepted", "score"
-        elif e["score"] >= review:
-            status, reason = "review", "review_band"
-        else:
-            status, reason = "rejected", "below_review"
-        out.append((*pair, e["score"], status, reason, found))
-    return {n: root(n) for n in nodes}, out
+        x, y, reason = e["left"], e["right"], e["reason"]
+        found = [(x, y)] if reason == "explicit_cannot_link" else state.between(x, y) if reason in (MERGES, READS) else []
+        if found and reason in (MERGES, READS):
+            reason = CLASH
+        elif reason == MERGES:
+            state.merge(x, y)
+        out.append((x, y, e["score"], reason, found))
+    ends = {n for e in edges for n in (e["left"], e["right"])} | {n for p in [*must, *cannot] for n in p}
+    return {n: state.label(n) for n in ends}, out
 
 
 def resolve(records: DataFrame, edges: DataFrame, must: DataFrame, cannot: DataFrame, suppressed: DataFrame, threshold: float = 0.9, review: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -121,10 +160,9 @@ def resolve(records: DataFrame, edges: DataFrame, must: DataFrame, cannot: DataF
     marked = edges.select("left", "right", "score", F.coalesce("auto_merge", F.lit(True)).alias("auto_merge"))
     marked = marked.join(tag(must, "is_must"), pair, "left").join(tag(cannot, "is_cannot"), pair, "left").join(tag(suppressed, "is_suppressed"), pair, "left")
     marked = marked.join(as_side(mandatory, "left", "ml"), "left", "left").join(as_side(mandatory, "right", "mr"), "right", "left")
-    marked = cut(marked.select("left", "right", "score", "auto_merge", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_must", "is_cannot", "is_suppressed")], F.coalesce(F.col("ml") == F.col("mr"), F.lit(False)).alias("closed")))
-    merging = "auto_merge and score >= {} and not is_must and not is_cannot and not is_suppressed and not closed".format(threshold)
-    reading = f"({merging}) or (not auto_merge and not is_must and not is_cannot and not is_suppressed and not closed)"
-    state = components(must.union(marked.where(reading).select(pair)))
+    marked = marked.select("left", "right", "score", "auto_merge", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_must", "is_cannot", "is_suppressed")], F.coalesce(F.col("ml") == F.col("mr"), F.lit(False)).alias("closed"))
+    marked = cut(marked.select("left", "right", "score", _reason(threshold, review).alias("reason")))
+    state = components(must.union(marked.where(F.col("reason").isin(MERGES, READS)).select(pair)))
     inner = cannot.join(as_side(state, "left", "sl"), "left").join(as_side(state, "right", "sr"), "right").where("sl = sr").select("left", "right", F.col("sl").alias("state"))
     busy = cut(inner.select("state").distinct())
     of_state = marked.join(as_side(state, "left", "sl"), "left", "left").join(as_side(state, "right", "sr"), "right", "left")
@@ -134,26 +172,22 @@ def resolve(records: DataFrame, edges: DataFrame, must: DataFrame, cannot: DataF
     # components without an inner cannot-link
     none = F.array().cast("array<struct<left:string,right:string>>")
     own = F.array(F.struct("left", "right"))
-    reason = F.when(F.col("is_must"), "explicit_must_link").when(F.col("is_cannot"), "explicit_cannot_link").when(F.col("closed"), "must_link_closure").when(F.col("is_suppressed"), "suppressed").when(~F.col("auto_merge"), "review_only").when(F.col("score") >= threshold, "score").when(F.col("score") >= review, "review_band").otherwise("below_review")
-    words = {"explicit_must_link": "accepted", "explicit_cannot_link": "conflict", "must_link_closure": "accepted", "suppressed": "suppressed", "review_only": "review", "score": "accepted", "review_band": "review", "below_review": "rejected"}
-    status = F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col("reason"))
-    quick = fast.withColumn("reason", reason).select("left", "right", "score", status.alias("status"), "reason", F.when(F.col("is_cannot"), own).otherwise(none).alias("conflicts"))
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col("reason"))
+    quick = fast.select("left", "right", "score", status.alias("status"), "reason", F.when(F.col("reason") == "explicit_cannot_link", own).otherwise(none).alias("conflicts"))
     must_rows = must.select("left", "right", F.lit(None).cast("double").alias("score"), F.lit("accepted").alias("status"), F.lit("explicit_must_link").alias("reason"), none.alias("conflicts"))
     # the others, one component a group
-    kind = lambda df, k: df.select("state", "left", "right", F.lit(None).cast("double").alias("score"), F.lit(True).alias("auto_merge"), F.lit(k).alias("kind"))
+    kind = lambda df, k: df.select("state", "left", "right", F.lit(None).cast("double").alias("score"), F.lit(k).alias("reason"))
     musts = must.join(as_side(state, "left", "state"), "left").join(busy, "state", "left_semi")
-    held = suppressed.join(as_side(state, "left", "sl"), "left").join(as_side(state, "right", "sr"), "right").where("sl = sr").withColumn("state", F.col("sl")).join(busy, "state", "left_semi")
-    work = slow.select("state", "left", "right", "score", "auto_merge", F.lit("edge").alias("kind")).union(kind(musts, "must")).union(kind(inner, "cannot")).union(kind(held, "suppressed"))
+    work = slow.select("state", "left", "right", "score", "reason").union(kind(musts, "must")).union(kind(inner, "cannot"))
 
     def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pick = lambda k: list(map(tuple, pdf.loc[pdf.kind == k, ["left", "right"]].to_numpy()))
-        rows = pdf.loc[pdf.kind == "edge"].to_dict("records")
-        labels, decisions = _greedy(set(pdf.left) | set(pdf.right), rows, pick("must"), set(pick("cannot")), set(pick("suppressed")), threshold, review)
-        out = [("decision", None, None, *d[:5], [{"left": x, "right": y} for x, y in d[5]]) for d in decisions if d[2] is not None]
+        pick = lambda k: list(map(tuple, pdf.loc[pdf.reason == k, ["left", "right"]].to_numpy()))
+        labels, decisions = _visit(pdf.loc[pdf.score.notna()].to_dict("records"), pick("must"), pick("cannot"))
+        out = [("decision", None, None, x, y, s, STATUS[r], r, [{"left": p, "right": q} for p, q in found]) for x, y, s, r, found in decisions]
         out += [("label", n, r, None, None, None, None, None, None) for n, r in labels.items()]
         return pd.DataFrame(out, columns=["row", "node", "label", "left", "right", "score", "status", "reason", "conflicts"])
 
     visited = cut(work.groupBy("state").applyInPandas(visit, "row string, node string, label string, " + DECISION))
     decisions = quick.union(must_rows).union(visited.where("row = 'decision'").select(quick.columns))
-    merges = must.union(fast.where(merging).select(pair)).union(visited.where("row = 'label'").select(F.col("node").alias("left"), F.col("label").alias("right")))
+    merges = must.union(fast.where(F.col("reason") == MERGES).select(pair)).union(visited.where("row = 'label'").select(F.col("node").alias("left"), F.col("label").alias("right")))
     return clusters(records, merges), decisions

@@ -44,18 +44,25 @@ def survivors(records: DataFrame, membership: DataFrame, fields: list[str], firs
     return joined.groupBy("entity_id").agg(*pick)
 
 
-def resolve_retired(lineage_rows: DataFrame, wanted: DataFrame, current: DataFrame, most: int = 1000) -> DataFrame:
-    """(entity_id, current_id): current entities reachable over lineage; a step a round, until nothing is new."""
+def resolve_retired(lineage_rows: DataFrame, wanted: DataFrame, current: DataFrame) -> DataFrame:
+    """(entity_id, current_id): current entities reachable over lineage, however long its chains are.
+
+    Steps are doubled: a round joins ways of up to 2^k steps to ways of twice as many, and a way that has reached a
+    current entity stays. No simple way has more steps than there are entities, so what moves after as many doublings
+    goes in circles.
+    """
     step = lineage_rows.where("from_entity <> to_entity").select("from_entity", "to_entity").distinct()
-    reached = cut(wanted.select("entity_id", F.col("entity_id").alias("at")).distinct())
-    front = reached
-    for _ in range(most):
-        found = front.join(step, F.col("at") == F.col("from_entity")).select("entity_id", F.col("to_entity").alias("at")).distinct()
-        front = cut(found.join(reached, ["entity_id", "at"], "left_anti"))
-        if not front.limit(1).count():
-            break
-        reached = cut(reached.union(front))
-    return reached.join(current.select(F.col("entity_id").alias("at")).distinct(), "at", "left_semi").select("entity_id", F.col("at").alias("current_id"))
+    goals = current.select(F.col("entity_id").alias("f")).distinct()
+    ways = cut(step.select(F.col("from_entity").alias("f"), F.col("to_entity").alias("t"), F.lit(False).alias("there")).union(goals.select("f", F.col("f").alias("t"), F.lit(True))))
+    steps = 1
+    most = ways.select(F.explode(F.array("f", "t")).alias("e")).distinct().count()
+    while steps <= most and ways.where("not there").limit(1).count():
+        on = ways.select(F.col("f").alias("m"), F.col("t").alias("n"), F.col("there").alias("arrived"))
+        further = ways.where("not there").join(on, F.col("t") == F.col("m")).select("f", F.col("n").alias("t"), F.col("arrived").alias("there"))
+        ways = cut(ways.where("there").union(further).distinct())
+        steps *= 2
+    mine = wanted.select("entity_id").distinct()
+    return mine.join(ways.where("there"), F.col("entity_id") == F.col("f")).select("entity_id", F.col("t").alias("current_id")).distinct()
 
 
 def latest_events(events: DataFrame, key: str, seq: str, cutoff: int | None, values: list[str]) -> DataFrame:

@@ -16,18 +16,18 @@ def missing_references(df: DataFrame, column: str, target: DataFrame, target_col
     return df.where(F.col(column).isNotNull()).select(column).distinct().join(target.select(F.col(target_column).alias(column)), column, "left_anti")
 
 
-def ancestry_cycles(revisions: DataFrame, most: int = 10_000) -> DataFrame:
-    """(revision_id) of revisions (revision_id, parent_id) that never reach a root: roots are peeled, level by level."""
-    left = cut(revisions.select("revision_id", "parent_id"))
-    for _ in range(most):
-        rooted = left.join(left.select(F.col("revision_id").alias("parent_id")), "parent_id", "left_anti").select("revision_id")
-        after = cut(left.join(rooted, "revision_id", "left_anti"))
-        if not after.limit(1).count():
-            return after.select("revision_id")
-        if after.count() == left.count():
-            return after.select("revision_id")
-        left = after
-    return left.select("revision_id")
+def ancestry_cycles(revisions: DataFrame) -> DataFrame:
+    """(revision_id) of revisions (revision_id, parent_id) that never reach a root: pointers to ancestors are doubled until
+    they have gone as many steps as there are revisions; what still has one is in a circle or below one."""
+    own = revisions.select("revision_id", "parent_id")
+    ids = own.select(F.col("revision_id").alias("parent_id")).distinct()
+    at = cut(own.join(ids, "parent_id", "left_semi").select("revision_id", "parent_id"))  # a parent that is missing is a root
+    steps, most = 1, at.count()
+    while steps <= most:
+        on = at.select(F.col("revision_id").alias("parent_id"), F.col("parent_id").alias("further"))
+        at = cut(at.join(on, "parent_id").select("revision_id", F.col("further").alias("parent_id")))
+        steps *= 2
+    return at.select("revision_id").distinct()
 
 
 def check_records(records: DataFrame, allowed: tuple[str, ...]) -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.session import cut
+
 
 def word_grams(name: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words padded by a space on each side; a padded word shorter than n gives itself
@@ -24,7 +26,7 @@ def word_grams(name: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, of_word))
 
 
-def fit_vocabulary(train: DataFrame, max_features: int | None = 200_000) -> DataFrame:
+def fit_vocabulary(train: DataFrame, max_features: int | None = None) -> DataFrame:
     """(ngram, idf) of the most frequent n-grams, or of all (None); idf = ln((1 + n) / (1 + df)) + 1."""
     grams = train.where("name is not null").select("record_id", F.explode(word_grams(F.col("name"))).alias("ngram"))
     per = grams.groupBy("record_id", "ngram").agg(F.count("*").alias("tf"))
@@ -56,11 +58,39 @@ def both_directions(pairs: DataFrame, k: int, least: float, digits: int = 12) ->
     return best.groupBy(F.least("query", "target").alias("left"), F.greatest("query", "target").alias("right")).agg(F.max("similarity").alias("similarity"))
 
 
+SURE = 1e-9  # bounds are widened by this, far more than sums of weights round
+
+
+def similar_pairs(v: DataFrame, facts: DataFrame, least: float, met) -> DataFrame:
+    """(record_id1, source1, record_id2, source2, similarity) of pairs with a cosine of ``least`` or more, exactly.
+
+    ``v`` has unit vectors (record_id, ngram, weight), ``met`` is the condition on the pair's facts. A vector's n-grams
+    are ordered, rare ones first; its head is what comes before the rest is shorter than ``least``. The first n-gram
+    that a pair shares lies in both heads if it reaches ``least``, so only heads meet, and frequent n-grams, whose lists
+    would be squared, are hardly in them. What heads share plus the most that the rest can add (by the lengths left
+    behind the last shared n-gram and behind the heads) must reach ``least``; only then whole vectors are compared.
+    """
+    often = v.groupBy("ngram").agg(F.count("*").alias("df"))
+    keyed = v.join(often, "ngram").select("record_id", F.xxhash64("ngram").alias("g"), "ngram", "weight", "df")
+    run = W.partitionBy("record_id").orderBy("df", "g", "ngram")
+    square = F.col("weight") * F.col("weight")
+    left = keyed.withColumn("behind", F.greatest(1 - F.sum(square).over(run.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
+    inside = F.col("behind") + square >= (max(least, 0.0) - SURE) ** 2
+    heads = left.withColumn("rest", F.min(F.when(inside, F.col("behind"))).over(W.partitionBy("record_id"))).where(inside)
+    heads = cut(heads.join(facts, "record_id").select("record_id", "source", "country", "g", "ngram", "weight", "behind", "rest"))
+    side = lambda k: heads.select("g", "ngram", *[F.col(c).alias(c + k) for c in ("record_id", "source", "country", "weight", "behind", "rest")])
+    meet = side("1").join(side("2"), ["g", "ngram"]).where(met)
+    shared = meet.groupBy("record_id1", "source1", "record_id2", "source2").agg(F.sum(F.col("weight1") * F.col("weight2")).alias("held"), F.min("behind1").alias("b1"), F.min("behind2").alias("b2"), F.min("rest1").alias("r1"), F.min("rest2").alias("r2"))
+    more = F.greatest(F.sqrt(F.col("r1") * F.col("b2")), F.sqrt(F.col("b1") * F.col("r2")))
+    able = cut(shared.where(F.col("held") + more >= least - SURE).select("record_id1", "source1", "record_id2", "source2"))
+    own = lambda k: v.select(F.col("record_id").alias("record_id" + k), "ngram", F.col("weight").alias("weight" + k))
+    whole = able.join(own("1"), "record_id1").join(own("2"), ["record_id2", "ngram"])
+    return whole.groupBy("record_id1", "source1", "record_id2", "source2").agg(F.sum(F.col("weight1") * F.col("weight2")).alias("similarity"))
+
+
 def name_retrieval(records: DataFrame, vocabulary: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
-    """Cross-source name neighbours by cosine: an equi-join on n-grams, summed by pair."""
-    v = vectors(records, vocabulary)
+    """Cross-source name neighbours by cosine."""
+    v = cut(vectors(records, vocabulary))
     facts = records.select("record_id", "source", "country")
-    side = lambda s: v.join(facts, "record_id").select("ngram", *[F.col(c).alias(f"{c}{s}") for c in ("record_id", "source", "country", "weight")])
-    met = side("1").join(side("2"), "ngram").where("source1 < source2 and (country1 is null or country2 is null or country1 = country2)")
-    pairs = met.groupBy("record_id1", "source1", "record_id2", "source2").agg(F.sum(F.col("weight1") * F.col("weight2")).alias("similarity"))
-    return both_directions(pairs.toDF("a", "source_a", "b", "source_b", "similarity"), k, least)
+    met = "source1 < source2 and (country1 is null or country2 is null or country1 = country2)"
+    return both_directions(similar_pairs(v, facts, least, met).toDF("a", "source_a", "b", "source_b", "similarity"), k, least)

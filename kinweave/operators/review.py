@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinweave.session import cut
 
 
-def review_queue(edges: DataFrame, limit: int = 100, seed: int = 7, strategy: str = "uncertain", most_rounds: int = 200) -> DataFrame:
+def review_queue(edges: DataFrame, limit: int = 100, seed: int = 7, strategy: str = "uncertain") -> DataFrame:
     """(left, right, score, rank): pairs by nearness of their score to a half, ties by a seeded hash; a round takes each
     pair whose endpoints no better pair of the round has taken, the rest wait for the next round.
 
@@ -25,7 +25,7 @@ def review_queue(edges: DataFrame, limit: int = 100, seed: int = 7, strategy: st
     taken, n, turn = None, 0, 0
     while n < limit and waiting.limit(1).count():
         open_, chosen = waiting, None
-        for _ in range(most_rounds):
+        while True:  # each pass takes the best open pair at least
             ends = open_.select(F.explode(F.array("left", "right")).alias("end"), "order").groupBy("end").agg(F.min("order").alias("first"))
             side = lambda s: ends.select(F.col("end").alias(s), F.col("first").alias("first_" + s))
             won = cut(open_.join(side("left"), "left").join(side("right"), "right").where("order = first_left and order = first_right").select("left", "right", "score", "order"))

@@ -54,7 +54,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRUTH = f"truth as (select 'd' || lpad(cast(doc_id as varchar), 8, '0') record_id, sha256(coalesce({norm_sql('text')}, '')) entity_id from documents)"
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, rules: bool = False) -> DataFrame:
     """Candidates with a score (share of equal name tokens) and a partial label: documents of ``labels`` only."""
     r = records(spark, sf_dir)
     both = with_records(pairs(spark, sf_dir), r, ["name"])
@@ -66,7 +66,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = with_records(both.select("left", "right", "rules", F.round(F.coalesce(jaccard, F.lit(0.0)), 6).alias("score")), facts, ["entity_id", "known"])
     label = F.when((F.col("known_l") == 1) & (F.col("known_r") == 1), (F.col("entity_id_l") == F.col("entity_id_r")).cast("int"))
     track = F.when(F.array_contains("rules", "name_exact"), "exact").otherwise("other")
-    return full.select("left", "right", "score", label.alias("label"), track.alias("track"))
+    return full.select("left", "right", "score", label.alias("label"), track.alias("track"), *["rules"] * rules)
 
 
 SCORED = f"""{TRUTH}, lab as (select distinct 'd' || lpad(cast(doc_id as varchar), 8, '0') record_id from labels),

@@ -236,7 +236,11 @@ def x14_evidence(spark, d):
 
 @query(f"""with {REC} select "name", count(*) n, count(*)::double / sum(count(*)) over () tf from rec where "name" is not null group by "name\"""")
 def m3_name_frequencies(spark, d):
-    n = records(spark, d).where("name is not null")
+    return name_frequencies(records(spark, d))
+
+
+def name_frequencies(r: DataFrame) -> DataFrame:
+    n = r.where("name is not null")
     total = n.agg(F.count("*").alias("total"))
     return n.groupBy("name").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("name", "n", (F.col("n") / F.col("total")).alias("tf"))  # one row
 
@@ -546,19 +550,16 @@ def x9_logistic_scores(spark, d):
 
 @query()
 def x5_fellegi_sunter(spark, d):
-    """u from pairs of the address rule, m by expectation-maximization on pairs of the name rules."""
+    """u from random pairs, m by expectation-maximization by blocks, exact names weighted by their frequency."""
     from kinweave.operators import scoring
     from kinweave.session import cut
 
-    r = records(spark, d)
-    c = pairs(spark, d)
-    levels = cut(scoring.agreement_levels(blocking.with_records(c, r, ["name", "postcode", "address"])))
-    noise = r.select("record_id", "source", "name", "postcode", "address", F.xxhash64("record_id").alias("h"))
-    slot = noise.withColumn("slot", F.pmod("h", F.lit(997)))
-    side = lambda s, k: slot.select(F.pmod(F.col("slot") + k, F.lit(997)).alias("slot"), *[F.col(x).alias(x + s) for x in ("source", "name", "postcode", "address")])
-    drawn = side("_l", 0).join(side("_r", 1), "slot").where("source_l <> source_r")
-    model = scoring.fit_fellegi_sunter(levels, scoring.estimate_u(scoring.agreement_levels(drawn)), 0.05)
-    out = model.match_weight(levels)
+    r = cut(records(spark, d))
+    c = blocking.candidates(r)
+    model = scoring.train_fellegi_sunter(r.select("record_id", "source", *scoring.LEVELS))
+    both = cut(blocking.with_records(c, r, ["name", "postcode", "address"]))
+    levels = scoring.agreement_levels(both.repartition(max(8, both.count() // scoring.PER_TASK)))
+    out = model.match_weight(levels, name_frequencies(r).select("name", "tf"))
     return out.select("left", "right", F.round("match_weight", 4).alias("match_weight"), F.round("score", 4).alias("score"))
 
 
@@ -569,7 +570,13 @@ def w6_review_queue(spark, d):
     return review.review_queue(scored(spark, d).select("left", "right", "score"), 100)
 
 
-@query()
+LABEL_PAIRS = """lp as (select "left", "right", "label", score, case cast(substr("left", 2) as int) % 5 when 0 then 'test' when 1 then 'validation' else 'train' end os from sc where "label" is not null)"""
+POSITIVE_CLOSURE = """pe as (select "left" u, "right" v from lp where "label" = 1 union select "right", "left" from lp where "label" = 1),
+ pr(node, seen) as (select x, x from (select "left" x from lp union select "right" from lp) union select pr.node, pe.v from pr join pe on pe.u = pr.seen), pc as (select node, min(seen) g from pr group by node)"""
+
+
+@query(BASE + f""", {SCORED}, {LABEL_PAIRS}, e as (select "left" u, "right" v from lp union select "right", "left" from lp), r(node, seen) as (select u, u from e union select r.node, e.v from r join e on e.u = r.seen), c as (select node, min(seen) g from r group by node)
+ select "left", "right", "label", g group_id, case when f < 50 then 'train' when f < 70 then 'validation' when f < 85 then 'calibration' else 'test' end split from (select lp.*, g, ('0x' || substr(sha256('7:' || g), 1, 16))::ubigint % 100 f from lp join c on node = "left")""")
 def u7_endpoint_split(spark, d):
     from kinweave.operators import splits
 
@@ -579,7 +586,9 @@ def u7_endpoint_split(spark, d):
     return splits.endpoint_split(positive.union(apart)).select("left", "right", "label", "group_id", "split")
 
 
-@query()
+@query(BASE + f""", {SCORED}, {LABEL_PAIRS}, {POSITIVE_CLOSURE}, sp as (select node, case when f < 60 then 'train' when f < 80 then 'validation' else 'test' end split from (select node, ('0x' || substr(sha256('7:' || g), 1, 16))::ubigint % 100 f from pc)),
+ k as (select lp.*, a.split from lp join sp a on a.node = "left" join sp b on b.node = "right" where a.split = b.split), e as (select "left" u, "right" v from k union select "right", "left" from k), r(node, seen) as (select u, u from e union select r.node, e.v from r join e on e.u = r.seen), c as (select node, min(seen) g from r group by node)
+ select "left", "right", "label", g group_id, split from k join c on "left" = node""")
 def u8_positive_split(spark, d):
     from kinweave.operators import splits
 
@@ -590,14 +599,27 @@ def u8_positive_split(spark, d):
 @query()
 def g1_constrained_resolution(spark, d):
     """Scores decide; pairs of one address are must-links, some pairs of close ids are cannot-links."""
-    s = scored(spark, d)
+    parts, _ = graph.resolve(*_governed(spark, d), 0.5, 0.2)
+    return parts
+
+
+def _governed(spark, d):
+    """Records, scored edges, must-links, cannot-links and (no) suppressed pairs."""
+    from kinweave.session import cut
+
+    s = cut(scored(spark, d, rules=True))
     edges = s.select("left", "right", "score", F.lit(True).alias("auto_merge"))
-    must = pairs(spark, d).where(F.array_contains("rules", "address_exact") & F.array_contains("rules", "name_exact")).select("left", "right")
+    must = cut(s.where(F.array_contains("rules", "address_exact") & F.array_contains("rules", "name_exact")).select("left", "right"))
     closure = graph.components(must)
     side = lambda k: closure.select(F.col("node").alias(k), F.col("label").alias("c" + k))
     cannot = s.where("score between 0.6 and 0.9").select("left", "right").join(side("left"), "left", "left").join(side("right"), "right", "left").where("not (cleft <=> cright) or cleft is null").select("left", "right")
-    parts, _ = graph.resolve(records(spark, d).select("record_id"), edges, must, cannot, must.where("false"), 0.5, 0.2)
-    return parts
+    return records(spark, d).select("record_id"), edges, must, cannot, must.where("false")
+
+
+@query()
+def g1_decisions(spark, d):
+    """The decision on each edge and must-link, with its published status and reason."""
+    return graph.resolve(*_governed(spark, d), 0.5, 0.2)[1].select("left", "right", "score", "status", "reason")
 
 
 @query("""with v as (select o_custkey source_key, arg_max(o_orderstatus, o_orderkey) s from orders where o_orderdate < timestamp '1998-06-01' group by 1), w as (select o_custkey source_key, arg_max(o_orderstatus, o_orderkey) s from orders where o_orderdate >= timestamp '1998-06-01' group by 1)
@@ -698,15 +720,35 @@ def a10_group_bootstrap(spark, d):
     return spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items()) if v], "metric string, low double, high double")
 
 
-@query()
+PROTECTED = f"""{LABEL_PAIRS}, {POSITIVE_CLOSURE}, l2 as (select lp.*, a.g gl, b.g gr from lp join pc a on a.node = "left" join pc b on b.node = "right"), bad as (select distinct gl g from l2 where "label" = 0 and gl = gr),
+ clean as (select * from l2 where gl not in (select g from bad) and gr not in (select g from bad)), k1 as (select * from clean where os = 'test'), o1 as (select gl g from k1 union select gr from k1),
+ k2 as (select * from clean where os = 'validation' and gl not in (select g from o1) and gr not in (select g from o1)), o2 as (select g from o1 union select gl from k2 union select gr from k2),
+ k3 as (select * from clean where os = 'train' and gl not in (select g from o2) and gr not in (select g from o2)), k as (select * from k1 union all select * from k2 union all select * from k3)"""
+
+
+def _protected(spark, d):
+    from kinweave.operators import splits
+
+    n = F.expr("cast(substring(left, 2) as int) % 5")
+    s = scored(spark, d).where("label is not null").select("left", "right", "label", F.when(n == 0, "test").when(n == 1, "validation").otherwise("train").alias("original_split"))
+    return splits.protected_split(s)
+
+
+@query(BASE + f""", {SCORED}, {PROTECTED} select "left", "right", "label", os split, gl left_group_id, gr right_group_id from k""")
 def u9_protected_split(spark, d):
+    return _protected(spark, d).kept.select("left", "right", "label", "split", "left_group_id", "right_group_id")
+
+
+@query(BASE + f""", {SCORED}, {PROTECTED} select 'kept' outcome, os original_split, count(*) pairs from k group by os union all select 'quarantined', os, count(*) from l2 where gl in (select g from bad) or gr in (select g from bad) group by os
+ union all select 'purged', os, count(*) from clean anti join k using ("left", "right") group by os""")
+def u9_purge_counts(spark, d):
     from kinweave.operators import splits
 
-    s = scored(spark, d).where("label is not null").select("left", "right", "label", F.when(F.xxhash64("left") % 5 == 0, "test").when(F.xxhash64("left") % 5 == 1, "validation").otherwise("train").alias("original_split"))
-    return splits.protected_split(s)[0]
+    return splits.purge_counts(_protected(spark, d))
 
 
-@query()
+@query(BASE + f""", {SCORED}, lp as (select "left", "right", "label" from sc where "label" = 1 or "label" = 0 and score <= 0.5), {POSITIVE_CLOSURE}, l2 as (select lp.*, a.g gl, b.g gr from lp join pc a on a.node = "left" join pc b on b.node = "right"), bad as (select distinct gl g from l2 where "label" = 0 and gl = gr)
+ select "left", "right", "label" from l2 where gl not in (select g from bad) and gr not in (select g from bad)""")
 def u10_adjudicated(spark, d):
     from kinweave.operators import splits
 

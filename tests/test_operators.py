@@ -203,6 +203,14 @@ def test_workbook_and_nested_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>one</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>3</v></c></row><row><c r="B2" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>')
+    with zipfile.ZipFile(tmp_path / "named.xlsx", "w") as z:  # the second member is the first sheet
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="first" r:id="x2"/><sheet name="other" r:id="x1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="x1" Target="worksheets/sheet1.xml"/><Relationship Id="x2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for k, v in ((1, "one"), (2, "two")):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet {ns}><sheetData><row/><row><c r="AA1"><v>{v}</v></c><c><v>next</v></c></row></sheetData></worksheet>')
+    named = (tmp_path / "named.xlsx").read_bytes()
+    assert list(archives.workbook_rows(named)) == [[], [""] * 26 + ["two", "next"]] and list(archives.workbook_rows(named, "other"))[1][26] == "one"
     assert [r.cells for r in archives.workbook(spark, str(tmp_path / "w.xlsx")).orderBy("line").collect()] == [["one", "", "3"], ["", "in"]]
     with zipfile.ZipFile(tmp_path / "n.zip", "w") as z:
         packed = io.BytesIO()
@@ -341,3 +349,64 @@ def test_learning_loop(spark):
     wide = df.select(F.col("left").alias("g"), "label", F.lit(True).alias("hit_first"), (F.col("x") > 0.5).alias("hit_second"), F.lit(999).alias("rank_first"), F.lit(1).alias("rank_second"))
     found = learning.paired_bootstrap(wide, "g", 100, 50)
     assert found["positives"][0] > 0 and found["cost"][1] < 0
+
+
+def plain_jaro(a, b):
+    """The textbook's double loop."""
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    reach, used, first = max(max(len(a), len(b)) // 2 - 1, 0), [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                first.append(c)
+                break
+    second = [c for c, u in zip(b, used) if u]
+    if not first:
+        return 0.0
+    m = len(first)
+    return (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(first, second)) // 2) / m) / 3
+
+
+def test_jaro_against_the_double_loop():
+    from kinweave.functions import similarity
+
+    rng = random.Random(12)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcdeé漢 ") for _ in range(rng.randint(0, 14))) for _ in "ab")
+        assert similarity.jaro(a, b) == plain_jaro(a, b), (a, b)
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8])
+def test_similar_pairs_are_exact(spark, least):
+    """Heads of rare n-grams lose no pair: every pair by dictionaries, with names that many share and one frequent word."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ABCDEFG") for _ in range(rng.randint(2, 7))) for _ in range(25)]
+    names = [" ".join(["COMMON"] * (rng.random() < 0.5) + rng.sample(words, rng.randint(1, 3))) for _ in range(120)] + ["SAME NAME"] * 20
+    r = spark.createDataFrame([(f"r{i:03d}", "ab"[i % 2], n, rng.choice([None, "x", "y"])) for i, n in enumerate(names)], "record_id string, source string, name string, country string")
+    v = retrieval.vectors(r, retrieval.fit_vocabulary(r))
+    met = "source1 < source2 and (country1 is null or country2 is null or country1 = country2)"
+    got = {(x.record_id1, x.record_id2): x.similarity for x in retrieval.similar_pairs(v, r.select("record_id", "source", "country"), least, met).collect() if x.similarity >= least}
+    vec = {}
+    for x in v.collect():
+        vec.setdefault(x.record_id, {})[x.ngram] = x.weight
+    facts = {x.record_id: x for x in r.collect()}
+    want = {(a, b): s for a in vec for b in vec if facts[a].source < facts[b].source and (not facts[a].country or not facts[b].country or facts[a].country == facts[b].country) and (s := sum(w * vec[b].get(g, 0) for g, w in vec[a].items())) >= least}
+    near = {p for p, s in want.items() if abs(s - least) < 1e-9}
+    assert set(got) - near == set(want) - near and len(want) > 80 and all(abs(got[p] - want[p]) < 1e-9 for p in set(got) & set(want))
+
+
+def test_fellegi_sunter_counts_pairs_by_variants(spark):
+    from kinweave.operators import scoring
+
+    rng = random.Random(9)
+    rows = [(f"r{i}", rng.choice("abc"), rng.choice(["ACME", "ACNE", "OTHER NAME", None]), rng.choice(["1", "2", None]), rng.choice(["LONG STREET", "LANG STREET", None])) for i in range(90)]
+    r = spark.createDataFrame(rows, "record_id string, source string, name string, postcode string, address string")
+    across = [(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] != y[1]]
+    assert scoring.random_pairs(r, 10**6).count() == len(across)
+    few = scoring.random_pairs(r, 500).count()
+    assert 150 < few < 700
+    assert scoring.blocked_levels(r, "name").agg(F.sum("weight")).first()[0] == sum(x[2] is not None and x[2] == y[2] for x, y in across)
+    model = scoring.train_fellegi_sunter(r)
+    assert model.prior == 1 / max(sum(x[1] == s for x in rows) for s in "abc") and all(abs(sum(p) - 1) < 1e-6 for side in (model.m, model.u) for p in side.values())

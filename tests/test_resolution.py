@@ -34,19 +34,19 @@ def oracle(nodes, edges, must, cannot, suppressed, threshold, review):
         elif (x, y) in cannot:
             d = ("conflict", "explicit_cannot_link")
         elif closed[x] == closed[y]:
-            d = ("accepted", "must_link_closure")
+            d = ("accepted", "transitive_must_link")
         elif (x, y) in suppressed:
-            d = ("suppressed", "suppressed")
+            d = ("suppressed", "revoked_basis_requires_review")
         elif not auto:
-            d = ("conflict", "cluster_cannot_link") if clash else ("review", "review_only")
+            d = ("conflict", "cluster_cannot_link") if clash else ("review", "candidate_requires_review")
         elif s >= threshold:
-            d = ("conflict", "cluster_cannot_link") if clash else ("accepted", "score")
+            d = ("conflict", "cluster_cannot_link") if clash else ("accepted", "score_at_or_above_threshold")
             if not clash:
                 union(x, y)
         elif s >= review:
-            d = ("review", "review_band")
+            d = ("review", "score_in_review_band")
         else:
-            d = ("rejected", "below_review")
+            d = ("below_threshold", "insufficient_score_not_a_cannot_link")
         out.append((x, y, s, *d))
     return {frozenset(g) for g in group.values()}, sorted(out, key=str)
 
@@ -57,7 +57,7 @@ def graphs(seed, n):
     for k in range(n):
         own = [f"g{k:03d}{c}" for c in "abcdefgh"[: rng.randint(2, 7)]]
         pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
-        e = [(a, b, rng.choice([0.0, 0.25, 0.5, 0.7, 0.9, 0.99, 1.0]), rng.random() < 0.8) for a, b in pairs if rng.random() < 0.6]
+        e = [(a, b, rng.choice([0.0, 0.1, 0.5, 0.6, 0.8, 0.9, 0.95, 1.0]), rng.random() < 0.8) for a, b in pairs if rng.random() < 0.6]
         m, c, s = ({p for p in pairs if rng.random() < q} for q in (0.08, 0.15, 0.08))
         if oracle(own, e, m, c, s, 0.9, 0.5) is None:
             continue
@@ -85,15 +85,17 @@ def test_resolve_matches_the_oracle(spark, seed):
     want, rows = oracle(*g, 0.9, 0.5)
     assert partition(parts) == want
     assert sorted([tuple(r)[:5] for r in decisions.collect()], key=str) == rows
-    assert {r.reason for r in decisions.collect()} >= {"score", "cluster_cannot_link", "review_only", "explicit_must_link"}
+    assert {r.reason for r in decisions.collect()} >= {"score_at_or_above_threshold", "cluster_cannot_link", "candidate_requires_review", "explicit_must_link"}
 
 
 def test_transitive_conflict_names_the_pair(spark):
-    g = (["a", "b", "c"], [("a", "b", 0.99, True), ("b", "c", 0.98, True)], set(), {("a", "c")}, set())
+    """Two clusters of three grow; the edge that would join them names both cannot-links between them."""
+    edges = [("k1", "k2", 0.97, True), ("k2", "k3", 0.96, True), ("m1", "m2", 0.95, True), ("m2", "m3", 0.94, True), ("k3", "m1", 0.92, True), ("k1", "m3", 0.3, True)]
+    g = (["k1", "k2", "k3", "m1", "m2", "m3"], edges, set(), {("k1", "m2"), ("k2", "m3")}, set())
     parts, decisions = graph.resolve(*frames(spark, *g))
-    assert partition(parts) == {frozenset("ab"), frozenset("c")}
-    row = decisions.where("left = 'b'").first()
-    assert row.status == "conflict" and [tuple(c) for c in row.conflicts] == [("a", "c")]
+    assert partition(parts) == {frozenset(["k1", "k2", "k3"]), frozenset(["m1", "m2", "m3"])}
+    row = decisions.where("left = 'k3' and right = 'm1'").first()
+    assert row.status == "conflict" and [tuple(c) for c in row.conflicts] == [("k1", "m2"), ("k2", "m3")]
 
 
 def test_contradiction_fails(spark):
@@ -144,3 +146,33 @@ def test_components_of_a_long_chain_and_a_star(spark):
     label = graph.components(spark.createDataFrame(chain + star + [("self", "self")], PAIR))
     groups = {r.label: r.n for r in label.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert groups == {"n0000": 301, "hub": 201, "self": 1}
+
+
+def test_lineage_and_ancestry_of_any_length(spark):
+    from kinweave.operators import integrity
+
+    n = 1500
+    chain = [(f"e{i:04d}", f"e{i + 1:04d}") for i in range(n)] + [("e0700", "side"), ("x", "y"), ("y", "x"), ("y", "e1499")]
+    wanted = spark.createDataFrame([("e0000",), ("e0701",), ("x",), ("gone",), ("side",)], "entity_id string")
+    current = spark.createDataFrame([(f"e{n:04d}",), ("side",), ("e0900",)], "entity_id string")
+    got = {tuple(r) for r in identity.resolve_retired(spark.createDataFrame(chain, "from_entity string, to_entity string"), wanted, current).collect()}
+    assert got == {("e0000", "e1500"), ("e0000", "side"), ("e0000", "e0900"), ("e0701", "e1500"), ("e0701", "e0900"), ("x", "e1500"), ("side", "side")}
+    rows = [(f"r{i:04d}", f"r{i - 1:04d}" if i else None) for i in range(1200)] + [("a", "b"), ("b", "c"), ("c", "a"), ("below", "a"), ("alone", "missing")]
+    left = integrity.ancestry_cycles(spark.createDataFrame(rows, "revision_id string, parent_id string"))
+    assert {r.revision_id for r in left.collect()} == {"a", "b", "c", "below"}
+
+
+def test_protected_split_keeps_each_pair_in_its_own_split(spark):
+    from kinweave.operators import splits
+
+    pairs = [("a", "b", 1, "test"), ("c", "d", 1, "validation"), ("e", "f", 1, "train"), ("a", "e", 0, "train"), ("c", "g", 0, "train"), ("g", "h", 0, "train"),
+             ("f", "i", 0, "train"), ("k", "l", 1, "train"), ("l", "m", 1, "test"), ("m", "k", 0, "validation"), ("k", "z", 0, "test"), ("d", "b", 0, "test"), ("h", "g", 0, "validation")]
+    got = splits.protected_split(spark.createDataFrame(pairs, "left string, right string, label int, original_split string"))
+    rows = {(r.left, r.right): r for r in got.kept.collect()}
+    # c and d stand in a test pair, so the validation pair of both goes; (g, h) counts once, in validation
+    assert {(k, r.split) for k, r in rows.items()} == {(("a", "b"), "test"), (("b", "d"), "test"), (("g", "h"), "validation"), (("e", "f"), "train"), (("f", "i"), "train")}
+    assert {(r.left, r.right) for r in got.purged.collect()} == {("c", "d"), ("a", "e"), ("c", "g")}
+    assert {(r.left, r.right) for r in got.quarantined.collect()} == {("k", "l"), ("l", "m"), ("k", "m"), ("k", "z")}
+    assert [tuple(r) for r in got.collapsed.collect()] == [("g", "h", 2)]
+    assert rows["a", "b"].group_id == rows["b", "d"].group_id != rows["e", "f"].group_id == rows["f", "i"].group_id
+    assert {tuple(r) for r in splits.purge_counts(got).collect()} >= {("purged", "train", 2), ("purged", "validation", 1), ("quarantined", "train", 1)}

@@ -10,14 +10,17 @@ from kinweave.operators.blocking import candidates, with_records
 from kinweave.session import read_table
 
 
+FIRST, SECOND = r"^[^.\n]*", r"^[^.\n]*[.\n][ \n]*([^.\n]*)"
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matcher records from documents: name and address are parts of the text."""
+    """Matcher records from documents: the whole first sentence or line of a text is its name, the second its address."""
     d = read_table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("record_id"),
         "source",
-        normalize_text(F.substring("text", 1, 48)).alias("name"),
-        normalize_text(F.substring("text", 49, 64)).alias("address"),
+        normalize_text(F.regexp_extract("text", FIRST, 0)).alias("name"),
+        normalize_text(F.regexp_extract("text", SECOND, 1)).alias("address"),
         F.lit(None).cast("string").alias("city"),
         F.col("n_chars").cast("string").alias("postcode"),
         F.col("lang").alias("country"),
@@ -28,8 +31,8 @@ def norm_sql(x: str) -> str:
     return f"nullif(trim(regexp_replace(regexp_replace(replace(upper({x}), 'ẞ', 'SS'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '')"
 
 
-REC = f"""rec as (select 'd' || lpad(cast(doc_id as varchar), 8, '0') record_id, source, {norm_sql("substr(text, 1, 48)")} "name",
- {norm_sql("substr(text, 49, 64)")} address, cast(null as varchar) city, cast(n_chars as varchar) postcode, lang country from documents)"""
+REC = f"""rec as (select 'd' || lpad(cast(doc_id as varchar), 8, '0') record_id, source, {norm_sql(f"regexp_extract(text, '{FIRST}')")} "name",
+ {norm_sql(f"regexp_extract(text, '{SECOND}', 1)")} address, cast(null as varchar) city, cast(n_chars as varchar) postcode, lang country from documents)"""
 KEYED = """keyed as (
  select record_id, source, country, 'name_exact' rule, "name" k from rec where "name" is not null
  union all select record_id, source, country, 'name_prefix8', substr("name", 1, 8) from rec where length("name") >= 8

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import normalize as N
 from kinweave.functions import similarity as S
 from kinweave.operators import blocking, graph, identity, metrics, retrieval
-from kinweave.plans.base import BASE, CATALOGUE, REC, SCORED, TRUTH, catalogue, norm_sql, pairs, records, scored, truth
+from kinweave.plans.base import BASE, CATALOGUE, FIRST, REC, SCORED, TRUTH, catalogue, norm_sql, pairs, records, scored, truth
 from kinweave.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,10 +74,10 @@ def p6_country_keys(spark, d):
     return N.country_key(v, "value", aliases).select("c_custkey", "country_key")
 
 
-@query("""with v as (select distinct source, replace(lower(replace(upper(lang || ' ' || substr(text, 1, 12)), 'ẞ', 'SS')), 'ß', 'ss') value_folded from documents)
+@query("""with v as (select distinct source, replace(lower(replace(upper(lang || ' ' || regexp_extract(text, '^[^.\\n]*')), 'ẞ', 'SS')), 'ß', 'ss') value_folded from documents)
  select source entity_id, value_folded, row_number() over (partition by source order by encode(value_folded)) - 1 ordinal from v""")
 def p9_search_values(spark, d):
-    docs = read_table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.concat_ws(" ", "lang", F.substring("text", 1, 12)).alias("v"))
+    docs = read_table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.concat("lang", F.lit(" "), F.regexp_extract("text", FIRST, 0)).alias("v"))
     return identity.search_values(docs, N.casefold("v")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
@@ -350,9 +350,11 @@ def g7_retired_ids(spark, d):
     return identity.resolve_retired(step, o.select(F.col("o_custkey").alias("entity_id")), current)
 
 
-@query("""select user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type from events where event_id <= 8000 group by user_id""")
+@query("""select user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type from events where event_id <= (select max(event_id) * 8 // 10 from events) group by user_id""")
 def j9_latest_event(spark, d):
-    return identity.latest_events(read_table(spark, d, "events"), "user_id", "event_id", 8000, ["event_type"])
+    """As of four fifths of the table's ids."""
+    e = read_table(spark, d, "events")
+    return identity.latest_events(e, "user_id", "event_id", e.agg(F.expr("max(event_id) * 8 div 10")).first()[0], ["event_type"])
 
 
 @query("""select user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type from events group by user_id""")
@@ -677,11 +679,12 @@ def j14_missing_endpoints(spark, d):
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", (F.col("o_custkey").isNotNull() & F.col("c_custkey").isNull()).alias("missing"))
 
 
-@query("""with st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events where event_id <= 9000 group by 1),
+@query("""with st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events where event_id <= (select max(event_id) * 9 // 10 from events) group by 1),
  k as (select 'r' || user_id a, 'r' || (user_id * 7 % 150) b, case when et = 'click' then null when et = 'purchase' then 'suppressed' when user_id % 3 = 0 then 'cannot' else 'must' end kind from st where user_id <> user_id * 7 % 150)
  select distinct least(a, b) "left", greatest(a, b) "right", kind from k where kind is not null""")
 def g9_constraints(spark, d):
-    return _constraints(spark, d, 9000)
+    """As of nine tenths of the table's ids."""
+    return _constraints(spark, d, read_table(spark, d, "events").agg(F.expr("max(event_id) * 9 div 10")).first()[0])
 
 
 @query("""with st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events group by 1),

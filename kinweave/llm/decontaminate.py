@@ -62,6 +62,26 @@ class Pattern:
             up, down = mh | (full & ~(x | ph)), ph & x
         return least, at
 
+    def prefix(self, text: str, distance: int) -> int:
+        """The length of the shortest prefix of ``text`` at this distance of the whole item: as in ``best``, but a passage
+        starts where the text does, so that each character before it costs one."""
+        full, top, get = (1 << self.size) - 1, self.top, self.masks.get
+        up, down, score = full, 0, self.size
+        if score == distance:
+            return 0
+        for i, c in enumerate(text):
+            eq = get(c, 0)
+            x = eq | down
+            h = (((eq & up) + up) ^ up) | eq
+            ph = down | (full & ~(h | up))
+            mh = up & h
+            score += (1 if ph & top else 0) - (1 if mh & top else 0)
+            if score == distance:
+                return i + 1
+            ph, mh = ((ph << 1) | 1) & full, (mh << 1) & full
+            up, down = mh | (full & ~(x | ph)), ph & x
+        return len(text)
+
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE) -> None:
@@ -102,24 +122,10 @@ class Matcher:
                 if n not in self.backward:
                     self.backward[n] = Pattern(self.items[n][1][::-1])
                 reach = text[max(lo, lo + end - self.forward[n].size - distance) : lo + end][::-1]
-                back = self._prefix(n, reach, distance)
+                back = self.backward[n].prefix(reach, distance)
                 out.append((self.items[n][0], distance, lo + end - back, lo + end))
         return sorted(out)
 
-    def _prefix(self, n: int, reversed_text: str, distance: int) -> int:
-        """The shortest length of a prefix of the reversed text at this distance of the reversed item."""
-        p, row = self.items[n][1][::-1], None
-        row = list(range(len(p) + 1))
-        if row[-1] == distance:
-            return 0
-        for j, c in enumerate(reversed_text, 1):
-            before, row[0] = row[0], j
-            for i, d in enumerate(p, 1):
-                before, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, before + (c != d))
-            if row[-1] == distance:
-                return j
-        return len(reversed_text)
-
 
 _MATCHERS: dict[str, Matcher] = {}
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +61,8 @@ def paired_bootstrap(labelled: DataFrame, group: str, budget: int = 100, resampl
     total = sum(r["n"] for r in kinds)
     if total < 2:
         raise ValueError("fewer than two groups")
-    rng, tops, costs = random.Random(seed), [], []
-    weights = [r["n"] for r in kinds]
-    for _ in range(resamples):
-        drawn = rng.choices(kinds, weights, k=total)
-        tops.append(sum(r["top_second"] - r["top_first"] for r in drawn))
-        costs.append(sum(r["cost_second"] - r["cost_first"] for r in drawn))
+    table = np.array([(r["top_second"] - r["top_first"], r["cost_second"] - r["cost_first"]) for r in kinds], np.int64)
+    tops, costs = zip(*metrics.resampled(table, [r["n"] for r in kinds], resamples, seed))
     edge = lambda v, q: float(sorted(v)[round(q * (len(v) - 1))])
     return {"positives": (edge(tops, 0.025), edge(tops, 0.975)), "cost": (edge(costs, 0.025), edge(costs, 0.975))}
 

@@ -6,42 +6,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+BLOCK = 1024  # vectors of a block
 
 
-def cross_source_pairs(vectors: DataFrame, least: float, id_col: str = "vec_id", parity: str = "label") -> DataFrame:
-    """(a, source_a, b, source_b, similarity) of source 0 against source 1 with a cosine of ``least`` or more.
+def neighbours(vectors: DataFrame, queries: Column, least: float, id_col: str = "vec_id", parity: str = "label") -> DataFrame:
+    """(query, target, target_source, similarity): for each vector that ``queries`` states, those of the other source with a
+    cosine of ``least`` or more.
 
-    Queries are packed into rows of QUERY_BLOCK vectors; each block meets each block of the other side once, and only
-    pairs over the threshold leave a task.
+    Both sides are packed into blocks, by a hash and as many as their rows ask for, so that repeated or sparse ids don't
+    matter. A block of queries meets each block of rows once; rows are sent once for each block of queries, and only what
+    passes leaves a task. Null vectors and vectors of length zero have no neighbours; rows that repeat each count.
     """
-    from pyspark.sql import Window as W
-
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding"), (F.col(parity) % 2).cast("int").alias("source"))
-    blocks = v.withColumn("block", F.floor(F.col("id") / QUERY_BLOCK)).groupBy("source", "block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("flat"))
-    left = blocks.where("source = 0").select(F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a"), F.col("block").alias("block_a"))
-    right = blocks.where("source = 1").select(F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b"))
-    sides = blocks.where("source = 1").select("block").distinct().agg(F.collect_list("block").alias("all"))
-    met = left.crossJoin(F.broadcast(sides)).select("ids_a", "flat_a", F.explode("all").alias("block"))  # one row of block numbers
-    met = met.join(blocks.where("source = 1").select("block", F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b")), "block")
-    del right, W
+    v = vectors.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.col(parity), F.lit(2)).cast("int").alias("source"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    q = v.where("asks")
+    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    many, few = blocks(v), blocks(q)
+    pack = lambda df, n: df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("source").alias("sources"), F.flatten(F.collect_list("e")).alias("flat"))
+    asked = pack(q, few).toDF("ask", "ids_q", "sources_q", "flat_q")
+    rows = pack(v, many).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(few - 1).cast("long"))))
+    met = rows.join(asked, "ask").select("ids_q", "sources_q", "flat_q", "ids", "sources", "flat")
+
+    def unit(flat: pa.Scalar, n: int) -> np.ndarray:
+        m = np.array(flat.as_py(), np.float64).reshape(n, -1)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for r in range(b.num_rows):
-                ia, ib = (np.array(b.column(c)[r].as_py()) for c in ("ids_a", "ids_b"))
-                x, y = (np.array(b.column(c)[r].as_py(), np.float64).reshape(len(i), -1) for c, i in (("flat_a", ia), ("flat_b", ib)))
-                x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
-                s = x @ y.T
-                i, j = np.nonzero(s >= least - 1e-6)
-                for k, c in enumerate((ia[i], ib[j], s[i, j])):
+                iq, sq, it, st = (np.array(b.column(c)[r].as_py()) for c in ("ids_q", "sources_q", "ids", "sources"))
+                s = unit(b.column("flat_q")[r], len(iq)) @ unit(b.column("flat")[r], len(it)).T
+                i, j = np.nonzero((s >= least - 1e-6) & (sq[:, None] != st[None, :]))
+                for k, c in enumerate((iq[i], it[j], st[j], s[i, j])):
                     out[k].append(c)
             cols = [np.concatenate(c) if c else np.empty(0) for c in out]
-            n = len(cols[0])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(cols[1].astype(np.int64)), pa.array(np.ones(n, np.int32)), pa.array(cols[2].astype(float))], names=["a", "source_a", "b", "source_b", "similarity"])
+            kinds = [np.int64, np.int64, np.int32, np.float64]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, kinds)], names=["query", "target", "target_source", "similarity"])
 
-    return met.select("ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(run, "a long, source_a int, b long, source_b int, similarity double")
+    return met.mapInArrow(run, "query long, target long, target_source int, similarity double")

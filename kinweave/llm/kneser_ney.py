@@ -1,8 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
 Trusted are the documents that ``labels`` give quality 1; all of them are counted. A language has its own
-model of order 4 (four 16-bit code units in a long, so counts are exact). The work is laid out by blocks of
-documents (a hash of the id, as many as the input has partitions):
+model of order 4 (four 16-bit code units in a long, and no two texts have the same units, so counts are exact; a
+character above U+FFFF is two units). The work is laid out by blocks of documents (a hash of the id, as many as the input
+has partitions):
 
 1. each block counts its trusted n-grams and names all distinct n-grams that its documents hold;
 2. counts are summed by (language, n-gram); discounts, continuation counts and back-off weights of every order are
@@ -38,9 +39,9 @@ _M48, _M32, _M16 = (1 << 48) - 1, (1 << 32) - 1, (1 << 16) - 1
 
 
 def units(text: str) -> np.ndarray:
-    """16-bit units: code points; those above 65535 are folded into the private-use area."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(c > 0xFFFF, 0xE000 + c % 0x1900, c).astype(np.uint64)
+    """UTF-16 code units, but the characters that START and END stand for are units of their own: low halves of no pair."""
+    c = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
+    return np.where((c == START) | (c == END), c + np.uint64(0xDC00), c)
 
 
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -72,9 +72,10 @@ def test_bpe_documents(spark, ranks):
 
 
 def brute_log_perplexity(texts, trusted):
-    """The same model by plain dictionaries."""
+    """The same model by plain dictionaries, on UTF-16 units."""
     def grams(t, n=4):
-        c = [2, 2, 2, *map(ord, t), 3]
+        b = t.encode("utf-16-be")
+        c = ["start"] * 3 + [b[i] << 8 | b[i + 1] for i in range(0, len(b), 2)] + ["end"]
         return [tuple(c[i - n + 1 : i + 1]) for i in range(3, len(c))]
 
     level = {4: collections.Counter(g for t in trusted for g in grams(t))}
@@ -105,7 +106,8 @@ def brute_log_perplexity(texts, trusted):
 
 def test_kneser_ney_against_brute_force(spark):
     rng = random.Random(3)
-    texts = ["".join(rng.choice("aab cé") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", "zzzz"]
+    far = "\U0001f600\U0001f601\U0002f600\U00010000\ue000\ue100\x02\x03"  # characters of two units, private ones, and the numbers of the padding
+    texts = ["".join(rng.choice("aab cé" + far) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", "zzzz"]
     docs = docs_of(spark, texts)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 30)] + [(31, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: math.log(r.perplexity) for r in kneser_ney.classify(docs, labels).collect()}
@@ -113,6 +115,22 @@ def test_kneser_ney_against_brute_force(spark):
     assert all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
 
 
+def test_kneser_ney_units_tell_texts_apart():
+    texts = ["\x02", "\x03", "\U0001f402", "\U0001f403", "\ud83d", "\ue000", "\U00010000", "\U00011900", "\x02\x03"]
+    assert len({tuple(kneser_ney.units(t)) for t in texts}) == len(texts)
+    assert not {kneser_ney.START, kneser_ney.END} & {int(u) for t in texts for u in kneser_ney.units(t)}
+
+
+def test_kneser_ney_languages(spark):
+    """A null language is one of its own; a language of one trusted document has a model; one without has none."""
+    rows = [(0, "aaab", None, "s", 4, "c"), (1, "aaab", "", "s", 4, "c"), (2, "only one", "fr", "s", 8, "c"), (3, "zzzz", "fr", "s", 4, "c"), (4, "aaab", "de", "s", 4, "c")]
+    labels = spark.createDataFrame([(0, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert got[0].perplexity == got[1].perplexity and got[0].lang == got[1].lang == ""
+    assert got[2].kept and got[3].perplexity > got[2].perplexity
+    assert got[4].perplexity is None and got[4].kept
+
+
 def test_kneser_ney_edges(spark):
     labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
     out = kneser_ney.classify(docs_of(spark, EDGE, [None, *range(1, len(EDGE))]), labels).collect()
@@ -478,6 +496,22 @@ def test_removed_repeats_against_brute_force(spark, hot):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_identities_differ_by_either_half():
+    ident = np.array([[5, 5, 1, 5, 5], [1, 2, 9, 1, 2]], np.uint64)
+    keys, first, inverse = repeats._unique(ident)
+    assert keys.T.tolist() == [[1, 9], [5, 1], [5, 2]] and first.tolist() == [2, 0, 1] and inverse.tolist() == [1, 2, 0, 1, 2]
+    assert (keys[:, inverse] == ident).all()
+
+
+def test_repeats_in_a_very_long_text(spark):
+    """Longer than what is worked on at once; its copy in a later document goes whole, its own repeats stay."""
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(2 * repeats._CHUNK + 77))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs_of(spark, [long, "<" + long + long[:60], long[-49:]], [1, 2, 3])).collect()}
+    n = len(long)
+    assert got == {1: (n, 0, 0), 2: (n + 61, n + 60, 1), 3: (49, 0, 0)}
+
+
 def test_no_repeats_in_nothing(spark):
     assert repeats.remove_repeats(docs_of(spark, ["a"]).where("false")).collect() == []
 

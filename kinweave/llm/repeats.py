@@ -218,13 +218,27 @@ class Entries:
 
 
 def _identity(key: np.ndarray, segment: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """64-bit hash of an entry; a segment's bytes outside its strings are zero."""
+    """128-bit hashes of entries, as two rows; a segment's bytes outside its strings are zero."""
     x = _mix(key ^ (lo.astype(np.uint64) << np.uint64(8)) ^ hi.astype(np.uint64))
+    y = x ^ _C
     padded = np.zeros((len(segment), 80), np.uint8)
     padded[:, :SEGMENT] = segment
     for w in padded.view("<u8").T:
         x = _mix((x + w) * _A)
-    return x
+        y = _mix((y ^ w) * _B)
+    return np.stack([x, y])
+
+
+def _unique(ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct identities in order, the first place of each, and the number of each place's identity."""
+    x, y = ident
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return np.stack([x[new], y[new]]), order[new], inverse
 
 
 def _entries(c: Chosen, repeated: np.ndarray, hot: np.ndarray) -> Entries:
@@ -251,7 +265,7 @@ def _entries(c: Chosen, repeated: np.ndarray, hot: np.ndarray) -> Entries:
         shifted = np.zeros((len(row), SEGMENT), np.uint8)
         shifted[:, :LENGTH] = np.take_along_axis(alone, j[:, None] + np.arange(LENGTH)[None, :], 1)
         zero = np.zeros(len(row), np.int64)
-        own = _identity(zero.astype(np.uint64), shifted, zero, zero)
+        own = _identity(zero.astype(np.uint64), shifted, zero, zero)[0]
         keep = ~very
         at, key, owner = np.concatenate([at[keep], at[row] + j]), np.concatenate([key[keep], own]), np.concatenate([owner[keep], owner[row]])
         segment, lo, hi = np.concatenate([segment[keep], shifted]), np.concatenate([lo[keep], zero]), np.concatenate([hi[keep], zero])
@@ -284,17 +298,18 @@ def _send(docs: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
         e = _entries(_choose(texts[run]), repeated, hot)
         if len(e.at):
             who = ids[run][e.owner]
-            ident, first, inverse = np.unique(e.identity(), return_index=True, return_inverse=True)
-            least, most = np.full(len(ident), np.iinfo(np.int64).max), np.full(len(ident), np.iinfo(np.int64).min)
+            ident, first, inverse = _unique(e.identity())
+            least, most = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
             np.minimum.at(least, inverse, who)
             np.maximum.at(most, inverse, who)
             parts.append((ident, e.key[first], e.segment[first], e.lo[first], e.hi[first], least, most))
     if not parts:
         return _empty(SEND)
-    ident, key, segment, lo, hi, least, most = (np.concatenate(x) for x in zip(*parts))
+    ident = np.concatenate([x[0] for x in parts], 1)
+    key, segment, lo, hi, least, most = (np.concatenate(x) for x in list(zip(*parts))[1:])
     del parts
-    ident, first, inverse = np.unique(ident, return_index=True, return_inverse=True)
-    low, high = np.full(len(ident), np.iinfo(np.int64).max), np.full(len(ident), np.iinfo(np.int64).min)
+    _, first, inverse = _unique(ident)
+    low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
     np.minimum.at(low, inverse, least)
     np.maximum.at(high, inverse, most)
     key, segment, lo, hi = key[first], segment[first], lo[first], hi[first]
@@ -364,7 +379,7 @@ def _settle_shard(sent: pa.Table) -> pa.Table:
     segment = np.frombuffer(b"".join(unpack(x.as_py()) for x in sent.column("segment")), np.uint8).reshape(-1, SEGMENT)
     lo, hi = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(2, -1) for x in sent.column("bounds")], 1)
     low, high = np.concatenate([np.frombuffer(unpack(x.as_py()), np.int64).reshape(2, -1) for x in sent.column("docs")], 1)
-    _, first, inverse = np.unique(_identity(key, segment, lo, hi), return_index=True, return_inverse=True)
+    _, first, inverse = _unique(_identity(key, segment, lo, hi))
     doc = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(doc, inverse, low)
     _, group, times = np.unique(key[first], return_inverse=True, return_counts=True)
@@ -419,7 +434,8 @@ def _cover(docs: pa.Table, answers: pa.Table, shards: int, with_spans: bool) ->
         for run in runs:
             e = _entries(_choose(texts[run]), repeated, hot)
             held.append((e.identity(), e.key, e.at, e.owner))
-        ident, first = np.unique(np.concatenate([x[0] for x in held]), return_index=True)
+        _, first, inverse = _unique(np.concatenate([x[0] for x in held], 1))
+        number = np.split(inverse, np.cumsum([len(x[2]) for x in held])[:-1])
         shard = (np.concatenate([x[1] for x in held])[first] % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         bounds = _split(shard[order], shards)
@@ -431,14 +447,14 @@ def _cover(docs: pa.Table, answers: pa.Table, shards: int, with_spans: bool) ->
             d.append(np.frombuffer(r["d"], np.int64))
         which, f, l, d = (np.concatenate(x) for x in (which, f, l, d))
         o = np.argsort(which, kind="stable")
-        table = ident, np.searchsorted(which[o], np.arange(len(ident) + 1)), f[o].astype(np.int64), l[o].astype(np.int64), d[o]
+        table = number, np.searchsorted(which[o], np.arange(len(first) + 1)), f[o].astype(np.int64), l[o].astype(np.int64), d[o]
     rows = []
     for k, run in enumerate(runs):
         marks = None
         if table is not None:
-            ident, bounds, f, l, d = table
-            mine, _, at, owner = held[k]
-            u = np.searchsorted(ident, mine)
+            number, bounds, f, l, d = table
+            _, _, at, owner = held[k]
+            u = number[k]
             n = bounds[u + 1] - bounds[u]
             row = np.repeat(np.arange(len(u)), n)
             run_at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + bounds[u[row]]

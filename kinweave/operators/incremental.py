@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.normalize import content_digest
 from kinweave.operators import blocking, graph
+from kinweave.session import cut
 
 
 def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -66,6 +68,11 @@ def affected(edges: DataFrame, constraints: DataFrame, previous: DataFrame, seed
 def recompute(records: DataFrame, edges: DataFrame, must: DataFrame, cannot: DataFrame, suppressed: DataFrame, previous: DataFrame, seeds: DataFrame, threshold: float, review: float) -> DataFrame:
     """Partitions after a change: the closure of the seeds is resolved anew, everything else keeps its cluster."""
     area = affected(edges, must.select("left", "right").union(cannot.select("left", "right")).union(suppressed.select("left", "right")), previous, seeds)
+    return _resolved_in(area, records, edges, must, cannot, suppressed, previous, threshold, review)
+
+
+def _resolved_in(area: DataFrame, records: DataFrame, edges: DataFrame, must: DataFrame, cannot: DataFrame, suppressed: DataFrame, previous: DataFrame, threshold: float, review: float) -> DataFrame:
+    """``area`` (record_id) is resolved, the others keep their clusters."""
     inside = lambda df: df.join(area.withColumnRenamed("record_id", "left"), "left", "left_semi").join(area.withColumnRenamed("record_id", "right"), "right", "left_semi")
     part, _ = graph.resolve(records.join(area, "record_id", "left_semi"), inside(edges), inside(must), inside(cannot), inside(suppressed), threshold, review)
     return part.union(previous.join(records, "record_id", "left_semi").join(area, "record_id", "left_anti").select("record_id", "cluster_id"))
@@ -74,3 +81,51 @@ def recompute(records: DataFrame, edges: DataFrame, must: DataFrame, cannot: Dat
 def equal_sets(a: DataFrame, b: DataFrame) -> bool:
     """Whether both hold the same rows as often."""
     return not (a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count())
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one side holds more often than the other."""
+    return a.exceptAll(b).union(b.exceptAll(a))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """All that a resolution rests on; pair tables have left and right, edges score and auto_merge too."""
+
+    records: DataFrame
+    edges: DataFrame
+    must: DataFrame
+    cannot: DataFrame
+    suppressed: DataFrame
+    threshold: float
+    review: float
+    policy: str
+
+    def pairs(self) -> dict[str, DataFrame]:
+        links = {k: getattr(self, k).select("left", "right") for k in ("must", "cannot", "suppressed")}
+        return {"edges": self.edges.select("left", "right", "score", "auto_merge")} | links
+
+    def solve(self) -> DataFrame:
+        return graph.resolve(self.records, self.edges, self.must, self.cannot, self.suppressed, self.threshold, self.review)[0]
+
+
+def maintain(old: Snapshot, new: Snapshot, previous: DataFrame, changed: DataFrame, budget: int = 10_000) -> tuple[DataFrame, str, str]:
+    """(partitions, mode, reason) for ``new``; ``previous`` (record_id, cluster_id) are those of ``old``, ``changed``
+    (record_id) the records with another content. Whatever a difference reaches over either side's pairs or a previous
+    cluster is resolved anew. Another threshold or policy, or a reach of more than ``budget`` records, makes it a full run."""
+    if (old.threshold, old.review, old.policy) != (new.threshold, new.review, new.policy):
+        return new.solve(), "full", "policy_or_model_changed"
+    seeds = changed.select("record_id").union(symmetric_difference(old.records.select("record_id"), new.records.select("record_id")))
+    links, before = None, old.pairs()
+    for kind, now in new.pairs().items():
+        both = before[kind].select("left", "right").union(now.select("left", "right"))
+        links = both if links is None else links.union(both)
+        ends = symmetric_difference(before[kind], now).select(F.explode(F.array("left", "right")).alias("record_id"))
+        seeds = seeds.union(ends)
+    seeds = cut(seeds.distinct())
+    area = cut(affected(links.distinct(), links.where("false"), previous, seeds))
+    if new.records.join(area, "record_id", "left_semi").limit(budget + 1).count() > budget:
+        return new.solve(), "full", "closure_exceeds_budget_same_policy"
+    now = new.pairs()
+    out = _resolved_in(area, new.records, now["edges"], now["must"], now["cannot"], now["suppressed"], previous, new.threshold, new.review)
+    return out, "incremental", "old_new_candidate_closure"

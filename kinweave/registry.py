@@ -20,12 +20,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from kinweave.plans import datasets  # noqa: F401  (registers its own)
     from kinweave.plans import queries as q
 
     return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from kinweave.plans import datasets  # noqa: F401
     from kinweave.plans import queries as q
 
     return dict(q.SQL)

@@ -541,3 +541,19 @@ def test_ogg_round_trip_and_damage(spark):
     rows = {r.doc_id: r for r in ogg.store_and_read(docs_of(spark, EDGE), keep_media=True).collect()}
     assert rows[3].media == rows[4].media and rows[0].payload_bytes == 576 and rows[0].n_bytes == 0
     assert all(r.payload_bytes % 576 == 0 and ogg.payload_of(ogg.demux(bytes(r.media)))[: r.n_bytes] == (EDGE[i] or "").encode() for i, r in rows.items())
+
+
+# Empty tables, and rows whose id is null or stands twice
+
+
+def test_per_row_operators_of_nothing_and_of_repeated_ids(spark):
+    ranks_file, words = str(P.path("byte_bpe_multi_50k.tiktoken")), str(P.path("word_bpe_49k.json"))
+    run = [lambda d: bpe.encode_documents(d, ranks_file, P.PATTERN), lambda d: token_counts.count_tokens(d, words), ogg.store_and_read]
+    docs = docs_of(spark, ["same", "same", "other", None], [None, 5, 5, None])
+    for f in run:
+        assert f(docs.where("false")).collect() == []
+        assert sorted(str(r.doc_id) for r in f(docs).collect()) == ["5", "5", "None", "None"]
+
+
+def test_url_filter_of_nothing(spark):
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontaminate, kneser_ney, near_dup, ogg, pii, repeats, sharding, token_counts, url_filter
+from kinweave.llm import bpe, decontaminate, kneser_ney, lexical, near_dup, ogg, pii, repeats, sharding, token_counts, url_filter
 from kinweave.llm.common import Query
 
 
@@ -18,9 +18,10 @@ def queries() -> dict[str, Query]:
         "op8_setsketch_near_dup": near_dup.op8_setsketch_near_dup,
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_ogg_media": ogg.op10_ogg_media,
+        "op12_lexical_search": lexical.op12_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others (permutations, models, tokenizers, containers, CRCs) are no SQL; tests hold them against brute force."""
-    return {"op8_setsketch_near_dup": near_dup.OP8_SQL, "op9_suffix_array_dedup": repeats.OP9_SQL}
+    return {"op8_setsketch_near_dup": near_dup.OP8_SQL, "op9_suffix_array_dedup": repeats.OP9_SQL, "op12_lexical_search": lexical.OP12_SQL}

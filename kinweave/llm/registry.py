@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontaminate, kneser_ney, lexical, near_dup, ogg, pii, repeats, sharding, token_counts, url_filter
+from kinweave.llm import bpe, decontaminate, kneser_ney, lexical, near_dup, ogg, pii, repeats, sharding, spelling, token_counts, url_filter
 from kinweave.llm.common import Query
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_ogg_media": ogg.op10_ogg_media,
         "op12_lexical_search": lexical.op12_lexical_search,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 

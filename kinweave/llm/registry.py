@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontaminate, kneser_ney, lexical, near_dup, ogg, pii, repeats, sharding, spelling, token_counts, url_filter
+from kinweave.llm import bpe, decontaminate, kneser_ney, lexical, near_dup, ogg, pii, ppm, repeats, sharding, spelling, token_counts, url_filter
 from kinweave.llm.common import Query
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op8_setsketch_near_dup": near_dup.op8_setsketch_near_dup,
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_ogg_media": ogg.op10_ogg_media,
+        "op11_ppm_scores": ppm.op11_ppm_scores,
         "op12_lexical_search": lexical.op12_lexical_search,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }

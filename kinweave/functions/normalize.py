@@ -13,8 +13,8 @@ TEXT_FIELDS = ("name", "address", "city", "postcode", "country")
 MATCHER_COLUMNS = ("record_id", "record_version_id", "source", *TEXT_FIELDS)
 # Country names of a national register and the codes they stand for.
 REGISTER_COUNTRIES = {
-    "ENGLAND": "GB", "SCOTLAND": "GB", "WALES": "GB", "NORTHERN IRELAND": "GB", "UNITED KINGDOM": "GB", "GREAT BRITAIN": "GB",
-    "ENGLAND & WALES": "GB", "IRELAND": "IE", "FRANCE": "FR", "GERMANY": "DE", "SPAIN": "ES", "UNITED STATES": "US", "NETHERLANDS": "NL",
+    "ENGLAND": "GB", "WALES": "GB", "SCOTLAND": "GB", "NORTHERN IRELAND": "GB", "UNITED KINGDOM": "GB", "GREAT BRITAIN": "GB",
+    "JERSEY": "JE", "GUERNSEY": "GG", "ISLE OF MAN": "IM", "PANAMA": "PA", "CAYMAN ISLANDS": "KY", "AUSTRALIA": "AU",
 }
 
 
@@ -27,6 +27,11 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StringType())
+def _folded(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else x.casefold())
+
+
 def compatible(value: Column | str) -> Column:
     """NFKC of the text; ASCII rows never reach Python's normalizer (it gets null for them)."""
     c = _column(value)
@@ -95,8 +100,11 @@ def country_key(df, column: str, aliases):
 
 
 def casefold(value: Column | str) -> Column:
-    """Full case folding for search: upper, then lower, with sharp s as ss."""
-    return F.replace(F.lower(F.upper(_column(value))), F.lit("ß"), F.lit("ss"))
+    """Full case folding for search: letters that differ by case alone are one, whatever their place in a word, and those
+    that fold to several are these. ASCII rows never reach Python (it gets null for them)."""
+    c = _column(value)
+    ascii_only = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_only | c.isNull(), F.lower(c)).otherwise(_folded(F.when(~ascii_only, c)))
 
 
 def serialize_record(fields: list[str]) -> Column:

@@ -31,6 +31,11 @@ def norm_sql(x: str) -> str:
     return f"nullif(trim(regexp_replace(regexp_replace(replace(upper({x}), 'ẞ', 'SS'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '')"
 
 
+def fold_sql(x: str) -> str:
+    """Case folding as far as these tables' letters need it: sharp s and the final sigma."""
+    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+
+
 REC = f"""rec as (select 'd' || lpad(cast(doc_id as varchar), 8, '0') record_id, source, {norm_sql(f"regexp_extract(text, '{FIRST}')")} "name",
  {norm_sql(f"regexp_extract(text, '{SECOND}', 1)")} address, cast(null as varchar) city, cast(n_chars as varchar) postcode, lang country from documents)"""
 KEYED = """keyed as (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import normalize as N
 from kinweave.operators import datasets, incremental, integrity, learning, metrics, review
 from kinweave.plans.base import BASE, CATALOGUE, SCORED, catalogue, norm_sql, scored
-from kinweave.plans.queries import query
+from kinweave.plans.queries import query, with_partner
 from kinweave.session import read_table
 
 # Parts as offers: five in a run, the first two and the last three of a run being a product each, neighbours being pairs
@@ -83,13 +83,14 @@ def v7_private_ids(spark, d):
     return datasets.private_ids(first, rows("o_orderdate >= timestamp '1997-01-01'"), "s")
 
 
-@query("""select least(l_partkey, l_suppkey) left_version, greatest(l_partkey, l_suppkey) right_version, arg_max(l_quantity, (l_orderkey, l_linenumber)) score, arg_max(l_returnflag, (l_orderkey, l_linenumber)) evidence
- from (select l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_returnflag from (select *, count(*) over (partition by l_orderkey, l_linenumber) k from lineitem) where k = 1) group by 1, 2""")
+@query("""select least(l_partkey, l_suppkey) left_version, greatest(l_partkey, l_suppkey) right_version, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity, l_returnflag)) score, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_quantity, l_returnflag)) evidence
+ from lineitem group by 1, 2""")
 def sk3_last_edges(spark, d):
-    """The last line in order of each pair of part and supplier; lines without a key of their own are left out."""
+    """The last line in order of each pair of part and supplier. Keys of lines repeat, so the order goes on with what is
+    returned: lines that are still equal say the same."""
     li = read_table(spark, d, "lineitem")
-    own = li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("k")).where("k = 1")
-    edges = li.join(own, ["l_orderkey", "l_linenumber"], "left_semi").select(F.col("l_partkey").alias("left_version"), F.col("l_suppkey").alias("right_version"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.col("l_quantity").alias("score"), F.col("l_returnflag").alias("evidence"))
+    seq = F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    edges = li.select(F.col("l_partkey").alias("left_version"), F.col("l_suppkey").alias("right_version"), seq.alias("seq"), F.col("l_quantity").alias("score"), F.col("l_returnflag").alias("evidence"))
     return datasets.last_edges(edges, "seq")
 
 
@@ -158,8 +159,8 @@ def v2_label_violations(spark, d):
     return integrity.label_violations(p.union(o.where("o_orderkey % 50 = 0").select(k, c, "o_orderpriority")))
 
 
-DECIDED = """st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events group by 1), dec as (select user_id, 'r' || user_id a, 'r' || (user_id * 7 % 150) b, seq, case et when 'click' then 'EXPIRE' when 'purchase' then 'REVOKE' else 'CREATE' end act,
- case when least(user_id, user_id * 7 % 150) % 3 = 0 then 'reject' when least(user_id, user_id * 7 % 150) % 5 = 4 then 'abstain' else 'accept' end verdict from st where user_id <> user_id * 7 % 150),
+DECIDED = """st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events group by 1), dec as (select user_id, 'r' || user_id a, 'r' || (user_id * 7 % (select count(distinct user_id) from events)) b, seq, case et when 'click' then 'EXPIRE' when 'purchase' then 'REVOKE' else 'CREATE' end act,
+ case when least(user_id, user_id * 7 % (select count(distinct user_id) from events)) % 3 = 0 then 'reject' when least(user_id, user_id * 7 % (select count(distinct user_id) from events)) % 5 = 4 then 'abstain' else 'accept' end verdict from st where user_id <> user_id * 7 % (select count(distinct user_id) from events)),
  judged as (select *, case when act = 'REVOKE' then 'revoked' when act = 'EXPIRE' then 'expired' when verdict = 'abstain' then 'abstained' when a not in (select 'r' || user_id from st where user_id % 10 <> 1) or b not in (select 'r' || user_id from st where user_id % 10 <> 1) then 'endpoint_gone' end reason from dec)"""
 
 
@@ -168,11 +169,11 @@ def _snapshot(spark, d):
     e = read_table(spark, d, "events")
     action = F.when(F.col("event_type") == "click", "EXPIRE").when(F.col("event_type") == "purchase", "REVOKE").otherwise("CREATE")
     u = e.select("user_id").distinct()
+    paired = with_partner(e)
     name = lambda c: F.concat(F.lit("r"), c)
-    other = F.expr("user_id * 7 % 150")
-    low = F.least("user_id", other)
+    low = F.least("user_id", "partner")
     verdict = F.when(low % 3 == 0, "reject").when(low % 5 == 4, "abstain").otherwise("accept")
-    decisions = u.where("user_id <> user_id * 7 % 150").select(F.col("user_id").alias("decision_id"), name("user_id").alias("left"), name(other).alias("right"), F.lit("v").alias("left_version"), F.lit("v").alias("right_version"), verdict.alias("verdict"))
+    decisions = paired.select(F.col("user_id").alias("decision_id"), name("user_id").alias("left"), name("partner").alias("right"), F.lit("v").alias("left_version"), F.lit("v").alias("right_version"), verdict.alias("verdict"))
     live = u.where("user_id % 10 <> 1").select(name("user_id").alias("record_id"), F.lit("v").alias("version"))
     return review.label_snapshot(decisions, e.select(F.col("user_id").alias("decision_id"), F.col("event_id").alias("seq"), action.alias("action")), live)
 

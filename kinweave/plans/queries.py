@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import normalize as N
 from kinweave.functions import similarity as S
 from kinweave.operators import blocking, graph, identity, metrics, retrieval
-from kinweave.plans.base import BASE, CATALOGUE, FIRST, REC, SCORED, TRUTH, catalogue, norm_sql, pairs, records, scored, truth
+from kinweave.plans.base import BASE, CATALOGUE, FIRST, REC, SCORED, TRUTH, catalogue, fold_sql, norm_sql, pairs, records, scored, truth
 from kinweave.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,8 @@ def p4_company_numbers(spark, d):
     return s.union(p)
 
 
-@query("""select n_nationkey, case upper(trim(n_name)) when 'UNITED KINGDOM' then 'GB' when 'FRANCE' then 'FR' when 'GERMANY' then 'DE' when 'UNITED STATES' then 'US' when 'IRELAND' then 'IE' when 'SPAIN' then 'ES' when 'NETHERLANDS' then 'NL'
- when 'ENGLAND' then 'GB' when 'SCOTLAND' then 'GB' when 'WALES' then 'GB' when 'NORTHERN IRELAND' then 'GB' when 'GREAT BRITAIN' then 'GB' when 'ENGLAND & WALES' then 'GB' end code from nation""")
+@query("""select n_nationkey, case upper(trim(n_name)) when 'ENGLAND' then 'GB' when 'WALES' then 'GB' when 'SCOTLAND' then 'GB' when 'NORTHERN IRELAND' then 'GB' when 'UNITED KINGDOM' then 'GB' when 'GREAT BRITAIN' then 'GB'
+ when 'JERSEY' then 'JE' when 'GUERNSEY' then 'GG' when 'ISLE OF MAN' then 'IM' when 'PANAMA' then 'PA' when 'CAYMAN ISLANDS' then 'KY' when 'AUSTRALIA' then 'AU' end code from nation""")
 def p5_register_countries(spark, d):
     return read_table(spark, d, "nation").select("n_nationkey", N.register_country("n_name").alias("code"))
 
@@ -74,7 +74,7 @@ def p6_country_keys(spark, d):
     return N.country_key(v, "value", aliases).select("c_custkey", "country_key")
 
 
-@query("""with v as (select distinct source, replace(lower(replace(upper(lang || ' ' || regexp_extract(text, '^[^.\\n]*')), 'ẞ', 'SS')), 'ß', 'ss') value_folded from documents)
+@query(f"""with v as (select distinct source, {fold_sql("lang || ' ' || regexp_extract(text, '^[^.\\n]*')")} value_folded from documents)
  select source entity_id, value_folded, row_number() over (partition by source order by encode(value_folded)) - 1 ordinal from v""")
 def p9_search_values(spark, d):
     docs = read_table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.concat("lang", F.lit(" "), F.regexp_extract("text", FIRST, 0)).alias("v"))
@@ -521,11 +521,9 @@ def x7_company_features(spark, d):
     from kinweave.operators import scoring
 
     r = records(spark, d)
-    base = r.select("record_id", scoring.legal_base("name").alias("base")).where("base is not null")
-    n = base.agg(F.count("*").alias("n"))
-    idf = base.select("record_id", F.explode(F.split("base", " ")).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+    idf, unknown = scoring.base_idf(r)
     both = blocking.with_records(pairs(spark, d).select("left", "right"), r, ["name"])
-    return scoring.company_features(both, idf, 8.0).select("left", "right", *[F.round(f, 6).alias(f) for f in scoring.COMPANY])
+    return scoring.company_features(both, idf, unknown).select("left", "right", *[F.round(f, 6).alias(f) for f in scoring.COMPANY])
 
 
 @query()
@@ -680,7 +678,7 @@ def j14_missing_endpoints(spark, d):
 
 
 @query("""with st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events where event_id <= (select max(event_id) * 9 // 10 from events) group by 1),
- k as (select 'r' || user_id a, 'r' || (user_id * 7 % 150) b, case when et = 'click' then null when et = 'purchase' then 'suppressed' when user_id % 3 = 0 then 'cannot' else 'must' end kind from st where user_id <> user_id * 7 % 150)
+ k as (select 'r' || user_id a, 'r' || (user_id * 7 % (select count(distinct user_id) from events)) b, case when et = 'click' then null when et = 'purchase' then 'suppressed' when user_id % 3 = 0 then 'cannot' else 'must' end kind from st where user_id <> user_id * 7 % (select count(distinct user_id) from events))
  select distinct least(a, b) "left", greatest(a, b) "right", kind from k where kind is not null""")
 def g9_constraints(spark, d):
     """As of nine tenths of the table's ids."""
@@ -688,22 +686,29 @@ def g9_constraints(spark, d):
 
 
 @query("""with st as (select user_id, max(event_id) seq, arg_max(event_type, event_id) et from events group by 1),
- k as (select 'r' || user_id a, 'r' || (user_id * 7 % 150) b, case when et = 'click' then null when et = 'purchase' then 'suppressed' when user_id % 3 = 0 then 'cannot' else 'must' end kind from st where user_id <> user_id * 7 % 150)
+ k as (select 'r' || user_id a, 'r' || (user_id * 7 % (select count(distinct user_id) from events)) b, case when et = 'click' then null when et = 'purchase' then 'suppressed' when user_id % 3 = 0 then 'cannot' else 'must' end kind from st where user_id <> user_id * 7 % (select count(distinct user_id) from events))
  select distinct least(a, b) "left", greatest(a, b) "right", kind from k where kind is not null""")
 def g9b_constraints(spark, d):
     """As of now: every event counts, however large the table is."""
     return _constraints(spark, d, None)
 
 
+def with_partner(events: DataFrame) -> DataFrame:
+    """(user_id, partner): each user beside another one, who is that of few users however many there are."""
+    n = events.agg(F.count_distinct("user_id").alias("n"))
+    users = events.select("user_id").distinct().crossJoin(F.broadcast(n))  # one row
+    return users.select("user_id", (F.col("user_id") * 7 % F.col("n")).alias("partner")).where("user_id <> partner")
+
+
 def _constraints(spark, d, cutoff):
     """Users as decisions, event types as actions: clicks expire, purchases revoke."""
     e = read_table(spark, d, "events")
     action = F.when(F.col("event_type") == "click", "EXPIRE").when(F.col("event_type") == "purchase", "REVOKE").otherwise("CREATE")
     events = e.select(F.col("user_id").alias("decision_id"), F.col("event_id").alias("seq"), action.alias("action"), F.lit("p").alias("policy"))
     name = lambda c: F.concat(F.lit("r"), c)
-    u = e.select("user_id").distinct().where("user_id <> user_id * 7 % 150")
+    u = with_partner(e)
     verdict = F.when(F.col("user_id") % 3 == 0, "reject").otherwise("accept")
-    decisions = u.select(F.col("user_id").alias("decision_id"), name("user_id").alias("left"), name(F.col("user_id") * 7 % 150).alias("right"), F.lit("v").alias("left_version"), F.lit("v").alias("right_version"), verdict.alias("verdict"))
+    decisions = u.select(F.col("user_id").alias("decision_id"), name("user_id").alias("left"), name("partner").alias("right"), F.lit("v").alias("left_version"), F.lit("v").alias("right_version"), verdict.alias("verdict"))
     live = decisions.select(F.explode(F.array("left", "right")).alias("record_id")).distinct().withColumn("version", F.lit("v"))
     return identity.constraints(decisions, events, live, "p", cutoff)
 

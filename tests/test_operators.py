@@ -30,10 +30,16 @@ def test_normalization(spark):
     assert one(spark, N.company_number("v"), " 0123456a ", "123", "12345678x") == ["0123456A", None, None]
     assert one(spark, N.price("v"), "1.50", "-1", "0", "1e5", "x") == [1.5, None, None, None, None]
     assert one(spark, N.formula_guard("v"), "=1+1", "ok", "@x", "\tx") == ["'=1+1", "ok", "'@x", "'\tx"]
-    assert one(spark, N.casefold("v"), "STRASSE", "straße") == ["strasse", "strasse"]
+    assert one(spark, N.casefold("v"), "STRASSE", "straße", "ΟΔΟΣ", "οδός", "ﬁne", "ǅ", None) == ["strasse", "strasse", "οδοσ", "οδόσ", "fine", "ǆ", None]
     assert one(spark, N.redacted("v", F.lit("12-34")), "no 1234 here", "fine") == [None, "fine"]
 
 
+def test_register_countries(spark):
+    known = {"England": "GB", "wales ": "GB", "SCOTLAND": "GB", "Northern Ireland": "GB", "United Kingdom": "GB", "GREAT BRITAIN": "GB", "Jersey": "JE", "GUERNSEY": "GG", " Isle of Man": "IM", "PANAMA": "PA", "Cayman Islands": "KY", "AUSTRALIA": "AU"}
+    unknown = ["FRANCE", "GERMANY", "SPAIN", "IRELAND", "UNITED STATES", "NETHERLANDS", "ENGLAND & WALES", ""]
+    assert one(spark, N.register_country("v"), *known, *unknown, None) == [*known.values(), *[None] * (len(unknown) + 1)]
+
+
 def test_similarities():
     rng = random.Random(1)
     for _ in range(300):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.ordering import ordinals
 from kinweave.session import cut
 
 
@@ -92,7 +93,4 @@ def entity_page(membership: DataFrame, search: DataFrame | None = None, query: s
 
 def search_values(entities: DataFrame, fold: Column) -> DataFrame:
     """(entity_id, ordinal, value_folded): distinct folded values of each entity, numbered in order."""
-    from pyspark.sql import Window as W
-
-    values = entities.select("entity_id", fold.alias("value_folded")).where("value_folded is not null").distinct()
-    return values.withColumn("ordinal", F.row_number().over(W.partitionBy("entity_id").orderBy("value_folded")) - 1)
+    return ordinals(entities.select("entity_id", fold.alias("value_folded")).where("value_folded is not null").distinct(), ["entity_id"], ["value_folded"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import normalize as N
 from kinweave.functions import similarity as S
-from kinweave.operators import blocking, graph, identity, metrics, retrieval
+from kinweave.operators import blocking, graph, identity, metrics, ordering, retrieval
 from kinweave.plans.base import BASE, CATALOGUE, FIRST, REC, SCORED, TRUTH, catalogue, fold_sql, norm_sql, pairs, records, scored, truth
 from kinweave.session import read_table
 
@@ -78,7 +78,7 @@ def p6_country_keys(spark, d):
  select source entity_id, value_folded, row_number() over (partition by source order by encode(value_folded)) - 1 ordinal from v""")
 def p9_search_values(spark, d):
     docs = read_table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.concat("lang", F.lit(" "), F.regexp_extract("text", FIRST, 0)).alias("v"))
-    return identity.search_values(docs, N.casefold("v")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return identity.search_values(docs, N.casefold("v")).select("entity_id", "value_folded", "ordinal")
 
 
 @query("""select p_partkey, concat_ws(' ', 'COL name VAL ' || regexp_replace(p_name, '\\b(COL|VAL)\\b', '_\\1_', 'g'), 'COL brand VAL ' || regexp_replace(p_brand, '\\b(COL|VAL)\\b', '_\\1_', 'g'), 'COL type VAL ' || regexp_replace(p_type, '\\b(COL|VAL)\\b', '_\\1_', 'g')) line from part""")
@@ -426,8 +426,7 @@ def w2_threshold_counts(spark, d):
 
 @query("select event_type, quantile_cont(\"value\", 0.5) p50, quantile_cont(\"value\", 0.95) p95, quantile_disc(\"value\", 0.95) nearest from events group by 1")
 def a11_quantiles(spark, d):
-    v = F.col("value")
-    return read_table(spark, d, "events").groupBy("event_type").agg(F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95"), F.expr("percentile_disc(0.95) within group (order by value)").alias("nearest"))
+    return ordering.exact_quantiles(read_table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, {"nearest": 0.95})
 
 
 @query("select count(*) n, coalesce(max(event_id), 0) last from events where event_type = 'purchase'")
@@ -493,9 +492,9 @@ def o4_hash_sample(spark, d):
 
 @query("""select user_id, event_id, round(sum("value") over (partition by user_id order by event_id), 3) running, row_number() over (partition by user_id order by event_id) - 1 ordinal from events""")
 def w1_running_totals(spark, d):
-    w = W.partitionBy("user_id").orderBy("event_id")
-    run = F.round(F.sum("value").over(w.rowsBetween(W.unboundedPreceding, 0)), 3)
-    return read_table(spark, d, "events").select("user_id", "event_id", run.alias("running"), (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+    e = read_table(spark, d, "events").select("user_id", "event_id", "value")
+    sums = ordering.running_sums(e, ["user_id"], ["event_id"], {"running": F.col("value"), "ordinal": F.lit(1).cast("long")})
+    return sums.select("user_id", "event_id", F.round("running", 3).alias("running"), (F.col("ordinal") - 1).alias("ordinal"))
 
 
 # Models and review

@@ -23,15 +23,16 @@ class Workspace:
         return self.fs.exists(self._path(f"{self.root}/{name}"))
 
     def _write_text(self, name: str, text: str) -> None:
-        """Written beside and renamed, so that a reader sees all of it or none."""
+        """Written beside and moved over what is there in one step, so that a reader sees the old text or the new one."""
+        hadoop = self.spark._jvm.org.apache.hadoop
         part, whole = self._path(f"{self.root}/{name}.partial"), self._path(f"{self.root}/{name}")
         out = self.fs.create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.fs.exists(whole):
-            self.fs.delete(whole, False)
-        if not self.fs.rename(part, whole):
-            raise OSError(f"could not put {name} in place")
+        context = hadoop.fs.FileContext.getFileContext(whole.toUri(), self.spark._jsc.hadoopConfiguration())
+        over = self.spark._jvm.java.lang.reflect.Array.newInstance(hadoop.fs.Options.Rename.OVERWRITE.getClass(), 1)
+        over[0] = hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(self.fs.makeQualified(part), self.fs.makeQualified(whole), over)
 
     def _read_text(self, name: str) -> str:
         return "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect())
@@ -45,8 +46,9 @@ class Workspace:
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def prepare(self, revision: str, tables: dict[str, DataFrame], parent: str | None, policy: str) -> dict:
-        """All tables of a revision, then its manifest with their digests: without it the revision does not exist."""
+    def prepare(self, revision: str, tables: dict[str, DataFrame], parent: str | None, policy: str, notes: dict[str, str] | None = None) -> dict:
+        """All tables of a revision, then its manifest with their digests and ``notes``: without it the revision does not
+        exist."""
         if self.exists(f"revisions/{revision}/manifest.json"):
             raise FileExistsError(revision)
         digests = {}
@@ -54,7 +56,7 @@ class Workspace:
             path = f"{self.root}/revisions/{revision}/{name}"
             df.write.mode("overwrite").parquet(path)
             digests[name] = table_digest(self.spark.read.parquet(path))
-        manifest = {"revision": revision, "parent": parent, "policy": policy, "tables": digests}
+        manifest = {"revision": revision, "parent": parent, "policy": policy, "tables": digests, **(notes or {})}
         self._write_text(f"revisions/{revision}/manifest.json", json.dumps(manifest, sort_keys=True))
         return manifest
 
@@ -75,14 +77,18 @@ class Workspace:
             if table_digest(self.load(f"revisions/{revision}/{name}")) != digest:
                 raise ValueError(f"{name} of {revision} does not match its digest")
 
-    def table(self, name: str, revision: str | None = None) -> DataFrame:
-        """A table of a published revision; others are invisible."""
+    def published(self, revision: str | None = None) -> str:
+        """The revision (the current one by default), if it is published; others are invisible."""
         chain, wanted = self.current(), revision or self.current()
         while chain is not None and chain != wanted:
             chain = json.loads(self._read_text(f"revisions/{chain}/manifest.json"))["parent"]
         if chain is None:
             raise LookupError(f"{wanted} is not published")
-        return self.load(f"revisions/{wanted}/{name}")
+        return chain
+
+    def table(self, name: str, revision: str | None = None) -> DataFrame:
+        """A table of a published revision; others are invisible."""
+        return self.load(f"revisions/{self.published(revision)}/{name}")
 
 
 def table_digest(df: DataFrame) -> str:

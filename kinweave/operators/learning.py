@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,24 +48,6 @@ def compare_at_budget(labels: DataFrame, first: DataFrame, second: DataFrame, bu
     return out
 
 
-def paired_bootstrap(labelled: DataFrame, group: str, budget: int = 100, resamples: int = 1000, seed: int = 7) -> dict[str, tuple[float, float]]:
-    """Percentile intervals of the difference second - first, by resampling whole groups: true positives within the
-    budget, and costs at the scorers' thresholds. ``labelled`` has group, label, hit_first and hit_second (booleans
-    at the frozen thresholds), rank_first and rank_second. A group is one small row of counts on the driver; groups with
-    equal counts are one."""
-    n = lambda t: F.sum(F.when(t, 1).otherwise(0)).cast("long")
-    yes, no = F.col("label") == 1, F.col("label") == 0
-    per = labelled.groupBy(group).agg(*[n(yes & (F.col(f"rank_{s}") <= budget)).alias(f"top_{s}") for s in ("first", "second")], *[(10 * n(no & F.col(f"hit_{s}")) + n(yes & ~F.col(f"hit_{s}"))).alias(f"cost_{s}") for s in ("first", "second")])
-    kinds = per.groupBy("top_first", "top_second", "cost_first", "cost_second").agg(F.count("*").alias("n")).orderBy("top_first", "top_second", "cost_first", "cost_second").collect()
-    total = sum(r["n"] for r in kinds)
-    if total < 2:
-        raise ValueError("fewer than two groups")
-    table = np.array([(r["top_second"] - r["top_first"], r["cost_second"] - r["cost_first"]) for r in kinds], np.int64)
-    tops, costs = zip(*metrics.resampled(table, [r["n"] for r in kinds], resamples, seed))
-    edge = lambda v, q: float(sorted(v)[round(q * (len(v) - 1))])
-    return {"positives": (edge(tops, 0.025), edge(tops, 0.975)), "cost": (edge(costs, 0.025), edge(costs, 0.975))}
-
-
 def ranked(scored: DataFrame, score: str, name: str) -> DataFrame:
     """A rank from 1 by score, ties by pair, over all rows."""
     return numbered(scored, [F.desc(score), "left", "right"], "__place")[0].withColumn(name, F.col("__place") + 1).drop("__place")

@@ -712,19 +712,31 @@ def _constraints(spark, d, cutoff):
     return identity.constraints(decisions, events, live, "p", cutoff)
 
 
+def _order_pairs(spark, d):
+    """Orders as labelled pairs of a customer and an order, customers being the groups, with two scorers."""
+    o = read_table(spark, d, "orders")
+    top = o.agg(F.max("o_totalprice").alias("top"), F.min("o_orderdate").alias("since"), F.max("o_orderdate").alias("until"))
+    age = F.date_diff("o_orderdate", "since") / F.date_diff("until", "since")
+    both = o.crossJoin(F.broadcast(top))  # one row
+    return both.select(F.concat(F.lit("c"), "o_custkey").alias("left"), F.concat(F.lit("o"), "o_orderkey").alias("right"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_custkey").alias("group_id"), (F.col("o_totalprice") / F.col("top")).alias("score_first"), (1 - age).alias("score_second"))
+
+
 @query()
 def a10_group_bootstrap(spark, d):
-    """Percentile intervals over whole groups of labelled pairs (components of their endpoints); empty where the
-    operator refuses."""
-    from kinweave.operators import splits
+    """Precision, recall and F1 of orders as pairs, with percentile intervals over whole customers."""
+    from kinweave.operators import bootstrap
+
+    _, found = bootstrap.group_bootstrap(_order_pairs(spark, d).withColumnRenamed("score_first", "score"), "group_id", 0.5)
+    return spark.createDataFrame([(k, *v) for k, v in sorted(found.items())], "metric string, estimate double, low double, high double")
+
+
+@query()
+def a12_paired_bootstrap(spark, d):
+    """Two scorers of orders compared on the same resamples of customers: by date minus by price."""
+    from kinweave.operators import bootstrap
 
-    s = scored(spark, d).where("label is not null").select("left", "right", "score", "label")
-    grouped = splits._labels(s).withColumnRenamed("component_left", "group_id")
-    try:
-        found = metrics.bootstrap(grouped, "group_id", 0.5)
-    except ValueError:  # under two groups, or one with more than half
-        found = {}
-    return spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items()) if v], "metric string, low double, high double")
+    _, found = bootstrap.paired_bootstrap(_order_pairs(spark, d), "group_id", (0.5, 0.5), (0.9, 0.9))
+    return spark.createDataFrame([(k, *v) for k, v in sorted(found.items())], "metric string, estimate double, low double, high double")
 
 
 PROTECTED = f"""{LABEL_PAIRS}, {POSITIVE_CLOSURE}, l2 as (select lp.*, a.g gl, b.g gr from lp join pc a on a.node = "left" join pc b on b.node = "right"), bad as (select distinct gl g from l2 where "label" = 0 and gl = gr),

@@ -130,15 +130,6 @@ def test_metrics_edges(spark):
     assert {(x.budget, x.positives, x.negatives, x.ties) for x in curve} == {(1, 1, 0, 2), (2, 1, 1, 2)}
 
 
-def test_bootstrap_refuses_and_bounds(spark):
-    rows = [(f"g{i}", 0.9 if i % 4 else 0.1, 1) for i in range(40)]
-    df = spark.createDataFrame(rows, "g string, score double, label int")
-    lo, hi = metrics.bootstrap(df, "g", 0.5, 200)["recall"]
-    assert lo <= 0.75 <= hi
-    with pytest.raises(ValueError):
-        metrics.bootstrap(df.limit(1), "g", 0.5)
-
-
 def greedy_queue(rows, limit, key):
     waiting, out = sorted(rows, key=key), []
     while waiting and len(out) < limit:
@@ -352,9 +343,6 @@ def test_learning_loop(spark):
         learning.compare_at_budget(df, scored, scored.limit(3), 5)
     places = {(r.left, r.right): r.place for r in learning.ranked(scored, "score", "place").collect()}
     assert [places[r[:2]] for r in sorted(rows, key=lambda r: (-r[2], r[0], r[1]))] == list(range(1, 401))
-    wide = df.select(F.col("left").alias("g"), "label", F.lit(True).alias("hit_first"), (F.col("x") > 0.5).alias("hit_second"), F.lit(999).alias("rank_first"), F.lit(1).alias("rank_second"))
-    found = learning.paired_bootstrap(wide, "g", 100, 50)
-    assert found["positives"][0] > 0 and found["cost"][1] < 0
 
 
 def plain_jaro(a, b):

@@ -1,15 +1,11 @@
 """Readers of registry archives and spreadsheets as DataFrames; bad rows are kept apart with a reason.
 
-Archives are read by Spark (binary files from any store) and opened member by member on the executors, one
-archive a row; a member is streamed, never extracted.
+Archives come by ``archive_source``: a member a task, streamed from its place in the file.
 """
 
 from __future__ import annotations
 
-import csv
-import gzip
 import io
-import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -20,54 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.session import ship
+from kinweave.sources.archive_source import archive_rows, file_digest, files, open_file
 
-ROW = "archive string, member string, line long, fields map<string,string>, reason string"
 BATCH = 5000
 
 
-def _rows(stream, member: str) -> Iterator[tuple[int, dict | None, str | None]]:
-    reader = csv.reader(io.TextIOWrapper(stream, "utf-8-sig", errors="replace", newline=""))
-    header = [h.strip() for h in next(reader, [])]
-    for n, row in enumerate(reader, 2):
-        if len(row) != len(header):
-            yield n, None, "wrong_width"
-        else:
-            yield n, dict(zip(header, row)), None
-
-
 def zip_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
     """Rows of all CSV members of zip archives: fields by stripped header, or the reason why a row has none.
 
-    A member that lacks a required column fails.
+    A member that lacks a required column fails. A member is a task, streamed (``archive_source``).
     """
-    ship(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for member in sorted(m for m in z.namelist() if m.lower().endswith(".csv")):
-                        with z.open(member) as head:
-                            columns = [h.strip() for h in next(csv.reader(io.TextIOWrapper(head, "utf-8-sig", newline="")), [])]
-                        missing = [c for c in required if c not in columns]
-                        if missing:
-                            raise ValueError(f"{name}!{member} lacks {missing}")
-                        with z.open(member) as stream:
-                            held: list[tuple] = []
-                            for n, fields, reason in _rows(stream, member):
-                                held.append((name, member, n, None if fields is None else list(fields.items()), reason))
-                                if len(held) >= BATCH:
-                                    yield _batch(held)
-                                    held = []
-                            yield _batch(held)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROW)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string()]
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["archive", "member", "line", "fields", "reason"])
+    return archive_rows(spark, path, "csv", required)
 
 
 def _text(name: str) -> Column:
@@ -137,25 +96,15 @@ def pair_tables(spark: SparkSession, root: str, columns: str) -> tuple[DataFrame
 
 def nested_jsonl(spark: SparkSession, path: str, schema: str, most_bytes: int = 80_000_000, most_rows: int = 25_000) -> DataFrame:
     """Rows of gzipped JSON-lines members inside zip archives; a member over the bounds fails rather than being cut."""
-    ship(spark)
+    lines = archive_rows(spark, path, "jsonl", mostBytes=most_bytes, mostRows=most_rows)
+    return lines.select("member", F.from_json(F.element_at("fields", F.lit("json")), schema).alias("r")).select("member", "r.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for member in sorted(m for m in z.namelist() if m.endswith(".gz")):
-                        with z.open(member) as packed, gzip.open(packed) as stream:
-                            size, rows = 0, []
-                            for line in stream:
-                                size += len(line)
-                                if size > most_bytes or len(rows) >= most_rows:
-                                    raise ValueError(f"{name}!{member} is over its bounds")
-                                json.loads(line)
-                                rows.append(line.decode().rstrip("\n"))
-                        yield pa.RecordBatch.from_arrays([pa.array([member] * len(rows), pa.string()), pa.array(rows, pa.string())], names=["member", "line"])
-
-    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "member string, line string")
-    return lines.select("member", F.from_json("line", schema).alias("r")).select("member", "r.*")
+
+def judged_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(judgements, tables, sheet) of one archive that holds all: tab-separated judgements, CSV tables, and a spreadsheet. Rows
+    have their member and fields."""
+    part = lambda kind, pattern: archive_rows(spark, path, kind, pattern=pattern)
+    return part("tsv", "*GroundTruth.txt"), part("csv", "*.csv"), part("sheet", "*.xlsx")
 
 
 # Names of the spreadsheet format.
@@ -191,9 +140,10 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     return ["".join(t.text or "" for t in item.iter(_MAIN + "t")) for item in ET.fromstring(book.read("xl/sharedStrings.xml"))]
 
 
-def workbook_rows(content: bytes, title: str | None = None) -> Iterator[list[str]]:
-    """Rows of a workbook's sheet (the first, or by title) as texts, read event by event; missing cells are empty."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def workbook_rows(content, title: str | None = None) -> Iterator[list[str]]:
+    """Rows of a workbook's sheet (the first, or by title) as texts, read event by event; missing cells are empty.
+    ``content``: its bytes, or a file that can be read in any order."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as book:
         shared, cells, place, kind, text = _shared(book), {}, -1, None, []
         for event, e in ET.iterparse(book.open(_sheet_path(book, title)), events=("start", "end")):
             tag = e.tag.removeprefix(_MAIN)
@@ -211,21 +161,39 @@ def workbook_rows(content: bytes, title: str | None = None) -> Iterator[list[str
                 e.clear()
 
 
-def workbook(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, cells) of workbooks, one file a row of the scan."""
+def workbook(spark: SparkSession, path: str, title: str | None = None) -> DataFrame:
+    """(path, line, cells) of workbooks, a task a file, whose sheet (the first, or by title) is read in batches."""
     ship(spark)
+    names = spark.createDataFrame([(f,) for f in files(path)], "path string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(name: str, first: int, rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["path", "line", "cells"])
+
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                rows = list(workbook_rows(content.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["path", "line", "cells"])
+            for name in b.column("path").to_pylist():
+                held, n = [], 0
+                with open_file(name) as f:
+                    for row in workbook_rows(f, title):
+                        held.append(row)
+                        if len(held) == BATCH:
+                            yield batch(name, n, held)
+                            held, n = [], n + BATCH
+                yield batch(name, n, held)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, line long, cells array<string>")
+    return names.repartitionByRange(max(1, names.count()), "path").mapInArrow(run, "path string, line long, cells array<string>")
 
 
 def verify_hashes(spark: SparkSession, path: str, expected: dict[str, str]) -> DataFrame:
     """(name, sha256, ok) of files against a manifest of names and hashes; a file not in the manifest is not ok."""
     known = spark.createDataFrame(list(expected.items()), "name string, wanted string")
-    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    ship(spark)
+    names = spark.createDataFrame([(f,) for f in files(path)], "path string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([p.rsplit("/", 1)[-1] for p in paths], pa.string()), pa.array(list(map(file_digest, paths)), pa.string())], names=["name", "sha256"])
+
+    found = names.repartitionByRange(max(1, names.count()), "path").mapInArrow(run, "name string, sha256 string")
     return found.join(known, "name", "full").select("name", "sha256", F.coalesce(F.col("sha256") == F.col("wanted"), F.lit(False)).alias("ok"))

@@ -547,6 +547,17 @@ def x9_logistic_scores(spark, d):
     return f.select("left", "right", F.round(model.probability(), 4).alias("score"))
 
 
+@query()
+def x10_tree_scores(spark, d):
+    """Boosted trees fitted on the labelled candidates, exported to arrays, held against the fit and applied to all of them."""
+    from kinweave.operators import scoring
+    from kinweave.session import cut
+
+    f = cut(_features(spark, d))
+    model = scoring.fit_trees(f.where("label is not null"), ["name_ratio", "name_token_set", "name_exact", "address_ratio", "country_conflict"], trees=20)
+    return f.select("left", "right", F.round(model.probability(), 4).alias("score"))
+
+
 @query()
 def x5_fellegi_sunter(spark, d):
     """u from random pairs, m by expectation-maximization by blocks, exact names weighted by their frequency."""

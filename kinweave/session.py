@@ -74,6 +74,24 @@ def cut(df: DataFrame, narrow: int = 0) -> DataFrame:
         return (few_files(df, narrow) if narrow else df.select("*")).checkpoint(eager=True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written beside and moved over what is there in one step, on any Hadoop file system: a reader sees the old text or the
+    new one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    whole, part = hadoop.Path(path), hadoop.Path(f"{path}.partial")
+    fs = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    over = spark._jvm.java.lang.reflect.Array.newInstance(hadoop.Options.Rename.OVERWRITE.getClass(), 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(whole.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(whole), over)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
 class Scratch:
     """A folder of its own beside the checkpoints for compressed intermediate tables; gone when the block ends."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.normalize import content_digest, formula_guard
+from kinweave.session import read_text, write_text
 
 
 class Workspace:
@@ -23,19 +24,10 @@ class Workspace:
         return self.fs.exists(self._path(f"{self.root}/{name}"))
 
     def _write_text(self, name: str, text: str) -> None:
-        """Written beside and moved over what is there in one step, so that a reader sees the old text or the new one."""
-        hadoop = self.spark._jvm.org.apache.hadoop
-        part, whole = self._path(f"{self.root}/{name}.partial"), self._path(f"{self.root}/{name}")
-        out = self.fs.create(part, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        context = hadoop.fs.FileContext.getFileContext(whole.toUri(), self.spark._jsc.hadoopConfiguration())
-        over = self.spark._jvm.java.lang.reflect.Array.newInstance(hadoop.fs.Options.Rename.OVERWRITE.getClass(), 1)
-        over[0] = hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self.fs.makeQualified(part), self.fs.makeQualified(whole), over)
+        write_text(self.spark, f"{self.root}/{name}", text)
 
     def _read_text(self, name: str) -> str:
-        return "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect())
+        return read_text(self.spark, f"{self.root}/{name}")
 
     def save(self, name: str, df: DataFrame, key: list[str] | None = None) -> None:
         """A table that must not exist yet, sorted by an opaque key within its files."""

@@ -18,7 +18,11 @@
 3. Tokens whose own patterns give a belief of CONFIDENT are new spans of kind ``ident``; base spans stay as they are.
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive; rows with one
-doc_id are separate texts; tokens over LONGEST characters are no identifiers.
+doc_id are separate texts; a token is taken to its ends, however long. An empty table gives an empty result. Extra columns
+are not read by ``find`` and kept by ``redact``. Limits that are features: identifiers have SHORTEST characters at least,
+the words around are looked for 40 characters before and 24 behind, cues 96 before. Signs at a token's end are part of it,
+but for punctuation and signs that stand at its start, too (``**key1**``). Names, forms and tokens longer than LONG stand in
+patterns by their hash.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from kinweave.llm.common import cut, hand_back, holding, read_table, texts
 
 KINDS = ("email", "ip", "card", "phone")  # fixed order of the digest
 LEARNED = "ident"
-LONGEST, SHORTEST = 64, 6
+LONG, SHORTEST = 64, 6
 CONFIDENT, SUPPORT, PRIOR, UNKNOWN = 0.6, 3, 2.0, 0.25
 CUES = 4
 MIXED, CHANGES = 16, 3  # least length, and changes between letters and digits, of a mixture
@@ -51,11 +55,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\W\d_]+")
-_TRIM = ".,;:!?()[]{}<>\"'|*%$#&"
+_TRIM, _SIGN = ".,;:!?()[]{}<>\"'", "|*%$#&"
 _APART = frozenset("=:,;()[]{}<>\"'|&")
 _SIGNS = re.compile(r"([=:])\s{0,4}([\"'(\[]?)")
-_NAME = re.compile(r"([^\W\d_]{1,32})\s{0,4}\Z")
-_KEY = re.compile(r"[0-9a-f]{32,64}|[0-9A-F]{32,64}")
+_KEY = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
+_CLOSED = frozenset("\"')]}>,;:")
 _START = re.compile(r"[A-Z]{3,4}")
 _CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 _CLASSES = [("9", re.compile("[0-9]+")), ("h", re.compile("[0-9a-f]+")), ("H", re.compile("[0-9A-F]+")), ("a", re.compile("[0-9a-z]+")), ("A", re.compile("[0-9A-Z]+")), ("m", re.compile("[0-9A-Za-z]+"))]
@@ -110,26 +114,33 @@ def _tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
     """Identifier-like tokens outside the base spans: runs without white space and the signs of _APART."""
     at, n, k = 0, len(text), 0
     by_end = sorted((e, s) for s, _, e in spans)
+    first = [n] * (len(by_end) + 1)  # where the spans from here on start at the earliest
+    for i in range(len(by_end) - 1, -1, -1):
+        first[i] = min(first[i + 1], by_end[i][1])
     inside = lambda i: 0 <= i < n and not text[i].isspace() and text[i] not in _APART
     while m := _MARK.search(text, at):
         start = m.start()
-        low = max(at, start - LONGEST)
-        while start > low and inside(start - 1):
+        while start > at and inside(start - 1):
             start -= 1
-        end, high = m.end(), min(n, m.end() + LONGEST)
-        while end < high and inside(end):
+        end = m.end()
+        while end < n and inside(end):
             end += 1
-        whole = not inside(start - 1) and not inside(end)
+        more = end  # a run of signs that ends the word is the token's, too
+        while more < n and text[more] in _SIGN:
+            more += 1
+        end = more if more == n or text[more].isspace() or text[more] in _CLOSED else end
         at = end
         while k < len(by_end) and by_end[k][0] <= start:
             k += 1
-        if not whole or any(s < end for e, s in by_end[k : k + 8]):
+        if first[k] < end:
             continue
-        while start < end and text[start] in _TRIM:
+        begun = start
+        while start < end and text[start] in _TRIM + _SIGN:
             start += 1
-        while end > start and text[end - 1] in _TRIM:
+        before = text[begun:start]
+        while end > start and (text[end - 1] in _TRIM or (text[end - 1] in _SIGN and text[end - 1] in before)):
             end -= 1
-        if SHORTEST <= end - start <= LONGEST and _MARK.search(text, start, end):
+        if end - start >= SHORTEST and _MARK.search(text, start, end):
             yield start, end
 
 
@@ -138,18 +149,29 @@ def _assigned(text: str) -> dict[int, tuple[str, str]]:
     out = {}
     if "=" in text or ":" in text:
         for m in _SIGNS.finditer(text):
-            if name := _NAME.search(text, max(0, m.start() - 36), m.start()):
-                out[m.end()] = f"{name[1].lower()}{m[1]}{m[2]}", f"{m[1]}{m[2]}"
+            end = m.start()
+            while end > 0 and m.start() - end < 4 and text[end - 1].isspace():
+                end -= 1
+            start = end
+            while start > 0 and (text[start - 1].isalpha() or _WORD.match(text[start - 1])):
+                start -= 1
+            if start < end:
+                out[m.end()] = f"{_short(text[start:end].lower())}{m[1]}{m[2]}", f"{m[1]}{m[2]}"
     return out
 
 
+def _short(value: str) -> str:
+    """``value``, or its hash where it is long."""
+    return value if len(value) <= LONG else hashlib.blake2b(value.encode(), digest_size=16).hexdigest()
+
+
 def _forms(token: str) -> list[str]:
     kind = next((k for k, c in _CLASSES if c.fullmatch(token)), None)
     if kind is None:
         shape = token
         for run, sign in _RUNS:
             shape = run.sub(sign, shape)
-        return [f"S:{shape}"]
+        return [f"S:{_short(shape)}"]
     out = [f"S:{kind}{len(token)}"]
     if kind != "9" and len(token) >= MIXED:
         out += [f"G:{kind}"] + ["E:"] * (len(_CHANGE.findall(token)) >= CHANGES)

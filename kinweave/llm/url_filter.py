@@ -2,12 +2,17 @@
 
 The trees are trained here from labelled URLs: a bounded sample of at most TRAIN_ROWS labelled rows (those
 with the smallest hash of the URL, so that partitions and order do not matter), Newton boosting of the
-logistic loss on quantile-binned features. Features: lengths, depth, labels of the host, digit ratio, entropy,
+logistic loss on quantile-binned features. Labels come in groups (``origin``: who or what labelled the URL; in the query, the
+rule that decides it). A label that follows from a feature teaches the trees that feature, not what it stands for, so
+what they may block is decided on groups held out: each fold of groups is scored by trees that were fitted without it, and the
+threshold is the least at which ASKED of the blocked URLs are labelled so, over two groups at least that have such
+labels. Where no threshold does, the trees block nothing, and what no rule decides is allowed. Features: lengths, depth, labels of the host, digit ratio, entropy,
 hyphens, parameter counts, and statistics of the host's suffix (its smoothed rate of blocks and its
 frequency in the sample; each row is seen with and without them). A model has a fixed size and goes to the tasks in the closure.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; without labelled
-rows of both classes the model is their constant rate (allow if there are none). Repeated rows repeat.
+rows of both classes the model is their constant rate (allow if there are none). Repeated rows repeat; a very long URL is
+read whole; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import cut, read_table
 
 TRAIN_ROWS = 20_000
-THRESHOLD = 0.9  # where no rule decides, only what the trees are sure of is blocked
+FOLDS, ASKED, LEAST = 5, 0.9, 30  # folds of label groups; share of right blocks, and of how many, that a threshold needs
 #: Fixed rules of the query: (host, path, verdict).
 RULES = [
     ("com", "/", "allow"),
@@ -160,15 +165,46 @@ def fit(urls: list[str], blocked: list[int], trees: int = 60, depth: int = 3, ra
     return Trees(base, suffixes, prior, np.array(features), np.array(cuts), np.array(values))
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """A model from (url, blocked) rows: at most ``rows`` distinct ones, by the smallest hash of the URL.
+def held_out_scores(urls: list[str], blocked: list[int], origins: list[str], folds: int = FOLDS) -> np.ndarray:
+    """Each URL's probability by trees that have seen no URL of its fold of origins."""
+    fold = {o: i % folds for i, o in enumerate(sorted(set(origins)))}
+    own, out = np.array([fold[o] for o in origins], np.int64), np.zeros(len(urls))
+    for k in sorted(set(fold.values())):
+        inside = np.flatnonzero(own == k)
+        rest = np.flatnonzero(own != k)
+        out[inside] = fit([urls[i] for i in rest], [blocked[i] for i in rest]).probability([urls[i] for i in inside])
+    return out
+
+
+def threshold_of(probability: np.ndarray, blocked: np.ndarray, origins: list[str], asked: float = ASKED, least: int = LEAST) -> float | None:
+    """The least probability from which on ``asked`` of the URLs, ``least`` at least, are blocked by their labels, of two
+    origins or more; None if there is none."""
+    right = n = 0
+    seen: set[str] = set()
+    best = None
+    order = np.argsort(-probability, kind="stable")
+    for at, i in enumerate(order):
+        n, right = n + 1, right + int(blocked[i])
+        if blocked[i]:
+            seen.add(origins[i])
+        last = at + 1 == len(order) or probability[order[at + 1]] < probability[i]
+        if last and n >= least and right >= asked * n and len(seen) >= 2:
+            best = float(probability[i])
+    return best
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Trees, float | None]:
+    """A model and its threshold from (url, blocked, origin) rows: at most ``rows`` distinct ones, by the smallest hash of
+    the URL.
 
     Rows whose hash is far from small enough, given their number, do not leave their tasks."""
-    known = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked")).distinct()
+    known = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked"), F.coalesce("origin", F.lit("")).alias("origin")).distinct()
     known = cut(known.withColumn("h", F.pmod(F.xxhash64("url"), F.lit(1 << 40))))
     near = int(min(1.0, 1.5 * rows / max(1, known.count())) * (1 << 40))
-    sample = known.where(F.col("h") <= near).orderBy("h", "url", "blocked").limit(rows).collect()
-    return fit([r["url"] for r in sample], [r["blocked"] for r in sample])
+    sample = known.where(F.col("h") <= near).orderBy("h", "url", "blocked", "origin").limit(rows).collect()
+    urls, blocked, origins = ([r[c] for r in sample] for c in ("url", "blocked", "origin"))
+    threshold = threshold_of(held_out_scores(urls, blocked, origins), np.array(blocked), origins) if urls else None
+    return fit(urls, blocked), threshold
 
 
 def score(pages: DataFrame, model: Trees, id_col: str = "page_id") -> DataFrame:
@@ -181,14 +217,17 @@ def score(pages: DataFrame, model: Trees, id_col: str = "page_id") -> DataFrame:
     return pages.select(F.col(id_col).cast("long").alias(id_col), "url").mapInArrow(run, f"{id_col} long, url string, block_probability double")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict and block_probability; URLs that a rule decides are the labels."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and block_probability. ``labelled`` (url, blocked, origin) are the labelled URLs;
+    without it, the pages that a rule decides are, by rule."""
     host, path = host_and_path(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     parsed = lambda df: df.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("decided", verdict)
-    labelled = parsed(pages.select("url")).where("decided is not null").select("url", (F.col("decided") == "block").cast("int").alias("blocked"))
-    scored = score(pages, train(labelled))
-    by_model = F.when(F.col("block_probability") >= threshold, "block").otherwise("allow")
+    if labelled is None:
+        labelled = parsed(pages.select("url")).where("decided is not null").select("url", (F.col("decided") == "block").cast("int").alias("blocked"), F.col("rule").alias("origin"))
+    model, threshold = train(labelled)
+    scored = score(pages, model)
+    by_model = F.when(F.col("block_probability") >= threshold, "block").otherwise("allow") if threshold is not None else F.lit("allow")
     return parsed(scored).select("page_id", "host", "path", "rule", F.coalesce("decided", by_model).alias("verdict"), "block_probability")
 
 

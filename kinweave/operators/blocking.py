@@ -45,9 +45,35 @@ def candidates(records: DataFrame, most_per_bucket: int | None = None) -> DataFr
     if most_per_bucket is not None:
         check_budget(records, most_per_bucket)
     keyed = records.select("record_id", "source", "country", F.explode(bucket_keys()).alias("b")).select("record_id", "source", "country", "b.rule", "b.key")
-    side = lambda s: keyed.select("rule", "key", *[F.col(c).alias(c + s) for c in ("record_id", "source", "country")])
-    met = side("1").join(side("2"), ["rule", "key"]).where((F.col("record_id1") < F.col("record_id2")) & (F.col("source1") != F.col("source2")) & compatible(F.col("country1"), F.col("country2")))
-    return met.groupBy(F.col("record_id1").alias("left"), F.col("record_id2").alias("right")).agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    met = bucket_pairs(keyed, ["rule", "key"], "record_id", ["source", "country"])
+    met = met.where((F.col("source1") != F.col("source2")) & compatible(F.col("country1"), F.col("country2")))
+    ends = F.least("record_id1", "record_id2").alias("left"), F.greatest("record_id1", "record_id2").alias("right")
+    return met.groupBy(*ends).agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+
+
+CELL = 64  # records that a part of a bucket has
+
+
+def bucket_pairs(keyed: DataFrame, keys: list[str], record: str, columns: list[str], cell: int = CELL) -> DataFrame:
+    """The unordered pairs of different records in each bucket (``keys``): both sides' record and columns, suffixed 1 and 2.
+
+    A bucket of more than ``cell`` records is cut into parts by the records' hash, and its pairs are dealt out by pairs of
+    parts: the triangle of a bucket's pairs becomes cells of about cell x cell, each of its own key, so no task has more
+    of a hot bucket than its cells. A record is sent once a part of its bucket, which is one row in ``cell`` pairs.
+    """
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > cell)
+    parts = F.coalesce(F.ceil(F.col("__n") / cell), F.lit(1)).cast("int")
+    placed = keyed.join(sizes, keys, "left").select(*keys, record, *columns, parts.alias("__parts"))
+    placed = placed.withColumn("__part", F.pmod(F.xxhash64(record), F.col("__parts")).cast("int"))
+
+    def side(s: str, low: Column, high: Column, mine: str, other: str) -> DataFrame:
+        named = [F.col(c).alias(c + s) for c in (record, *columns)]
+        return placed.select(*keys, *named, F.col("__part").alias(mine), F.explode(F.sequence(low, high)).alias(other))
+
+    first = side("1", F.col("__part"), F.col("__parts") - 1, "__i", "__j")
+    second = side("2", F.lit(0), F.col("__part"), "__j", "__i")
+    met = first.join(second, [*keys, "__i", "__j"]).where((F.col(f"{record}1") < F.col(f"{record}2")) | ((F.col("__i") < F.col("__j")) & (F.col(f"{record}1") != F.col(f"{record}2"))))
+    return met.drop("__i", "__j")
 
 
 def merge_candidates(*tracks: DataFrame) -> DataFrame:

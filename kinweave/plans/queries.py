@@ -530,8 +530,12 @@ def x8_product_features(spark, d):
     from kinweave.operators import scoring
 
     p = read_table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("record_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("description"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"), "p_size")
-    side = lambda s: p.select("p_size", "brand", F.col("record_id").alias(s))
-    met = side("left").join(side("right"), ["p_size", "brand"]).where("left < right").select("left", "right")
+    # parts of one brand and type whose prices are close: neighbouring steps of price meet, so pairs grow with the parts
+    step = F.floor(F.col("price") / 10)
+    keyed = p.select("brand", "description", "record_id", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step"))
+    met = blocking.bucket_pairs(keyed, ["brand", "description", "step"], "record_id", ["own"])
+    met = met.where((F.abs(F.col("own1") - F.col("own2")) == 1) | ((F.col("own1") == F.col("own2")) & (F.col("step") == F.col("own1"))))
+    met = met.select(F.least("record_id1", "record_id2").alias("left"), F.greatest("record_id1", "record_id2").alias("right")).distinct()
     both = blocking.with_records(met, p, ["title", "brand", "description", "price", "currency"])
     return scoring.product_features(both).select("left", "right", *[F.round(f, 6).alias(f) for f in scoring.PRODUCT])
 

@@ -164,6 +164,18 @@ def test_trees_are_exported_replayed_saved_and_verified(spark, tmp_path):
         scoring.Trees.load(spark, path)
     assert dataclasses.replace(model, platt=(1.0, 0.0)).fingerprint() != model.fingerprint()
 
+def test_bucket_pairs_of_hot_buckets_are_dealt_out_in_cells(spark):
+    from kinweave.operators import blocking
+
+    rows = [("hot", f"h{i:04}", i % 3) for i in range(500)] + [("small", f"s{i}", i % 2) for i in range(5)] + [("one", "o", 0), (None, "n1", 0), (None, "n2", 1)]
+    df = spark.createDataFrame(rows, "k string, id string, src int")
+    met = blocking.bucket_pairs(df, ["k"], "id", ["src"], cell=32)
+    got = [tuple(sorted((r["id1"], r["id2"]))) for r in met.collect()]
+    want = [tuple(sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[0] is not None]
+    assert len(got) == len(set(got)) and sorted(got) == sorted(want)
+    source = {(r["id1"], r["src1"]) for r in met.collect()} | {(r["id2"], r["src2"]) for r in met.collect()}
+    assert source <= {(r[1], r[2]) for r in rows}
+
 
 def greedy_queue(rows, limit, key):
     waiting, out = sorted(rows, key=key), []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators import textsearch
 from kinweave.operators.ordering import ordinals
 from kinweave.session import cut
 
@@ -83,11 +84,15 @@ def constraints(decisions: DataFrame, events: DataFrame, live: DataFrame, policy
     return valid.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), kind.alias("kind")).where("kind is not null").distinct()
 
 
-def entity_page(membership: DataFrame, search: DataFrame | None = None, query: str = "", offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page of entity ids in order; ``query`` must stand literally in one of an entity's folded search values."""
+def entity_page(membership: DataFrame, search: DataFrame | None = None, query: str = "", offset: int = 0, limit: int = 50, postings: DataFrame | None = None) -> DataFrame:
+    """A page of entity ids in order; ``query``, case-folded, must stand literally in one of an entity's folded search
+    values. They are found by their character triples; where ``search`` has none yet, they are made for this page."""
     ids = membership.select("entity_id").distinct()
     if query and search is not None:
-        ids = ids.join(search.where(F.contains("value_folded", F.lit(query))).select("entity_id"), "entity_id", "left_semi")
+        values = search.select("entity_id", "value_folded").where("value_folded is not null").distinct()
+        keys = ["entity_id", "value_folded"]
+        found = textsearch.literal(values, postings if postings is not None else textsearch.postings(values, keys), keys, query.casefold())
+        ids = ids.join(found.select("entity_id"), "entity_id", "left_semi")
     return ids.orderBy("entity_id").offset(offset).limit(limit)
 
 

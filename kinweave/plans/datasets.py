@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinweave.functions import normalize as N
-from kinweave.operators import datasets, incremental, integrity, learning, metrics, review
-from kinweave.plans.base import BASE, CATALOGUE, SCORED, catalogue, norm_sql, scored
+from kinweave.operators import datasets, incremental, integrity, learning, metrics, review, textsearch
+from kinweave.plans.base import BASE, CATALOGUE, SCORED, catalogue, fold_sql, norm_sql, scored
 from kinweave.plans.queries import query, with_partner
 from kinweave.session import read_table
+from kinweave.sources import projection
 
 # Parts as offers: five in a run, the first two and the last three of a run being a product each, neighbours being pairs
 OFFERS = """offers as (select a.p_partkey "left", b.p_partkey "right", (a.p_partkey - 1) // 5 * 2 + ((a.p_partkey - 1) % 5 >= 2)::int left_product, (b.p_partkey - 1) // 5 * 2 + ((b.p_partkey - 1) % 5 >= 2)::int right_product, a.p_size > 25 hard
@@ -94,6 +95,39 @@ def sk3_last_edges(spark, d):
     return datasets.last_edges(edges, "seq")
 
 
+# Customers and suppliers by nation as an artifact: a record's aliases are its segment, or none
+ARTIFACT = f"""{CATALOGUE}, seg as (select 'c' || c_custkey record_id, c_mktsegment alias from customer),
+ folded as (select nation entity_id, {fold_sql('coalesce("name", \'\')')} value_folded from cat union select nation, {fold_sql('alias')} from cat join seg using (record_id) where alias is not null)"""
+
+
+def _artifact(spark, d):
+    c = catalogue(spark, d)
+    segment = read_table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("record_id"), F.array("c_mktsegment").alias("aliases"))
+    records = c.join(segment, "record_id", "left").select(F.col("record_id").alias("record_version_id"), "name", "aliases")
+    return c.select("record_id", F.col("record_id").alias("record_version_id"), F.col("nation").alias("entity_id")), records
+
+
+@query(f"""with {ARTIFACT} select entity_id, row_number() over (partition by entity_id order by encode(value_folded)) - 1 ordinal, value_folded from folded""")
+def sk4_projected_search_values(spark, d):
+    """The search rows of a query projection: distinct case-folded names and aliases of each entity, numbered in order."""
+    return projection.search_values(*_artifact(spark, d))
+
+
+@query(f"""with {ARTIFACT} select entity_id, value_folded from folded where contains(value_folded, '99')""")
+def f4_literal_search(spark, d):
+    """Search values that hold the text, found by their character triples or, for so short a one, by a scan."""
+    values = projection.search_values(*_artifact(spark, d)).select("entity_id", "value_folded")
+    keys = ["entity_id", "value_folded"]
+    return textsearch.literal(values, textsearch.postings(values, keys), keys, "99")
+
+
+@query(f"""with {ARTIFACT} select entity_id, value_folded from folded where contains(value_folded, 'r#0000001')""")
+def f4_literal_search_by_triples(spark, d):
+    values = projection.search_values(*_artifact(spark, d)).select("entity_id", "value_folded")
+    keys = ["entity_id", "value_folded"]
+    return textsearch.literal(values, textsearch.postings(values, keys), keys, "r#0000001")
+
+
 # Customers in runs of four, neighbours being pairs; each seventh has a wrong split, each ninth a wrong group
 LEARN = """pairs as (select a.c_custkey "left", b.c_custkey "right", case when a.c_custkey % 4 = 2 then 0 else 1 end "label", a.c_custkey - a.c_custkey % 4 + 1 own from customer a join customer b on b.c_custkey = a.c_custkey + 1 where a.c_custkey % 4 <> 0),
  way as (select "left" u, "right" v from pairs union select "right", "left" from pairs), reach(node, seen) as (select u, u from way union select reach.node, way.v from reach join way on way.u = reach.seen), comp as (select node, min(seen) g from reach group by node),

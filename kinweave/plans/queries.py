@@ -363,10 +363,10 @@ def j9b_latest_event(spark, d):
     return identity.latest_events(read_table(spark, d, "events"), "user_id", "event_id", None, ["event_type"])
 
 
-@query(f"""with {REC} select entity_id from (select distinct record_id entity_id, lower("name") v from rec) where contains(v, 'the') order by entity_id limit 50 offset 20""")
+@query(f"""with {REC} select entity_id from (select distinct record_id entity_id, {fold_sql('"name"')} v from rec) where contains(v, 'the') order by entity_id limit 50 offset 20""")
 def o1_entity_page(spark, d):
     r = records(spark, d)
-    search = r.select(F.col("record_id").alias("entity_id"), F.lower("name").alias("value_folded"))
+    search = r.select(F.col("record_id").alias("entity_id"), N.casefold("name").alias("value_folded"))
     return identity.entity_page(r.select(F.col("record_id").alias("entity_id")), search, "the", 20, 50)
 
 

@@ -3,9 +3,9 @@
 A revision's artifact is its tables ``memberships`` (record_id, record_version_id, entity_id), ``records``
 (record_version_id, name, aliases, ...) and ``canonical`` (entity_id, canonical). Its projection is
 
-- ``entities`` (entity_id, canonical), ``members`` (entity_id, record_id, record_version_id) and ``search`` (entity_id,
-  ordinal, value_folded: the distinct case-folded names and aliases of an entity, numbered in order), each partitioned by
-  revision, so that one revision is replaced by dynamic partition overwrite and read by partition pruning;
+- ``entities`` (entity_id, canonical), ``members`` (entity_id, record_id, record_version_id), ``search`` (entity_id,
+  ordinal, value_folded: the distinct case-folded names and aliases of an entity, numbered in order) and ``grams`` (the
+  character triples of these, by which searches find them), each partitioned by revision, so that one revision is replaced by dynamic partition overwrite and read by partition pruning;
 - a completion record of version, artifact digest, content digest and counts, written last: without it there is
   no projection.
 
@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.normalize import casefold
+from kinweave.operators import textsearch
 from kinweave.operators.ordering import ordinals
 from kinweave.sources.store import Workspace, table_digest
 
 VERSION = "entity-query-v1"
-TABLES = {"entities": ["entity_id", "canonical"], "search": ["entity_id", "ordinal", "value_folded"], "members": ["entity_id", "record_id", "record_version_id"]}
+TABLES = {"entities": ["entity_id", "canonical"], "search": ["entity_id", "ordinal", "value_folded"], "members": ["entity_id", "record_id", "record_version_id"], "grams": ["gram", "entity_id", "ordinal"]}
 
 
 def search_values(memberships: DataFrame, records: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ def search_values(memberships: DataFrame, records: DataFrame) -> DataFrame:
 def expected_rows(artifact: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The projection's tables as the artifact's tables say them."""
     members = artifact["memberships"].select(*TABLES["members"])
-    return {"entities": artifact["canonical"].select(*TABLES["entities"]), "search": search_values(members, artifact["records"]), "members": members}
+    search = search_values(members, artifact["records"])
+    return {"entities": artifact["canonical"].select(*TABLES["entities"]), "search": search, "members": members, "grams": textsearch.postings(search, ["entity_id", "ordinal"]).select(*TABLES["grams"])}
 
 
 class Projection:
@@ -72,8 +74,8 @@ class Projection:
             self.workspace.fs.delete(self.workspace._path(f"{self.workspace.root}/{state}"), False)
         counts, digests = {}, {}
         for name, rows in expected_rows(self._artifact(revision)).items():
-            out = rows.withColumn("revision", F.lit(revision)).repartition("entity_id").sortWithinPartitions(*TABLES[name][:2])
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("revision").parquet(f"{self.root}/{name}")
+            out = textsearch.stored(rows) if name == "grams" else rows.repartition("entity_id").sortWithinPartitions(*TABLES[name][:2])
+            out.withColumn("revision", F.lit(revision)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("revision").parquet(f"{self.root}/{name}")
             stored = self.table(name, revision)
             counts[name], digests[name] = stored.count(), table_digest(stored)
         content = hashlib.sha256(json.dumps(digests, sort_keys=True).encode()).hexdigest()
@@ -144,7 +146,7 @@ class Projection:
         self.ensure(revision)
         found = self.table("entities", revision)
         if query:
-            hits = self.table("search", revision).where(F.contains("value_folded", F.lit(query.casefold())))
+            hits = textsearch.literal(self.table("search", revision), self.table("grams", revision), ["entity_id", "ordinal"], query.casefold())
             found = found.join(hits.select("entity_id"), "entity_id", "left_semi")
         return found.count(), found.orderBy("entity_id").offset(offset).limit(limit)
 

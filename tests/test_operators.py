@@ -325,6 +325,33 @@ def test_streamed_imports_version_and_replay(spark, tmp_path):
     assert state()["k"][1] is True
 
 
+def test_streamed_imports_write_what_they_change_and_compact(spark, tmp_path):
+    import os
+
+    sink = imports.VersionedImport(spark, f"file://{tmp_path}/s", ["name"], compact=3)
+    schema = "source string, source_key string, name string, tombstone boolean, seq long"
+    size = lambda name: sum(f.endswith(".parquet") for _, _, fs in os.walk(tmp_path / "s" / name) for f in fs)
+    plain, versions = {}, {}
+    rng = random.Random(5)
+    for batch in range(5):
+        keys = [f"k{i}" for i in range(200)] if batch == 0 else [f"k{rng.randint(0, 210)}" for _ in range(4)]
+        rows = [("s", k, rng.choice("ab"), rng.random() < 0.2, i) for i, k in enumerate(keys)]
+        sink(spark.createDataFrame(rows, schema), batch)
+        for _, k, name, gone, _ in [r for i, r in enumerate(rows) if r[1] not in [x[1] for x in rows[i + 1 :]]]:
+            if plain.get(k) != (name, gone):
+                plain[k], versions[k] = (name, gone), f"s:{k}:{batch}"
+        got = {r.source_key: (r.version, r.tombstone) for r in sink.state().collect()}
+        assert got == {k: (versions[k], plain[k][1]) for k in plain}
+    assert 0 < size("log/batch=4") <= 4 < size("log/batch=0")  # as many files as buckets that changed
+    assert sink._pointer() == {"last": 4, "base": 2}
+    assert sink.state(1).count() <= sink.state(4).count() and sink.state(0).count() == 200
+    before = sorted(map(tuple, sink.state().collect()))
+    sink.vacuum()
+    assert sorted(map(tuple, sink.state().collect())) == before and not os.path.exists(tmp_path / "s/log/batch=1")
+    with pytest.raises(LookupError):
+        sink.state(1)
+
+
 def test_stream_end_to_end(spark, tmp_path):
     rows = spark.createDataFrame([("s", f"k{i % 3}", f"n{i}", False, i) for i in range(9)], "source string, source_key string, name string, tombstone boolean, seq long")
     rows.coalesce(1).write.parquet(f"file://{tmp_path}/in")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import unicodedata
 
 import pandas as pd
@@ -91,14 +92,20 @@ def country_aliases(rows):
 def country_key(df, column: str, aliases):
     """``df`` with ``country_key``: iso:XX by exact alias, unrecognized:VALUE otherwise, null for none.
 
-    The alias table is that of the ISO countries (some thousand rows at most).
+    Spark broadcasts the alias table if it is small, as that of the ISO countries is.
     """
     value = F.upper(F.trim(F.col(column)))
-    joined = df.withColumn("__alias", value).join(F.broadcast(aliases.withColumnRenamed("alias", "__alias").withColumnRenamed("code", "__code")), "__alias", "left")
+    joined = df.withColumn("__alias", value).join(aliases.withColumnRenamed("alias", "__alias").withColumnRenamed("code", "__code"), "__alias", "left")
     key = F.when(F.col("__code").isNotNull(), F.concat(F.lit("iso:"), "__code")).when(F.col("__alias") != "", F.concat(F.lit("unrecognized:"), "__alias"))
     return joined.withColumn("country_key", key).drop("__alias", "__code")
 
 
+def country_view(records, aliases):
+    """Records for retrieval alone: their country is its key, so that spellings of one country meet. Scores are made from the
+    records as they are."""
+    return country_key(records, "country", aliases).withColumn("country", F.col("country_key")).select(*records.columns)
+
+
 def casefold(value: Column | str) -> Column:
     """Full case folding for search: letters that differ by case alone are one, whatever their place in a word, and those
     that fold to several are these. ASCII rows never reach Python (it gets null for them)."""
@@ -129,6 +136,18 @@ def opaque_id(*parts: Column | str, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.sha2(F.to_json(F.struct(*[_column(p).alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256))
 
 
+def keyed_id(spark, secret: str, *parts: Column | str, prefix: str = "") -> Column:
+    """A stable id that only a holder of the secret can make: HMAC-SHA-256 of the parts; nulls and empties differ. The secret goes
+    to the tasks as a broadcast, so that it stands in no plan and no event log."""
+    key = spark.sparkContext.broadcast(secret.encode())
+
+    @F.pandas_udf(T.StringType())
+    def code(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: hmac.new(key.value, v.encode(), "sha256").hexdigest())
+
+    return F.concat(F.lit(prefix), code(F.to_json(F.struct(*[_column(p).alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"})))
+
+
 def content_digest(columns: list[str]) -> Column:
     """SHA-256 of a row's canonical JSON: keys sorted, nulls kept."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

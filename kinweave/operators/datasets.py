@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.normalize import component_split, normalize_text, opaque_id
+from kinweave.functions.normalize import component_split, keyed_id, normalize_text
 from kinweave.operators import graph
 from kinweave.operators.splits import LEARNING, _labels
 from kinweave.session import cut
@@ -86,8 +86,8 @@ def private_ids(registry: DataFrame, rows: DataFrame, secret: str) -> DataFrame:
     keys and contents keep their ids, new ones get ids that only a holder of the secret can make."""
     seen = registry.select("source", "source_key", "record_id").distinct()
     fresh = rows.select("source", "source_key", "content").distinct().join(registry, ["source", "source_key", "content"], "left_anti")
-    named = fresh.join(seen, ["source", "source_key"], "left").withColumn("record_id", F.coalesce("record_id", opaque_id(F.lit(secret), "source", "source_key", prefix="r-")))
-    version = opaque_id(F.lit(secret), "source", "source_key", "content", prefix="v-")
+    named = fresh.join(seen, ["source", "source_key"], "left").withColumn("record_id", F.coalesce("record_id", keyed_id(registry.sparkSession, secret, "source", "source_key", prefix="r-")))
+    version = keyed_id(registry.sparkSession, secret, "source", "source_key", "content", prefix="v-")
     return registry.unionByName(named.withColumn("version_id", version).select(*registry.columns))
 
 

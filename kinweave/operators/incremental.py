@@ -83,6 +83,20 @@ def equal_sets(a: DataFrame, b: DataFrame) -> bool:
     return not (a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count())
 
 
+def equal_within(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-12) -> bool:
+    """Whether both have the same keys, each once, with numbers no more than ``tolerance`` apart; nulls equal nulls only."""
+    if any(x.groupBy(*keys).count().where("count > 1").limit(1).count() for x in (a, b)):
+        return False
+    side = lambda df, s: df.select(*[F.col(k).alias(k + s) for k in keys], *[F.col(v).alias(v + s) for v in values], F.lit(True).alias("here" + s))
+    same, far = F.lit(True), F.col("here_a").isNull() | F.col("here_b").isNull()
+    for k in keys:
+        same = same & F.col(k + "_a").eqNullSafe(F.col(k + "_b"))
+    for v in values:
+        x, y = F.col(v + "_a"), F.col(v + "_b")
+        far = far | ~(x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)))
+    return not side(a, "_a").join(side(b, "_b"), same, "full").where(far).limit(1).count()
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side holds more often than the other."""
     return a.exceptAll(b).union(b.exceptAll(a))

@@ -73,8 +73,13 @@ def u14_alias_queries(spark, d):
     return datasets.alias_queries(r, names, "supplier", "customer")
 
 
-@query("""with seen as (select distinct o_orderstatus source, o_custkey source_key, o_orderpriority content from orders)
- select source, source_key, content, 'r-' || sha256('{"p0":"s","p1":"' || source || '","p2":' || source_key || '}') record_id, 'v-' || sha256('{"p0":"s","p1":"' || source || '","p2":' || source_key || ',"p3":"' || content || '"}') version_id from seen""")
+# HMAC with the key "s" in SQL: its inner and outer blocks are the key's byte, then nothing, under the two fixed masks
+_HMAC = "sha256(from_hex('2f' || repeat('5c', 63)) || from_hex(sha256(from_hex('45' || repeat('36', 63)) || encode({}))))"
+
+
+@query(f"""with seen as (select distinct o_orderstatus source, o_custkey source_key, o_orderpriority content from orders)
+ select source, source_key, content, 'r-' || {_HMAC.format("'{\"p0\":\"' || source || '\",\"p1\":' || source_key || '}'")} record_id,
+ 'v-' || {_HMAC.format("'{\"p0\":\"' || source || '\",\"p1\":' || source_key || ',\"p2\":\"' || content || '\"}'")} version_id from seen""")
 def v7_private_ids(spark, d):
     """Orders in two batches: the second one's known keys keep the ids of the first."""
     o = read_table(spark, d, "orders")

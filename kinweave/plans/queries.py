@@ -800,8 +800,8 @@ def u11_halves(spark, d):
 @query("""select lang, source, count(*) n, sum((quality = 1)::int)::bigint good from documents left join labels using (doc_id) group by grouping sets ((lang, source), (lang), ())""")
 def a14_dataset_statistics(spark, d):
     both = read_table(spark, d, "documents").join(read_table(spark, d, "labels"), "doc_id", "left")
-    both.createOrReplaceTempView("kinweave_labelled_documents")
-    return spark.sql("select lang, source, count(*) n, sum(cast(quality = 1 as int)) good from kinweave_labelled_documents group by grouping sets ((lang, source), (lang), ())")
+    sets = both.groupingSets([["lang", "source"], ["lang"], []], "lang", "source")
+    return sets.agg(F.count("*").alias("n"), F.sum((F.col("quality") == 1).cast("int")).alias("good"))
 
 
 @query("""select p_partkey, p_name from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49 and l_returnflag = 'R')""")

@@ -84,8 +84,13 @@ def label_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("left", "right", label.alias("label"))
 
 
-def pair_tables(spark: SparkSession, root: str, columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(table A, table B, labelled pairs with original_split) of a public pair benchmark; malformed rows fail."""
+def pair_tables(spark: SparkSession, root: str, columns: str, pinned: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table A, table B, labelled pairs with original_split) of a public pair benchmark; malformed rows fail, and so do files
+    that have another SHA-256 than ``pinned`` (by name) says."""
+    if pinned is not None:
+        bad = sorted(r["name"] for r in verify_hashes(spark, root, pinned).where("not ok").collect())
+        if bad:
+            raise ValueError(f"not as pinned: {bad}")
     read = lambda schema, name: spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(f"{root}/{name}.csv")
     pairs = None
     for name in ("train", "valid", "test"):

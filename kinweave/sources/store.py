@@ -97,6 +97,34 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*[formula_guard(c).alias(c) if c in text else F.col(c) for c in df.columns]).write.mode("errorifexists").option("header", True).csv(path)
 
 
+def export_learning(workspace: Workspace, name: str, pairs: DataFrame, notes: dict[str, str] | None = None) -> dict:
+    """A learning data set (with a split column) as a table a split, then its manifest of rows, positives and digests: without
+    the manifest there is no export. Every pair must have one of the four splits."""
+    from kinweave.operators.splits import LEARNING
+
+    splits = [s for _, s in LEARNING]
+    if pairs.where(F.col("split").isNull() | ~F.col("split").isin(splits)).limit(1).count():
+        raise ValueError(f"splits must be {splits}")
+    manifest: dict = {"splits": {}, **(notes or {})}
+    for s in splits:
+        workspace.save(f"{name}/{s}", pairs.where(F.col("split") == s), ["left", "right"])
+        written = workspace.load(f"{name}/{s}")
+        r = written.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("positives")).first()
+        manifest["splits"][s] = {"rows": r["rows"], "positives": r["positives"], "digest": table_digest(written)}
+    workspace._write_text(f"{name}/manifest.json", json.dumps(manifest, sort_keys=True))
+    return manifest
+
+
+def load_learning(workspace: Workspace, name: str) -> dict[str, DataFrame]:
+    """The splits of an exported data set; one that doesn't match its digest is an error."""
+    manifest = json.loads(workspace._read_text(f"{name}/manifest.json"))
+    out = {s: workspace.load(f"{name}/{s}") for s in manifest["splits"]}
+    for s, df in out.items():
+        if table_digest(df) != manifest["splits"][s]["digest"]:
+            raise ValueError(f"{name}/{s} does not match its digest")
+    return out
+
+
 def active_records(versions: DataFrame, records: DataFrame) -> DataFrame:
     """Records (record_id, current_version) with their current version, tombstones left out."""
     live = records.join(versions.withColumnRenamed("record_version_id", "current_version"), ["record_id", "current_version"]).where(~F.coalesce("tombstone", F.lit(False)))

@@ -113,3 +113,69 @@ def test_maintenance_falls_back(spark):
     assert (mode, reason) == ("full", "closure_exceeds_budget_same_policy") and _clusters(got) == _clusters(previous)
     got, mode, reason = maintain(old, _snapshot(spark, "abc", edges, threshold=0.94), previous, changed.where(F.lit(False)))
     assert (mode, reason) == ("full", "policy_or_model_changed") and _clusters(got) == {frozenset("ab"), frozenset("c")}
+
+
+def test_the_secret_of_private_ids_is_in_no_plan(spark):
+    import hashlib
+    import hmac
+
+    from kinweave.functions import normalize as N
+
+    df = spark.createDataFrame([("a", 1), (None, 2)], "s string, k long").select("s", "k", N.keyed_id(spark, "top-secret-word", "s", "k", prefix="r-").alias("id"))
+    assert "top-secret-word" not in df._jdf.queryExecution().toString()
+    message = {1: '{"p0":"a","p1":1}', 2: '{"p0":null,"p1":2}'}
+    assert {r["k"]: r["id"] for r in df.collect()} == {k: "r-" + hmac.new(b"top-secret-word", m.encode(), hashlib.sha256).hexdigest() for k, m in message.items()}
+
+
+def test_learning_export_has_four_splits_and_a_manifest(spark, tmp_path):
+    from kinweave.sources.store import Workspace, export_learning, load_learning
+
+    w = Workspace(spark, str(tmp_path / "w"))
+    rows = [(f"l{i}", f"r{i}", i % 2, ("train", "validation", "calibration", "test")[i % 4]) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "left string, right string, label int, split string")
+    manifest = export_learning(w, "learning/one", pairs, {"policy": "p"})
+    assert {s: (m["rows"], m["positives"]) for s, m in manifest["splits"].items()} == {"train": (5, 0), "validation": (5, 5), "calibration": (5, 0), "test": (5, 5)}
+    assert sum(df.count() for df in load_learning(w, "learning/one").values()) == 20
+    pairs.where("split = 'train'").limit(1).write.mode("overwrite").parquet(f"{w.root}/learning/one/train")
+    with pytest.raises(ValueError, match="digest"):
+        load_learning(w, "learning/one")
+    with pytest.raises(ValueError, match="splits"):
+        export_learning(w, "learning/two", pairs.withColumn("split", F.lit("other")))
+
+
+def test_equality_within_a_tolerance(spark):
+    from kinweave.operators.incremental import equal_within
+
+    t = lambda *rows: spark.createDataFrame(rows, "k string, v double")
+    a = t(("x", 1.0), ("y", None), (None, 2.0))
+    assert equal_within(a, t((None, 2.0 + 5e-13), ("x", 1.0), ("y", None)), ["k"], ["v"])
+    assert not equal_within(a, t((None, 2.0 + 5e-12), ("x", 1.0), ("y", None)), ["k"], ["v"])
+    assert not equal_within(a, t(("x", 1.0), ("y", 0.0), (None, 2.0)), ["k"], ["v"])
+    assert not equal_within(a, t(("x", 1.0), ("y", None)), ["k"], ["v"]) and not equal_within(t(("x", 1.0), ("x", 1.0)), t(("x", 1.0), ("x", 1.0)), ["k"], ["v"])
+
+
+def test_country_view_is_for_retrieval_alone(spark):
+    from kinweave.functions import normalize as N
+    from kinweave.operators import blocking
+
+    fields = "record_id string, source string, name string, address string, city string, postcode string, country string"
+    r = spark.createDataFrame([("1", "a", "ACME", None, None, None, "Great Britain"), ("2", "b", "ACME", None, None, None, "GB"), ("3", "b", "ACME", None, None, None, "Nowhere")], fields)
+    aliases = N.country_aliases(spark.createDataFrame([("GB", "great britain"), ("GB", "gb")], "code string, alias string"))
+    view = N.country_view(r, aliases)
+    assert [tuple(p)[:2] for p in blocking.candidates(view).collect()] == [("1", "2")] and blocking.candidates(r).count() == 0
+    assert view.columns == r.columns and {x["country"] for x in view.collect()} == {"iso:GB", "unrecognized:NOWHERE"}
+
+
+def test_pinned_pair_tables(spark, tmp_path):
+    import hashlib
+
+    from kinweave.sources import archives
+
+    texts = {"tableA": "id,n\n1,x\n", "tableB": "id,n\n2,y\n"} | {n: "ltable_id,rtable_id,label\n1,2,1\n" for n in ("train", "valid", "test")}
+    for n, t in texts.items():
+        (tmp_path / f"{n}.csv").write_text(t)
+    pinned = {f"{n}.csv": hashlib.sha256(t.encode()).hexdigest() for n, t in texts.items()}
+    assert archives.pair_tables(spark, str(tmp_path), "id string, n string", pinned)[2].count() == 3
+    (tmp_path / "test.csv").write_text("ltable_id,rtable_id,label\n1,2,0\n")
+    with pytest.raises(ValueError, match="test.csv"):
+        archives.pair_tables(spark, str(tmp_path), "id string, n string", pinned)

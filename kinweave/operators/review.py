@@ -13,15 +13,55 @@ def review_queue(edges: DataFrame, limit: int = 100, seed: int = 7, strategy: st
     """(left, right, score, rank): pairs by nearness of their score to a half, ties by a seeded hash; a round takes each
     pair whose endpoints no better pair of the round has taken, the rest wait for the next round.
 
-    A round is a maximal matching in order of priority. It is found without a loop over pairs: all pairs that come
-    first at both of their endpoints are taken at once, their neighbours wait, and so on.
+    What the first round takes of the best pairs depends on these alone, so the queue is read off the best 4, 16 or 64 times
+    ``limit`` pairs as soon as these give ``limit`` of the first round, or are all there are: a top-k, however large the graph.
+    Where few endpoints have nearly all pairs, rounds are matched over the whole graph (``_rounds``).
     """
     if not 0 < limit <= 10_000:
         raise ValueError("limit must be in 1..10000")
+    waiting = _prioritized(edges, seed, strategy)
+    for times in PREFIXES:
+        head = waiting.orderBy("order").limit(times * limit).select("left", "right", "score").collect()
+        whole = len(head) < times * limit
+        taken = _greedy(head, limit, whole)
+        if len(taken) >= limit or whole:
+            types = waiting.select("left", "right", "score").schema
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types)
+            return edges.sparkSession.createDataFrame([(r["left"], r["right"], r["score"], k) for k, r in enumerate(taken[:limit], 1)], f"{schema}, rank int")
+    return _rounds(cut(waiting), edges, limit)
+
+
+PREFIXES = (4, 16, 64)
+
+
+def _greedy(pairs: list, limit: int, whole: bool) -> list:
+    """Pairs, given by priority, as rounds take them: the first round alone, or all rounds if ``pairs`` are the whole graph."""
+    out: list = []
+    while pairs and len(out) < limit:
+        used: set = set()
+        rest = []
+        for r in pairs:
+            if r["left"] in used or r["right"] in used:
+                rest.append(r)
+            else:
+                used |= {r["left"], r["right"]}
+                out.append(r)
+        if not whole:
+            break
+        pairs = rest
+    return out
+
+
+def _prioritized(edges: DataFrame, seed: int, strategy: str) -> DataFrame:
     noise = F.sha2(F.concat_ws("|", F.lit(str(seed)), "left", "right"), 256)
     near = F.abs(F.col("score") - 0.5) if strategy == "uncertain" else F.lit(0.0)
-    order = F.struct(near.alias("near"), noise.alias("noise"))
-    waiting = cut(edges.select("left", "right", "score", order.alias("order")))
+    return edges.select("left", "right", "score", F.struct(near.alias("near"), noise.alias("noise")).alias("order"))
+
+
+def _rounds(waiting: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """The queue by rounds over the whole graph. A round is a maximal matching in order of priority. It is found without a
+    loop over pairs: all pairs that come first at both of their endpoints are taken at once, their neighbours wait, and
+    so on."""
     taken, n, turn = None, 0, 0
     while n < limit and waiting.limit(1).count():
         open_, chosen = waiting, None

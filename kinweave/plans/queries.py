@@ -313,7 +313,13 @@ def a2_pair_metrics(spark, d):
     return m.select("tp", "fp", "fn", "candidates", *[F.round(x, 6).alias(x) for x in ("candidate_recall", "precision", "recall", "f1")])
 
 
-@query()
+_PARTS = ", ".join(f"sum(('0x' || substr(sha256(record_id), {1 + 15 * k}, 15))::ubigint)::varchar" for k in range(4))
+_MEMBERS = "select {0}, sha256(concat_ws('|', count(*)::varchar, " + _PARTS + ")) m from {1} group by 1"
+
+
+@query(f"""with old as (select 'r' || o_orderkey record_id, 'e' || o_custkey entity_id from orders), new as (select 'r' || o_orderkey record_id, 'k' || (o_custkey - o_custkey % 2) cluster_id from orders where o_orderstatus <> 'P'),
+ a as ({_MEMBERS.format("cluster_id", "new")}), b as ({_MEMBERS.format("entity_id", "old")}), named as (select cluster_id, coalesce(entity_id, 'e-' || substr(m, 1, 32)) entity_id from a left join b using (m))
+ select record_id, entity_id from new join named using (cluster_id)""")
 def g4_assigned_identities(spark, d):
     o = read_table(spark, d, "orders")
     old = o.select(F.concat(F.lit("r"), "o_orderkey").alias("record_id"), F.concat(F.lit("e"), "o_custkey").alias("entity_id"))

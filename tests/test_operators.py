@@ -202,6 +202,20 @@ def test_review_queue_equals_the_sequential_rule(spark):
     assert [(r.left, r.right, r.score) for r in got] == greedy_queue(rows, 12, key)
 
 
+@pytest.mark.parametrize("prefixes,hubs,limit", [((4, 16, 64), 400, 25), ((1, 2, 8), 400, 25), ((1, 2), 3, 10), ((), 9, 12)])
+def test_review_queue_from_prefixes_and_over_the_whole_graph(spark, monkeypatch, prefixes, hubs, limit):
+    import hashlib
+
+    monkeypatch.setattr(review, "PREFIXES", prefixes)
+    rng = random.Random(hubs)
+    rows = sorted({(f"a{rng.randint(0, hubs)}", f"b{rng.randint(0, 400)}") for _ in range(600)})
+    rows = [(a, b, round(rng.random(), 2)) for a, b in rows]
+    key = lambda r: (abs(r[2] - 0.5), hashlib.sha256(f"7|{r[0]}|{r[1]}".encode()).hexdigest())
+    got = review.review_queue(spark.createDataFrame(rows, "left string, right string, score double"), limit).orderBy("rank").collect()
+    assert [(r.left, r.right, r.score) for r in got] == greedy_queue(rows, limit, key)
+    assert [r["rank"] for r in got] == list(range(1, limit + 1))
+
+
 def test_splits_do_not_leak(spark):
     rng = random.Random(5)
     rows = [(f"a{k}{rng.randint(0, 2)}", f"b{k}{rng.randint(0, 2)}", 1, "train" if rng.random() < 0.7 else "test") for k in range(60) for _ in range(3)]

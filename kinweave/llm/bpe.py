@@ -8,6 +8,7 @@ agree again. Pair validity depends on two tokens only and is remembered.
 
 Defined results: a null or empty text has no tokens; text is split by the pattern first, each match is
 encoded on its own, strings of special tokens are ordinary text. Repeated rows repeat in the result.
+A very long text is encoded match by match, whole. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

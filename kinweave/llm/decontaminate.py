@@ -10,7 +10,9 @@ its own), one pass over the texts a group. Text and items are compared in lower
 one space; offsets are those of this form.
 
 Defined results: null or blank items are ignored, null texts match nothing; items too short for an edit match
-exactly, wherever they stand; repeated rows and repeated items each give their own result.
+exactly, wherever they stand; repeated rows and repeated items each give their own result. Such short
+items are found inside words, too, so a benchmark of short answers meets many documents. A very long text is searched whole.
+Empty tables give an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

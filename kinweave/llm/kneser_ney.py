@@ -18,7 +18,8 @@ varies more, by SHORT over the root of their n-grams.
 
 Defined results: a null text is empty (its one n-gram is the end); a null language is the language ``''``; a
 language without trusted text has no model, its documents have a null perplexity and are kept. Rows that
-repeat are scored alike; a doc_id labelled more than once is trusted if every label is 1.
+repeat are scored alike; a doc_id labelled more than once is trusted if every label is 1. A very long text is counted in
+runs of its own and scored whole. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

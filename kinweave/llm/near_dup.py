@@ -17,7 +17,8 @@ only loss is that of banding itself: a pair at exactly 0.8 shares none of 40 ban
 probability under 6e-6. Estimates discard below the threshold less SLACK, more than four standard deviations.
 
 Defined results: no words: an empty set (0 shingles), linked with nothing; fewer words than the width: the whole
-sequence is the one shingle; a row with a null doc_id is linked with nothing but its exact copies and has a null kept; repeated rows are exact copies.
+sequence is the one shingle; a row with a null doc_id is linked with nothing but its exact copies and has a null kept; repeated rows are exact copies. A
+very long text has its whole set. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

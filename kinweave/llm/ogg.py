@@ -7,7 +7,8 @@ number, checks page sequence numbers and derives each packet's time from granule
 of all streams ordered by time are the payload.
 
 Defined results: a null or empty text is one packet of 576 bytes 255; equal texts give equal bytes (the
-serial numbers come from the payload). Damage raises OggError and never passes silently.
+serial numbers come from the payload), so repeated rows repeat. A very long text is many packets and pages. An empty table
+gives an empty result; extra columns are not read. Damage raises OggError and never passes silently.
 """
 
 from __future__ import annotations

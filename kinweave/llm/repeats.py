@@ -19,7 +19,8 @@ Texts are shuffled by block for each of the three steps that read them; the shuf
 released before the next.
 
 Defined results: a null or empty text has 0 bytes and loses none; a row with a null doc_id neither loses bytes nor
-takes any from others; rows with one doc_id are no copies of one another; extra columns are ignored.
+takes any from others; rows with one doc_id are no copies of one another; extra columns are ignored. A
+very long text is read whole, in segments. An empty table gives an empty result.
 """
 
 from __future__ import annotations

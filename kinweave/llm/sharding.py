@@ -7,7 +7,8 @@ are at most one apart, slots are gapless, and both ways are computable from (see
 ``place_of(row)`` and ``row_of(shard, slot)``.
 
 Defined results: a null text has size 1 and CRC 0; a null doc_id sorts first; rows equal in all three
-columns are interchangeable; an empty table gives an empty result; extra columns are ignored.
+columns are interchangeable; an empty table gives an empty result; extra columns are ignored. A
+very long text is a row as any other.
 """
 
 from __future__ import annotations

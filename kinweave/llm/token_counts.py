@@ -5,16 +5,21 @@ space, tab or newline (white space belongs to no token of a vocabulary that drop
 string holds any). Parts go to the library in batches of about BATCH bytes, whatever the row
 sizes, so that memory does not depend on how long the texts of a batch are.
 
-Defined results: a null or empty text has 0 tokens and 0 bytes; a text without a safe boundary stays whole.
+A vocabulary whose splitter keeps white space (``drops_white_space``) sees across it, so its texts stay whole.
+
+Defined results: a null or empty text has 0 tokens and 0 bytes; a text without a safe boundary stays whole, however long;
+repeated rows repeat; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.common import holding, read_table, texts
@@ -36,6 +41,19 @@ def safe_parts(text: str, most: int = PART) -> Iterator[str]:
         yield text[at:]
 
 
+def drops_white_space(splitter: dict | None) -> bool:
+    """Whether a tokenizer file's ``pre_tokenizer`` leaves white space out, so that no token can lie across it."""
+    if not splitter:
+        return False
+    kind = splitter.get("type")
+    if kind == "Sequence":
+        return any(map(drops_white_space, splitter.get("pretokenizers", [])))
+    if kind == "Split":  # what matches is kept, the rest goes; the pattern must not take white space in
+        pattern = splitter.get("pattern", {}).get("Regex", "")
+        return splitter.get("behavior") == "Removed" and bool(splitter.get("invert")) and not any(regex.fullmatch(pattern, c) for c in _SAFE)
+    return kind in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+
+
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -79,7 +97,9 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = LIMIT) -> DataFr
     """
     kind = "json" if model_file.endswith(".json") else "model"
     with open(model_file, "rb") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    content = docs.sparkSession.sparkContext.broadcast(raw)
+    parted = kind == "json" and drops_white_space(json.loads(raw).get("pre_tokenizer"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding("token_counts", _forget)
@@ -99,7 +119,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = LIMIT) -> DataFr
             for i, value in enumerate(b.column("text")):
                 text = value.as_py()
                 size[i] = len(text.encode())
-                for p in safe_parts(text) if kind == "json" else ([text] if text else []):
+                for p in safe_parts(text) if parted else ([text] if text else []):
                     parts.append(p)
                     rows.append(i)
                     held += len(p)

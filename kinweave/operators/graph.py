@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators import greedy
 from kinweave.session import cut
 
 
@@ -48,7 +48,6 @@ def clusters(records: DataFrame, links: DataFrame, id_col: str = "record_id") ->
     return records.select(id_col).join(label.withColumnRenamed("node", id_col), id_col, "left").select(id_col, F.coalesce("label", id_col).alias("cluster_id"))
 
 
-DECISION = "left string, right string, score double, status string, reason string, conflicts array<struct<left:string,right:string>>"
 # The published reasons of decisions and the status of each.
 STATUS = {
     "explicit_must_link": "accepted",
@@ -82,73 +81,12 @@ def _reason(threshold: float, review: float):
     return out
 
 
-class _Clusters:
-    """Clusters that grow, with the cannot-links between them kept by cluster, so that a look-up doesn't scan them all."""
-
-    def __init__(self, cannot: list[tuple[str, str]]) -> None:
-        self.parent: dict[str, str] = {}
-        self.least: dict[str, str] = {}
-        self.apart: dict[str, dict[str, list[tuple[str, str]]]] = {}
-        for x, y in cannot:
-            both = self.apart.setdefault(x, {}).setdefault(y, [])
-            both.append((x, y))
-            self.apart.setdefault(y, {})[x] = both
-
-    def root(self, x: str) -> str:
-        path = []
-        while (up := self.parent.get(x, x)) != x:
-            path.append(x)
-            x = up
-        self.parent.update(dict.fromkeys(path, x))
-        return x
-
-    def label(self, x: str) -> str:
-        r = self.root(x)
-        return self.least.get(r, r)
-
-    def between(self, x: str, y: str) -> list[tuple[str, str]]:
-        return sorted(self.apart.get(self.root(x), {}).get(self.root(y), ()))
-
-    def merge(self, x: str, y: str) -> None:
-        into, gone = sorted((self.root(x), self.root(y)), key=lambda r: -len(self.apart.get(r, ())))
-        if into == gone:
-            return
-        self.parent[gone] = into
-        self.least[into] = min(self.least.get(into, into), self.least.pop(gone, gone))
-        for other, links in self.apart.pop(gone, {}).items():
-            there = self.apart[other]
-            del there[gone]
-            whole = self.apart.setdefault(into, {}).setdefault(other, [])
-            whole += links
-            there[into] = whole
-
-
-def _visit(edges: list[dict], must: list[tuple[str, str]], cannot: list[tuple[str, str]]) -> tuple[dict[str, str], list[tuple]]:
-    """One component edge by edge, best first: labels by node, and (left, right, score, reason, conflicts) of each edge."""
-    state, out = _Clusters(cannot), []
-    for x, y in must:
-        if state.between(x, y):
-            raise ValueError(f"cannot-link inside the must-link closure: {x}, {y}")
-        state.merge(x, y)
-    for e in sorted(edges, key=lambda e: (-e["score"], e["left"], e["right"])):
-        x, y, reason = e["left"], e["right"], e["reason"]
-        found = [(x, y)] if reason == "explicit_cannot_link" else state.between(x, y) if reason in (MERGES, READS) else []
-        if found and reason in (MERGES, READS):
-            reason = CLASH
-        elif reason == MERGES:
-            state.merge(x, y)
-        out.append((x, y, e["score"], reason, found))
-    ends = {n for e in edges for n in (e["left"], e["right"])} | {n for p in [*must, *cannot] for n in p}
-    return {n: state.label(n) for n in ends}, out
-
-
 def resolve(records: DataFrame, edges: DataFrame, must: DataFrame, cannot: DataFrame, suppressed: DataFrame, threshold: float = 0.9, review: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Greedy clustering by score under must-links and cannot-links: (partitions, decisions).
 
     ``records`` (record_id), ``edges`` (left, right, score, auto_merge), constraints (left, right), all with left < right.
     Edges of different components commute. Components without an inner cannot-link (nearly all) are settled by
-    expressions and connected components; the others, whose size follows human decisions, are visited edge by edge,
-    one component a task.
+    expressions and connected components, the others in rounds (``greedy``); no component is in one task.
     """
     if not 0 <= review <= threshold <= 1:
         raise ValueError("thresholds must be ordered within 0..1")
@@ -175,19 +113,19 @@ def resolve(records: DataFrame, edges: DataFrame, must: DataFrame, cannot: DataF
     status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col("reason"))
     quick = fast.select("left", "right", "score", status.alias("status"), "reason", F.when(F.col("reason") == "explicit_cannot_link", own).otherwise(none).alias("conflicts"))
     must_rows = must.select("left", "right", F.lit(None).cast("double").alias("score"), F.lit("accepted").alias("status"), F.lit("explicit_must_link").alias("reason"), none.alias("conflicts"))
-    # the others, one component a group
-    kind = lambda df, k: df.select("state", "left", "right", F.lit(None).cast("double").alias("score"), F.lit(k).alias("reason"))
-    musts = must.join(as_side(state, "left", "state"), "left").join(busy, "state", "left_semi")
-    work = slow.select("state", "left", "right", "score", "reason").union(kind(musts, "must")).union(kind(inner, "cannot"))
-
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pick = lambda k: list(map(tuple, pdf.loc[pdf.reason == k, ["left", "right"]].to_numpy()))
-        labels, decisions = _visit(pdf.loc[pdf.score.notna()].to_dict("records"), pick("must"), pick("cannot"))
-        out = [("decision", None, None, x, y, s, STATUS[r], r, [{"left": p, "right": q} for p, q in found]) for x, y, s, r, found in decisions]
-        out += [("label", n, r, None, None, None, None, None, None) for n, r in labels.items()]
-        return pd.DataFrame(out, columns=["row", "node", "label", "left", "right", "score", "status", "reason", "conflicts"])
-
-    visited = cut(work.groupBy("state").applyInPandas(visit, "row string, node string, label string, " + DECISION))
-    decisions = quick.union(must_rows).union(visited.where("row = 'decision'").select(quick.columns))
-    merges = must.union(fast.where(F.col("reason") == MERGES).select(pair)).union(visited.where("row = 'label'").select(F.col("node").alias("left"), F.col("label").alias("right")))
+    # the others, in rounds
+    wanted = cut(slow.select("left", "right", "score", "reason"))
+    nodes = state.join(busy, state["label"] == busy["state"], "left_semi").select("node")
+    nodes = cut(nodes.join(mandatory, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    inner = cut(inner.select(pair), narrow=2)
+    within = inner.join(as_side(nodes, "left", "ml"), "left").join(as_side(nodes, "right", "mr"), "right").where("ml = mr").first()
+    if within is not None:
+        raise ValueError(f"cannot-link inside the must-link closure: {within.left}, {within.right}")
+    past = cut(greedy.pasts(nodes, wanted.where(F.col("reason") == MERGES), inner))
+    found = greedy.conflicts(past, wanted.where(F.col("reason").isin(MERGES, READS)), inner).withColumnRenamed("conflicts", "found")
+    reason = F.when(F.col("found").isNotNull() & F.col("reason").isin(MERGES, READS), CLASH).otherwise(F.col("reason"))
+    settled = wanted.join(found, ["left", "right", "score"], "left").withColumn("reason", reason)
+    settled = settled.select("left", "right", "score", status.alias("status"), "reason", F.when(F.col("reason") == "explicit_cannot_link", own).otherwise(F.coalesce("found", none)).alias("conflicts"))
+    decisions = quick.union(must_rows).union(settled)
+    merges = must.union(fast.where(F.col("reason") == MERGES).select(pair)).union(past.select(F.col("node").alias("left"), F.col("label").alias("right")))
     return clusters(records, merges), decisions

@@ -88,6 +88,52 @@ def test_resolve_matches_the_oracle(spark, seed):
     assert {r.reason for r in decisions.collect()} >= {"score_at_or_above_threshold", "cluster_cannot_link", "candidate_requires_review", "explicit_must_link"}
 
 
+def passed(nodes, edges, must, cannot):
+    """The cannot-links that each merging or waiting edge meets, by sets of members."""
+    group, out = {n: {n} for n in nodes}, {}
+
+    def union(x, y):
+        whole = group[x] | group[y]
+        for n in whole:
+            group[n] = whole
+
+    for x, y in must:
+        union(x, y)
+    closed = {n: frozenset(g) for n, g in group.items()}
+    for x, y, s, auto in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if (x, y) in must or (x, y) in cannot or closed[x] == closed[y] or auto and s < 0.9:
+            continue
+        met = sorted(p for p in cannot if group[x] != group[y] and ({p[0], p[1]} & group[x] and {p[0], p[1]} & group[y]))
+        if met:
+            out[x, y] = met
+        elif auto:
+            union(x, y)
+    return out
+
+
+@pytest.mark.parametrize(("n", "apart", "ties"), [(60, 40, 5), (120, 12, 1000), (40, 150, 1000)])
+def test_one_large_component_in_rounds(spark, n, apart, ties):
+    """One component with many inner cannot-links, chains and hubs: partition, reasons and conflicts as in one pass."""
+    rng = random.Random(n)
+    nodes = [f"n{k:03d}" for k in range(n)]
+    pick = lambda: tuple(sorted(rng.sample(nodes, 2)))
+    pairs = {pick() for _ in range(4 * n)} | {("n000", x) for x in nodes[1 : n // 2]} | set(zip(nodes, nodes[1:], strict=False))
+    edges = [(x, y, 0.9 + rng.randint(0, ties) / ties / 10 if x != "n000" else 1.0 - int(y[1:]) / 1e4, rng.random() < 0.85) for x, y in sorted(pairs)]
+    must = {pick() for _ in range(n // 15)}
+    cannot, suppressed = {pick() for _ in range(apart)}, {pick() for _ in range(5)} - must
+    while oracle(nodes, edges, must, cannot, suppressed, 0.9, 0.5) is None:
+        cannot.pop()
+    cannot -= must
+    g = (nodes, edges, must, cannot, suppressed)
+    parts, decisions = graph.resolve(*frames(spark, *g))
+    want, rows = oracle(*g, 0.9, 0.5)
+    assert partition(parts) == want and len(want) > 1
+    got = decisions.collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == rows
+    met = {(r.left, r.right): [tuple(c) for c in r.conflicts] for r in got if r.reason == "cluster_cannot_link"}
+    assert met == passed(nodes, [e for e in edges if e[:2] not in suppressed], must, cannot) and met
+
+
 def test_transitive_conflict_names_the_pair(spark):
     """Two clusters of three grow; the edge that would join them names both cannot-links between them."""
     edges = [("k1", "k2", 0.97, True), ("k2", "k3", 0.96, True), ("m1", "m2", 0.95, True), ("m2", "m3", 0.94, True), ("k3", "m1", 0.92, True), ("k1", "m3", 0.3, True)]

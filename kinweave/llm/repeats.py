@@ -26,7 +26,7 @@ very long text is read whole, in segments. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,14 +35,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, holding, read_table, scan_partitions
+from kinweave.llm.common import cut, hand_back, holding, read_table
 from kinweave.llm.suffix_repeats import bucket_order, common_prefixes, maximal_intervals
 
 LENGTH, GRAM = 50, 25
 SPAN = LENGTH - GRAM + 1  # strings around a gram; also bytes on either side, and one more
 SEGMENT = 2 * LENGTH - GRAM
 HOT = 20_000
+PART = 6 << 20  # bytes of text that a block has, and a shard gets the grams of
 _CHUNK = 1 << 18
+_SETTLE = 1 << 15  # segments whose suffixes are sorted at once, or a larger group
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -367,6 +369,18 @@ def _settle(segment: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray
     return out
 
 
+def _settle_groups(segment: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``_settle`` by runs of whole groups, as a suffix takes far more memory than its byte; equal strings are in one group."""
+    out = np.empty((len(segment), SPAN), np.int64)
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))  # of each group
+    bounds = np.append(first[np.flatnonzero(np.diff(first // _SETTLE, prepend=-1))], len(order))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        rows = order[a:b]
+        out[rows] = _settle(segment[rows], lo[rows], hi[rows], doc[rows])
+    return out
+
+
 def _settle_shard(sent: pa.Table) -> pa.Table:
     """Of a shard: for each block, runs of strings (place of the segment, first, last) with their smallest document."""
     if not sent.num_rows:
@@ -388,7 +402,7 @@ def _settle_shard(sent: pa.Table) -> pa.Table:
     place = np.full(len(first), -1, np.int64)
     place[ragged] = np.arange(len(ragged))
     rows = first[ragged]
-    table = _settle(segment[rows], lo[rows].astype(np.int64), hi[rows].astype(np.int64), doc[ragged]) if len(ragged) else np.empty((0, SPAN), np.int64)
+    table = _settle_groups(segment[rows], lo[rows].astype(np.int64), hi[rows].astype(np.int64), doc[ragged], group[ragged])
     out, at, shard = [], 0, sent.column("shard")[0].as_py()
     for block, n in zip(sent.column("block").to_pylist(), sizes):
         mine = slice(at, at + n)
@@ -481,20 +495,45 @@ def _cover(docs: pa.Table, answers: pa.Table, shards: int, with_spans: bool) ->
     return pa.table({"doc_id": doc_id, "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string()), "removed": pa.array(cols[4], pa.binary())})
 
 
+def _released(step: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A step of one group that leaves no freed memory with the worker, which takes many groups in turn."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = step(group)
+        hand_back()
+        return out
+
+    return run
+
+
+def _cogroup(step: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out = step(docs, answers)
+        hand_back()
+        return out
+
+    return run
+
+
+def parts(docs: DataFrame) -> int:
+    """How many blocks and shards: by the bytes of the texts, as the scan's partitions may be of any size."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2, -(-total // PART))
+
+
 def remove_repeats(docs: DataFrame, hot: int = HOT, with_spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (with_spans: 64-bit starts and ends of the runs) of every row."""
-    spark = docs.sparkSession
-    blocks = shards = max(2, 4 * scan_partitions(docs))
+    shards = blocks = parts(docs)
     doc_id, utf8 = F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary")
     # a row without an id is last of all: it takes nothing from others, and is never marked
     parted = docs.select(F.pmod(F.xxhash64(F.coalesce(doc_id, F.xxhash64("text"))), F.lit(blocks)).cast("int").alias("block"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc_id"), doc_id.isNotNull().alias("known"), utf8.alias("utf8"))
     by_block = parted.groupBy("block")
-    asked = by_block.applyInArrow(lambda t: _ask(t, shards), ASK)
-    repeated = cut(asked.groupBy("shard").applyInArrow(lambda t: _repeated(t, hot), ANSWER))
-    sent = by_block.cogroup(repeated.groupBy("block")).applyInArrow(lambda t, a: _send(t, a, shards), SEND)
-    settled = cut(sent.groupBy("shard").applyInArrow(_settle_shard, ANSWER))
+    asked = by_block.applyInArrow(_released(lambda t: _ask(t, shards)), ASK)
+    repeated = cut(asked.groupBy("shard").applyInArrow(_released(lambda t: _repeated(t, hot)), ANSWER))
+    sent = by_block.cogroup(repeated.groupBy("block")).applyInArrow(_cogroup(lambda t, a: _send(t, a, shards)), SEND)
+    settled = cut(sent.groupBy("shard").applyInArrow(_released(_settle_shard), ANSWER))
     answers = repeated.union(settled)
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _cover(t, a, shards, with_spans), RESULT)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_cogroup(lambda t, a: _cover(t, a, shards, with_spans)), RESULT)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -512,6 +512,29 @@ def test_repeats_in_a_very_long_text(spark):
     assert got == {1: (n, 0, 0), 2: (n + 61, n + 60, 1), 3: (49, 0, 0)}
 
 
+def test_blocks_follow_the_bytes_and_not_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", 1000)
+    one = docs_of(spark, ["é" * 250] * 40 + [None]).coalesce(1)
+    assert repeats.parts(one) == repeats.parts(one.repartition(7)) == 20
+    assert repeats.parts(one.where("false")) == 2
+
+
+def test_segments_are_settled_by_runs_of_groups(monkeypatch):
+    rng = np.random.default_rng(13)
+    n = 300
+    group = rng.integers(0, 40, n)
+    segment = rng.integers(97, 99, (40, repeats.SEGMENT)).astype(np.uint8)[group]
+    segment[np.arange(n), rng.integers(0, 20, n)] = 99
+    lo, hi, doc = rng.integers(0, 9, n), rng.integers(9, repeats.SPAN, n), rng.permutation(n)
+    inside = (np.arange(repeats.SPAN) >= lo[:, None]) & (np.arange(repeats.SPAN) <= hi[:, None])
+    whole, seen = repeats._settle(segment, lo, hi, doc), []
+    monkeypatch.setattr(repeats, "_SETTLE", 25)
+    settle = repeats._settle
+    monkeypatch.setattr(repeats, "_settle", lambda s, *more: seen.append(len(s)) or settle(s, *more))
+    assert (np.where(inside, repeats._settle_groups(segment, lo, hi, doc, group), 0) == np.where(inside, whole, 0)).all()
+    assert len(seen) > 5 and max(seen) < 50 and sum(seen) == n
+
+
 def test_no_repeats_in_nothing(spark):
     assert repeats.remove_repeats(docs_of(spark, ["a"]).where("false")).collect() == []
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from hashlib import blake2b
 from zlib import crc32
 
@@ -82,13 +82,20 @@ def word_key(word: bytes) -> bytes:
     return word if len(word) <= LONG else END + blake2b(word, digest_size=16).hexdigest().encode()
 
 
-def tokens(b: bytes) -> Counter[bytes]:
-    """How often a text has each of its words, and its end."""
-    out: Counter[bytes] = Counter()
-    for w, n in Counter(b[:-1].split()).items():
-        out[word_key(w)] += n
-    out[END] += 1
-    return out
+def joined_grams(texts: list[bytes], order: int = ORDER) -> np.ndarray:
+    """The grams of documents, one behind another."""
+    sizes = np.array([len(t) for t in texts])
+    g = grams((END * order).join(texts), order=order)
+    keep = np.ones(len(g), bool)
+    behind = np.cumsum(sizes + order)[:-1] - order  # where the newlines before the next document are
+    keep[(behind[:, None] + np.arange(order)).ravel()] = False
+    return g[keep]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of documents one behind another, as they are counted; their ends are left out."""
+    found = text.split()
+    return [word_key(w) for w in found] if max(map(len, found), default=0) > LONG else found
 
 
 def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +103,29 @@ def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(inverse, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
 
+def _together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Runs of documents that are worked on at once, about CHUNK; a longer one is alone."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > CHUNK:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 class _Block:
     def __init__(self) -> None:
         self.ids: list[int | None] = []
         self.held: list[bool] = []
         self.texts: list[bytes] = []
         self.size = 0
-        self.words: dict[bytes, int] = {}
+        self.words: Counter[bytes] = Counter()
+        self.asked: set[bytes] = set()
         self.merged: list[tuple[np.ndarray, np.ndarray]] = []
-        self.loose: list[tuple[np.ndarray, bool]] = []
+        self.loose: tuple[list[bytes], list[bytes]] = ([], [])  # not held out, held out
         self.loose_size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
@@ -113,28 +134,31 @@ class _Block:
         self.held.append(out)
         self.texts.append(b)
         self.size += len(b)
-        for g in chunks(b):
-            self.loose.append((g, out))
-            self.loose_size += len(g)
-            if self.loose_size >= CHUNK:
-                self._merge()
-        words = self.words
-        for k, n in tokens(b).items():
-            words[k] = words.get(k, 0) + n * (not out)
+        self.loose[out].append(b)
+        self.loose_size += len(b)
+        if self.loose_size >= CHUNK:
+            self._merge()
 
     def _merge(self) -> None:
-        for out in (False, True):
-            if part := [g for g, o in self.loose if o == out]:
-                keys, n = np.unique(np.concatenate(part), return_counts=True)
-                self.merged.append((keys, n * (not out)))
-        self.loose, self.loose_size = [], 0
+        for out, texts in enumerate(self.loose):
+            for part in _together(texts):
+                for g in [joined_grams(part)] if len(part) > 1 else chunks(part[0]):
+                    keys, n = np.unique(g, return_counts=True)
+                    self.merged.append((keys, n * (not out)))
+                words = words_of(b"".join(part))
+                if out:
+                    self.asked.update({END, *words}.difference(self.words))
+                else:
+                    self.words.update(words)
+                    self.words[END] += len(part)
+        self.loose, self.loose_size = ([], []), 0
         if len(self.merged) > 8:
             self.merged = [_counted(self.merged)]
 
     def row(self, block: int) -> dict[str, object]:
         self._merge()
         keys, n = _counted(self.merged)
-        words, pack = sorted(self.words), zstandard.ZstdCompressor(3).compress
+        words, pack = sorted(self.asked.union(self.words)), zstandard.ZstdCompressor(3).compress
         return {
             "block": block, "doc_ids": self.ids, "held_out": self.held, "sizes": [len(t) for t in self.texts], "text": pack(b"".join(self.texts)), "grams": pack(np.diff(keys, prepend=np.uint64(0)).tobytes()), "gram_counts": pack(n.tobytes()),
             "words": pack(b" ".join(words)), "word_counts": pack(np.array([self.words[w] for w in words], np.int64).tobytes()),
@@ -230,20 +254,52 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.select("gram", F.col("whole").alias("logp"))
 
 
+class Slots:
+    """Places of distinct 64-bit keys: a table of two to four slots a key, where a key stands at its hash or soon behind."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            on = self.slots[at] != left
+            left, at = left[on], (at[on] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys that are all in the table."""
+        at = self._home(keys)
+        out = self.slots[at]
+        left = np.flatnonzero(self.keys[out] != keys)
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            out[left] = self.slots[at]
+            on = self.keys[out[left]] != keys[left]
+            left, at = left[on], at[on]
+        return out
+
+
 class Lookup:
-    """Numbers of distinct words by 64-bit hashes, in a tenth of a dictionary's memory; a dictionary where two words share one."""
+    """Numbers of distinct words by 64-bit hashes, in far less memory than a dictionary; a dictionary where two words share one."""
 
     def __init__(self, words: list[bytes], numbers: np.ndarray) -> None:
         hashes = np.fromiter(map(hash, words), np.int64, len(words))
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], numbers[order]
-        self.exact = dict(zip(words, numbers.tolist(), strict=True)) if len(words) > 1 and (np.diff(self.hashes) == 0).any() else None
+        if (np.diff(np.sort(hashes)) == 0).any():
+            self.exact = dict(zip(words, numbers.tolist(), strict=True))
+        else:
+            self.exact, self.slots, self.numbers = None, Slots(hashes), numbers
 
     def __call__(self, words: Collection[bytes]) -> np.ndarray:
         """The numbers of words that are all known."""
         if self.exact is not None:
             return np.array([self.exact[w] for w in words], np.int64)
-        return self.numbers[np.searchsorted(self.hashes, np.fromiter(map(hash, words), np.int64, len(words)))]
+        return self.numbers[self.slots(np.fromiter(map(hash, words), np.int64, len(words)))]
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -257,27 +313,31 @@ def _score_block(packed: pa.Table, answers: pa.Table, train_tokens: int, train_w
         return _SCORES.empty_table()
     place, key, value = (answers.column(c).to_numpy() for c in ("place", "key", "value"))
     g = place < 0
-    order = np.argsort(key[g])
-    keys, logp = key[g][order], value[g][order]
+    find, logp = Slots(key[g]), value[g]
     row = packed.to_pylist()[0]
     counts = _unpack(row["word_counts"], np.int64).copy()
     counts[place[~g]] = value[~g].astype(np.int64)
     del packed, answers, place, key, value
     unpack = zstandard.ZstdDecompressor().decompress
     count_of = Lookup(unpack(row["words"]).split(b" "), counts)
-    text, at, out = unpack(row["text"]), 0, []
+    text, out = unpack(row["text"]), []
     least = math.log10(train_tokens + train_words + 1)  # N + 1 * (V + 1)
     log10e = 1 / math.log(10)
-    for doc_id, held, size in zip(row["doc_ids"], row["held_out"], row["sizes"], strict=True):
-        b = text[at : at + size]
-        at += size
-        score = 0.0
-        for part in chunks(b):
-            part.sort()  # a sum needs no order, and keys that rise are found faster
-            score += float(logp[np.searchsorted(keys, part.view(np.int64))].sum())
-        own = tokens(b)
-        n, c = np.array(list(own.values()), np.int64), count_of(own)
-        out.append((doc_id, held, int(n.sum()), int(n[c > 0].sum()), train_tokens, float((n * (np.log10(c + 1.0) - least)).sum()), score * log10e))
+    places = np.cumsum([0, *row["sizes"]]).tolist()
+    ends = int(count_of([END])[0])
+    for run in _together(text[a:b] for a, b in zip(places[:-1], places[1:])):
+        if len(run) > 1:
+            starts = np.cumsum([0, *map(len, run[:-1])])
+            sums = np.add.reduceat(logp[find(joined_grams(run).view(np.int64))], starts)
+        else:
+            sums = np.array([sum(float(logp[find(part.view(np.int64))].sum()) for part in chunks(run[0]))])
+        sizes = [len(t.split()) for t in run]
+        c = count_of(words_of(b"".join(run)))
+        owner = np.repeat(np.arange(len(run)), sizes)
+        base = np.bincount(owner, np.log10(c + 1.0) - least, len(run)) + (math.log10(ends + 1.0) - least)
+        known = np.bincount(owner[c > 0], minlength=len(run)) + (ends > 0)
+        out += [(n + 1, k, b, s * log10e) for n, k, b, s in zip(sizes, known.tolist(), base.tolist(), sums.tolist(), strict=True)]
+    out = [(doc_id, held, n, k, train_tokens, b, s) for doc_id, held, (n, k, b, s) in zip(row["doc_ids"], row["held_out"], out, strict=True)]
     hand_back()
     return pa.Table.from_pylist([dict(zip(_SCORES.names, r, strict=True)) for r in out], _SCORES)
 

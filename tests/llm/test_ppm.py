@@ -4,6 +4,7 @@ import math
 import random
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from kinweave.llm import ppm
@@ -127,6 +128,31 @@ def test_long_texts_are_read_in_parts_without_a_seam(monkeypatch):
     assert [g for part in ppm.chunks(b) for g in part.tolist()] == whole
 
 
+def test_documents_are_worked_on_together_as_they_are_alone(monkeypatch):
+    texts = [ppm.canonical(t) for t in ("abc abc", "", "x", "Long " * 9, "é" * 40 + " é", " \t", "z" * 60)]
+    assert ppm.joined_grams(texts).tolist() == [g for t in texts for g in ppm.grams(t).tolist()]
+    words = [ppm.word_key(w) for t in texts for w in t.split()]
+    assert ppm.words_of(b"".join(texts)) == words and any(w.startswith(ppm.END) for w in words)
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(ppm, "CHUNK", size)
+        runs = list(ppm._together(texts))
+        assert [t for run in runs for t in run] == texts and all(len(run) == 1 or sum(map(len, run)) <= size for run in runs)
+
+
+def test_slots_find_every_key_where_many_share_a_slot():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.unique(np.concatenate([rng.integers(-(2**62), 2**62, n), np.arange(n), -np.arange(n)]))
+        rng.shuffle(keys)
+        slots = ppm.Slots(keys)
+        ask = rng.permutation(np.repeat(np.arange(len(keys)), 2))
+        assert (slots(keys[ask]) == ask).all()
+    same = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)) * np.arange(40, dtype=np.uint64)  # all at home in the first slot
+    assert ppm.Slots(same.view(np.int64))(same.view(np.int64)).tolist() == list(range(40))
+    with_many = [b"w%d" % i for i in range(500)]
+    assert ppm.Lookup(with_many, np.arange(500) * 3)([b"w7", b"w499", b"w7"]).tolist() == [21, 1497, 21]
+
+
 def test_adaptive_code_learns_and_equals_a_plain_trie(spark):
     text = "the cat sat on the mat and the cat sat on the mat"
     b, bits = plain_bytes(text), 0.0

@@ -2,7 +2,7 @@
 
 import random
 
-from kinweave.operators import textsearch
+from kinweave.operators import identity, textsearch
 
 
 def test_searches_equal_a_scan(spark):
@@ -27,3 +27,13 @@ def test_written_postings_are_ranges_of_triples(spark, tmp_path):
     assert len(spans) > 1 and len({r["min(gram)"] for r in spans}) == len(spans)
     got = sorted(r["id"] for r in textsearch.literal(values, table, ["id"], "abcd").collect())
     assert got == sorted(r["id"] for r in values.where("contains(value_folded, 'abcd')").collect()) and got
+
+
+def test_a_page_without_postings_makes_no_triples(spark):
+    rows = [("e1", "over the hill"), ("e2", None), ("e2", "weather"), ("e3", "tea"), ("e4", "THE"), ("e2", "the end")]
+    search = spark.createDataFrame(rows, "entity_id string, value_folded string")
+    page = identity.entity_page(search.select("entity_id"), search, "THE", 0, 10)
+    assert [r.entity_id for r in page.collect()] == ["e1", "e2"]
+    assert "Generate" not in page._jdf.queryExecution().optimizedPlan().toString()
+    stored = textsearch.postings(search, ["entity_id", "value_folded"])
+    assert identity.entity_page(search.select("entity_id"), search, "THE", 0, 10, stored).collect() == page.collect()
